@@ -189,3 +189,132 @@ FROM requests
 def g15_sticky_rules(spark, sf):
     r = guarding.sticky_rules(_requests(spark, sf))
     return r.select("conv_id", "turn", F.array_join("effective_rules", "|").alias("effective_rules"))
+
+
+# --------------------------------------------------------------------------- redaction
+from docshield.functions import redact as R  # noqa: E402
+from docshield.operators import redaction  # noqa: E402
+
+# Fixed manual-redaction word list of the R6 query (our own; exercises the C++ quirk).
+MANUAL_WORDS = ["the", "und", "C++", "des", "", "el"]
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+@register("r1_redact_typed", f"""
+SELECT doc_id, {Q.redact('text')} AS text_redacted FROM documents
+""")
+def r1_redact_typed(spark, sf):
+    return redaction.redact(_docs(spark, sf), "text", out="text_redacted").select("doc_id", "text_redacted")
+
+
+@register("r2_redact_names", f"""
+SELECT doc_id, {Q.redact('text', names=True)} AS text_redacted FROM documents
+""")
+def r2_redact_names(spark, sf):
+    return redaction.redact(_docs(spark, sf), "text", names=True, out="text_redacted") \
+        .select("doc_id", "text_redacted")
+
+
+_R3_DOCS = "docs AS (SELECT source AS collection, doc_id, text FROM documents)"
+
+
+@register("r3_token_map", f"""
+WITH {_R3_DOCS}, {Q.occurrences_cte('docs', 'collection', 'doc_id', 'text')}, {Q.token_map_ctes()}
+SELECT * FROM tmap
+""")
+def r3_token_map(spark, sf):
+    docs = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "text")
+    _, mapping = redaction.tokenize_pii(docs)
+    return mapping
+
+
+@register("r3_tokenized_text", f"""
+WITH {_R3_DOCS}, {Q.occurrences_cte('docs', 'collection', 'doc_id', 'text')}, {Q.token_map_ctes()},
+{Q.apply_map_ctes('occ', 'tmap', 'docs', 'collection', 'doc_id', 'text')}
+SELECT doc_id, text_tokens FROM tokenized
+""")
+def r3_tokenized_text(spark, sf):
+    docs = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "text")
+    tok, _ = redaction.tokenize_pii(docs)
+    return tok.select("doc_id", "text_tokens")
+
+
+@register("r4_rehydrate_roundtrip", f"""
+WITH {_R3_DOCS}, {Q.occurrences_cte('docs', 'collection', 'doc_id', 'text')}, {Q.token_map_ctes()},
+{Q.apply_map_ctes('occ', 'tmap', 'docs', 'collection', 'doc_id', 'text')},
+back AS (
+  SELECT t.doc_id, t.text, t.text_tokens,
+         coalesce(list_reduce((SELECT list({{'token': m.token, 'original': m.original}})
+                                FROM tmap m WHERE m.collection = t.collection
+                                 AND list_contains(regexp_extract_all(t.text_tokens, {B.sql_str(R.TOKEN_RE)}), m.token)),
+                              lambda acc, x: replace(acc, x.token, x.original), t.text_tokens), t.text_tokens) AS text_back
+  FROM tokenized t)
+SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text_tokens, {B.sql_str(R.TOKEN_RE)}))) AS BIGINT) AS n_tokens,
+       text_back = text AS roundtrip_ok
+FROM back
+""")
+def r4_rehydrate_roundtrip(spark, sf):
+    docs = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "text")
+    tok, mapping = redaction.tokenize_pii(docs)
+    back = redaction.rehydrate(tok, mapping, "collection", "doc_id", "text_tokens", "text_back")
+    return back.select(
+        "doc_id",
+        F.size(F.array_distinct(F.regexp_extract_all("text_tokens", F.lit(R.TOKEN_RE), 0))).cast("bigint")
+        .alias("n_tokens"),
+        (F.col("text_back") == F.col("text")).alias("roundtrip_ok"))
+
+
+@register("r5_extend_map", f"""
+WITH old_docs AS (SELECT source AS collection, doc_id, text FROM documents WHERE lang = 'en'),
+new_docs AS (SELECT source AS collection, doc_id, text FROM documents WHERE lang <> 'en'),
+{Q.occurrences_cte('old_docs', 'collection', 'doc_id', 'text', 'occ_old')}, {Q.token_map_ctes('occ_old', 'tmap_old')},
+{Q.occurrences_cte('new_docs', 'collection', 'doc_id', 'text', 'occ_new')},
+fresh AS (SELECT * FROM occ_new o WHERE NOT EXISTS (
+  SELECT 1 FROM tmap_old m WHERE m.collection = o.collection AND m.entity_type = o.entity_type AND m.original = o.value)),
+base AS (SELECT collection, entity_type, max(ord) AS base FROM tmap_old GROUP BY 1, 2),
+{Q.token_map_ctes('fresh', 'tmap_new', 'base')}
+SELECT * FROM tmap_new
+""")
+def r5_extend_map(spark, sf):
+    d = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "text", "lang")
+    _, old_map = redaction.tokenize_pii(d.filter(F.col("lang") == "en"))
+    return redaction.extend_map(old_map, d.filter(F.col("lang") != "en"), "collection", "doc_id", "text")
+
+
+@register("r6_manual_words", f"""
+SELECT doc_id, {Q.redact_words('text', MANUAL_WORDS)} AS text_redacted FROM documents
+""")
+def r6_manual_words(spark, sf):
+    return redaction.redact_words(_docs(spark, sf), MANUAL_WORDS).select("doc_id", F.col("text").alias("text_redacted"))
+
+
+_WS = "[ \\t\\n\\r\\f]"
+
+
+@register("r7_parse_words", f"""
+WITH w AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, ','),
+                 lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS words
+  FROM documents)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, md5(array_to_string(words, '|')) AS words_md5 FROM w
+""")
+def r7_parse_words(spark, sf):
+    words = F.filter(F.transform(F.split("text", ","),
+                                 lambda x: F.regexp_replace(x, f"^{_WS}+|{_WS}+$", "")),
+                     lambda x: x != "")
+    return _docs(spark, sf).select("doc_id", F.size(words).cast("bigint").alias("n_words"),
+                                   F.md5(F.array_join(words, "|")).alias("words_md5"))
+
+
+@register("r8_pii_profile", f"""
+WITH per_doc AS (SELECT source, lang, {", ".join(f"{Q.count_type('text', t)} AS n_{t.name.lower()}" for t in R.PII_TYPES)}
+                 FROM documents)
+SELECT source, lang, CAST(count(*) AS BIGINT) AS n_docs,
+       {", ".join(f"CAST(sum(n_{t.name.lower()}) AS BIGINT) AS n_{t.name.lower()}" for t in R.PII_TYPES)}
+FROM per_doc GROUP BY ROLLUP (source, lang)
+""")
+def r8_pii_profile(spark, sf):
+    return redaction.pii_profile(_docs(spark, sf), ["source", "lang"])

@@ -83,3 +83,108 @@ def check(text: str, tier: str, enabled: str, rules: str | None, direction: str)
         "rule": (f"(CASE WHEN NOT {on} THEN NULL WHEN {jb} IS NOT NULL THEN {jb} "
                  f"WHEN {cu} IS NOT NULL THEN {cu} WHEN {ti} IS NOT NULL THEN {ti} END)"),
     }
+
+
+# --------------------------------------------------------------------------- redaction
+from docshield.functions import redact as R  # noqa: E402
+
+
+def _duck_repl(t: R.PiiType, repl: str) -> str:
+    if not t.keep:
+        return repl
+    left, right = t.keep
+    return f"\\{left}{repl}\\{right}"
+
+
+def redact_type(text: str, t: R.PiiType, repl: str | None = None) -> str:
+    out = text
+    for _ in range(t.passes):
+        out = f"regexp_replace({out}, {sql_str(t.regex)}, {sql_str(_duck_repl(t, repl or t.placeholder))}, 'g')"
+    return out
+
+
+def redact_names(text: str) -> str:
+    names = f"regexp_extract_all({text}, {sql_str(R.TITLE_NAME)}, 2)"
+    words = f"list_distinct(flatten(list_transform({names}, lambda n: regexp_split_to_array(n, '\\s+'))))"
+    after = f"regexp_replace({text}, {sql_str(R.TITLE_NAME)}, {sql_str(R.NAME_PLACEHOLDER)}, 'g')"
+    rx = f"{sql_str(R.WORD_L)} || w || {sql_str(R.WORD_R)}"
+    rep = sql_str("\\1" + R.NAME_PLACEHOLDER + "\\2")
+    step = f"regexp_replace(regexp_replace(acc, {rx}, {rep}, 'g'), {rx}, {rep}, 'g')"
+    return f"list_reduce({words}, lambda acc, w: {step}, {after})"
+
+
+def redact(text: str, names: bool = False) -> str:
+    out = text
+    for t in R.PII_TYPES:
+        out = redact_type(out, t)
+    if names:
+        out = redact_names(out)
+    return out
+
+
+def _is_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def manual_word(text: str, word: str) -> str:
+    """RE2 form of Python's case-insensitive ``\\b word \\b``: border classes depend on
+    whether the word starts / ends with a word character; applied twice."""
+    left = R.WORD_L if _is_word(word[0]) else r"([\p{L}\p{N}_])"
+    right = R.WORD_R if _is_word(word[-1]) else r"([\p{L}\p{N}_])"
+    rx = "(?i)" + left + re.escape(word) + right
+    rep = "\\1" + R.MANUAL_PLACEHOLDER + "\\2"
+    once = f"regexp_replace({text}, {sql_str(rx)}, {sql_str(rep)}, 'g')"
+    return f"regexp_replace({once}, {sql_str(rx)}, {sql_str(rep)}, 'g')"
+
+
+def redact_words(text: str, words: list[str]) -> str:
+    out = text
+    for w in words:
+        if w:
+            out = manual_word(out, w)
+    return out
+
+
+def count_type(text: str, t: R.PiiType) -> str:
+    return f"CAST(len(regexp_extract_all({text}, {sql_str(t.regex)}, 0)) AS BIGINT)"
+
+
+def occurrences_cte(src: str, collection: str, doc_ord: str, text: str, name: str = "occ") -> str:
+    parts = []
+    for i, t in enumerate(R.PII_TYPES):
+        parts.append(
+            f"SELECT collection, doc_ord, {i} AS type_ord, '{t.name}' AS entity_type, "
+            f"generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM "
+            f"(SELECT {collection} AS collection, {doc_ord} AS doc_ord, "
+            f"regexp_extract_all({text}, {sql_str(t.regex)}, {t.group}) AS v FROM {src})")
+    return f"{name} AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+def token_map_ctes(occ: str = "occ", name: str = "tmap", base: str | None = None) -> str:
+    """first occurrence per value -> dense number per (collection, type)."""
+    off = f" + coalesce((SELECT b.base FROM {base} b WHERE b.collection = n.collection AND b.entity_type = n.entity_type), 0)" if base else ""
+    return f"""{name}_first AS (
+  SELECT collection, entity_type, value, doc_ord, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY collection, entity_type, value ORDER BY doc_ord, pos) AS rn
+    FROM {occ}) WHERE rn = 1),
+{name}_num AS (
+  SELECT collection, entity_type, value,
+         row_number() OVER (PARTITION BY collection, entity_type ORDER BY doc_ord, pos, value) AS ord0
+  FROM {name}_first),
+{name} AS (
+  SELECT collection, entity_type, '[' || entity_type || '_' || CAST(ord AS VARCHAR) || ']' AS token,
+         value AS original, CAST(ord AS BIGINT) AS ord
+  FROM (SELECT n.*, n.ord0{off} AS ord FROM {name}_num n))"""
+
+
+def apply_map_ctes(occ: str, tmap: str, src: str, collection: str, doc_ord: str, text: str,
+                   name: str = "tokenized") -> str:
+    return f"""{name}_pairs AS (
+  SELECT o.collection, o.doc_ord,
+         list({{'value': o.value, 'token': m.token}} ORDER BY o.type_ord, -length(o.value), o.value) AS pairs
+  FROM (SELECT DISTINCT collection, doc_ord, type_ord, entity_type, value FROM {occ}) o
+  JOIN {tmap} m ON m.collection = o.collection AND m.entity_type = o.entity_type AND m.original = o.value
+  GROUP BY o.collection, o.doc_ord),
+{name} AS (
+  SELECT s.*, coalesce(list_reduce(p.pairs, lambda acc, x: replace(acc, x.value, x.token), s.{text}), s.{text}) AS text_tokens
+  FROM {src} s LEFT JOIN {name}_pairs p ON p.collection = s.{collection} AND p.doc_ord = s.{doc_ord})"""
