@@ -318,3 +318,171 @@ FROM per_doc GROUP BY ROLLUP (source, lang)
 """)
 def r8_pii_profile(spark, sf):
     return redaction.pii_profile(_docs(spark, sf), ["source", "lang"])
+
+
+# --------------------------------------------------------------------------- chunking
+from docshield.operators import chunking  # noqa: E402
+
+CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
+_DOC_COLS = "doc_id, source, lang"
+_WIN = Q.window_chunks_cte("documents", "text", CHUNK_SIZE, CHUNK_OVERLAP, _DOC_COLS)
+
+
+def _windows(spark, sf, size=CHUNK_SIZE, overlap=CHUNK_OVERLAP):
+    return chunking.chunk_windows(_docs(spark, sf).select("doc_id", "source", "lang", "text"),
+                                  "text", size, overlap)
+
+
+@register("c1_recursive_chunks")
+def c1_recursive_chunks(spark, sf):
+    """The recursive character splitter (Arrow batch job); checked by invariants."""
+    ch = chunking.chunk(_docs(spark, sf).select("doc_id", "source", "text"), "text",
+                        CHUNK_SIZE, CHUNK_OVERLAP)
+    return ch.select("doc_id", "source", "chunk_idx",
+                     F.length("chunk_text").cast("bigint").alias("n_chars"),
+                     F.md5("chunk_text").alias("chunk_md5"))
+
+
+@register("c1b_window_chunks", f"""
+WITH {_WIN}
+SELECT doc_id, chunk_idx, chunk_start, CAST(length(chunk_text) AS BIGINT) AS n_chars, md5(chunk_text) AS chunk_md5
+FROM chunks
+""")
+def c1b_window_chunks(spark, sf):
+    return _windows(spark, sf).select("doc_id", "chunk_idx", F.col("chunk_start").cast("int"),
+                                      F.length("chunk_text").cast("bigint").alias("n_chars"),
+                                      F.md5("chunk_text").alias("chunk_md5"))
+
+
+@register("c2_chunk_metadata", f"""
+WITH {_WIN}
+SELECT doc_id, chunk_idx, source, lang FROM chunks
+""")
+def c2_chunk_metadata(spark, sf):
+    return _windows(spark, sf).select("doc_id", "chunk_idx", "source", "lang")
+
+
+@register("c3_chunk_stats", f"""
+WITH {_WIN}
+SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_chunks,
+       round(avg(length(chunk_text)), 4) AS avg_chars, CAST(max(length(chunk_text)) AS BIGINT) AS max_chars
+FROM chunks GROUP BY source
+""")
+def c3_chunk_stats(spark, sf):
+    return chunking.chunk_stats(_windows(spark, sf), "source", "doc_id")
+
+
+@register("c4_load_batches", f"""
+WITH {_WIN}, n AS (
+  SELECT source AS collection, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_idx) AS rn FROM chunks)
+SELECT collection, CAST(floor((rn - 1) / 100) AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_chunks
+FROM n GROUP BY ALL
+""")
+def c4_load_batches(spark, sf):
+    ch = _windows(spark, sf).withColumnRenamed("source", "collection")
+    return (chunking.load_batches(ch, "collection").groupBy("collection", "batch")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks")))
+
+
+# --------------------------------------------------------------------------- vectors
+from docshield.functions import vectors as V  # noqa: E402
+from docshield.operators import embedding, search  # noqa: E402
+
+
+@register("e1_hash_embed", f"""
+WITH {Q.hash_counts_cte('documents', 'doc_id', 'text', 'hc')}
+SELECT d.doc_id, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n_tokens, CAST(count(b) AS BIGINT) AS nnz,
+       CAST(coalesce(sum(cnt * cnt), 0) AS BIGINT) AS norm2
+FROM documents d LEFT JOIN hc USING (doc_id) GROUP BY d.doc_id
+""")
+def e1_hash_embed(spark, sf):
+    e = embedding.hashing_embed(_docs(spark, sf).select("doc_id", "text"), "text", "vec")
+    return e.select("doc_id",
+                    F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+                    F.size(F.filter("vec", lambda x: x > 0)).cast("bigint").alias("nnz"),
+                    F.col("vec_norm2").cast("bigint").alias("norm2"))
+
+
+def _centroids(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    dim = 64
+    agg = emb.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}")
+                                     for i in range(dim)])
+    return agg.select("label", V.l2_normalize(F.array(*[F.col(f"d{i}") for i in range(dim)])).alias("centroid"))
+
+
+_CENTROIDS_SQL = """centroids0 AS (
+  SELECT label, list(avg_v ORDER BY pos) AS v FROM (
+    SELECT label, pos, avg(CAST(x AS DOUBLE)) AS avg_v FROM (
+      SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+    GROUP BY label, pos) GROUP BY label),
+centroids AS (
+  SELECT label, CASE WHEN n = 0 THEN v ELSE list_transform(v, lambda x: x / n) END AS centroid
+  FROM (SELECT label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM centroids0))"""
+
+
+@register("e2_l2_normalize", f"""
+WITH {_CENTROIDS_SQL}
+SELECT label, CAST(pos AS INTEGER) AS pos, round(x, 6) AS value FROM (
+  SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM centroids)
+""")
+def e2_l2_normalize(spark, sf):
+    c = _centroids(spark, sf)
+    return c.select("label", F.posexplode("centroid").alias("pos", "x")) \
+        .select("label", F.col("pos").cast("int"), F.round("x", 6).alias("value"))
+
+
+@register("v1_topk_label_centroids", f"""
+WITH {_CENTROIDS_SQL}, s AS (
+  SELECT c.label, e.vec_id, list_dot_product(c.centroid, CAST(e.embedding AS DOUBLE[])) AS score
+  FROM centroids c, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT CAST(label AS BIGINT) AS label, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score
+FROM r WHERE rank <= 4
+""")
+def v1_topk_label_centroids(spark, sf):
+    q = _centroids(spark, sf).select(F.col("label").cast("bigint").alias("label"), "centroid")
+    idx = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    hits = search.topk(q, idx, 4, q_id="label", q_vec="centroid", i_id="vec_id", i_vec="embedding")
+    return hits.select("label", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
+@register("v1_knn_self", f"""
+WITH s AS (
+  SELECT a.vec_id AS qid, b.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT qid, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 4
+""")
+def v1_knn_self(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    hits = search.topk(emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")),
+                       emb.select("vec_id", "embedding"), 4, i_id="vec_id", i_vec="embedding",
+                       exclude_self=True)
+    return hits.select("qid", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
+_K_SQL = ("(CASE WHEN " + " OR ".join(
+    [f"contains(lower(coalesce(host, '')), {B.sql_str(h)})" for h in V.CLOUD_HOSTS] +
+    [f"contains(lower(coalesce(model, '')), {B.sql_str(m)})" for m in V.CLOUD_MODEL_MARKERS]) +
+    f" THEN {V.K_CLOUD} ELSE {V.K_LOCAL} END)")
+
+
+@register("v2_k_by_request", f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT conv_id, turn, model, host, CAST({_K_SQL} AS INTEGER) AS k FROM requests
+""")
+def v2_k_by_request(spark, sf):
+    r = _requests(spark, sf)
+    return r.select("conv_id", "turn", "model", "host", V.k_for(F.col("host"), F.col("model")).cast("int").alias("k"))
+
+
+@register("v3_similarity_score", f"""
+WITH {_CENTROIDS_SQL}
+SELECT e.vec_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), c.centroid), 4) AS score
+FROM embeddings e JOIN centroids c USING (label)
+""")
+def v3_similarity_score(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    c = _centroids(spark, sf)
+    return emb.join(c, "label").select("vec_id", V.score(F.col("embedding"), F.col("centroid")).alias("score"))

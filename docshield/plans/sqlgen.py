@@ -188,3 +188,30 @@ def apply_map_ctes(occ: str, tmap: str, src: str, collection: str, doc_ord: str,
 {name} AS (
   SELECT s.*, coalesce(list_reduce(p.pairs, lambda acc, x: replace(acc, x.value, x.token), s.{text}), s.{text}) AS text_tokens
   FROM {src} s LEFT JOIN {name}_pairs p ON p.collection = s.{collection} AND p.doc_ord = s.{doc_ord})"""
+
+
+# --------------------------------------------------------------------------- vectors / chunks
+from docshield.functions import vectors as V  # noqa: E402
+
+
+def bucket(tok: str, dim: int = V.HASH_DIM) -> str:
+    return f"((('0x' || substr(md5({tok}), 1, 8))::BIGINT) % {dim})"
+
+
+def hash_counts_cte(src: str, key: str, text: str, name: str, extra: str = "") -> str:
+    """(key..., b, cnt) sparse hashing counts of ``text``; ``key`` may list several columns."""
+    return f"""{name} AS (
+  SELECT {key}{extra}, {bucket('tok')} AS b, count(*) AS cnt FROM (
+    SELECT {key}{extra}, unnest(regexp_extract_all(lower({text}), {sql_str(V.TOKEN_RE)})) AS tok FROM {src})
+  GROUP BY ALL)"""
+
+
+def window_chunks_cte(src: str, text: str, size: int, overlap: int, cols: str, name: str = "chunks") -> str:
+    stride = size - overlap
+    n = f"(CASE WHEN length({text}) <= 0 THEN 0 ELSE 1 + CAST(ceil(greatest(length({text}) - {size}, 0) / {stride}) AS BIGINT) END)"
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT {cols}, CAST(i AS INTEGER) AS chunk_idx, CAST(i * {stride} AS INTEGER) AS chunk_start,
+           substring({text}, CAST(i * {stride} + 1 AS BIGINT), {size}) AS chunk_text
+    FROM (SELECT *, unnest(range({n})) AS i FROM {src}))
+  WHERE trim(chunk_text) <> '')"""
