@@ -35,6 +35,8 @@ REQUEST_TIERS = ["Public", "Internal", "Confidential", "Restricted", "UnknownLev
 CUSTOM_RULE_SETS = [[], ["the"], ["report", "c++"], ["  ", "ouen", "und"]]
 REQUEST_MODELS = ["gemma3:1b", "gpt-4o-mini", "llama3", "claude-3-haiku"]
 REQUEST_HOSTS = ["", "http://localhost:11434/", "https://api.openai.com/", "http://ollama:11434"]
+SYSTEM_PROMPTS = ["", "Answer briefly and cite the source documents."]
+N_COLLECTIONS = 20  # requests target collection 'src<conv_id mod 20>' (the documents' sources)
 
 
 def _pick(values: list, idx: Column) -> Column:
@@ -59,6 +61,8 @@ def requests(conversations: DataFrame, role: str = "user", text_name: str = "que
         _pick_arrays(CUSTOM_RULE_SETS, F.pmod(F.col("conv_id"), F.lit(4))).alias("custom_rules"),
         _pick(REQUEST_MODELS, F.pmod(F.floor(F.col("turn") / 2), F.lit(4))).alias("model"),
         _pick(REQUEST_HOSTS, F.pmod(F.col("conv_id"), F.lit(4))).alias("host"),
+        _pick(SYSTEM_PROMPTS, F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 4), F.lit(2))).alias("system_prompt"),
+        F.concat(F.lit("src"), F.pmod(F.col("conv_id"), F.lit(N_COLLECTIONS)).cast("string")).alias("collection"),
     )
 
 
@@ -92,7 +96,9 @@ def requests_sql(name: str = "requests", role: str = "user", text_name: str = "q
          {sql_pmod('conv_id + turn', 9)} <> 0 AS enabled,
          {sql_pick_arrays(CUSTOM_RULE_SETS, sql_pmod('conv_id', 4))} AS custom_rules,
          {sql_pick(REQUEST_MODELS, sql_pmod('floor(turn / 2)::BIGINT', 4))} AS model,
-         {sql_pick(REQUEST_HOSTS, sql_pmod('conv_id', 4))} AS host
+         {sql_pick(REQUEST_HOSTS, sql_pmod('conv_id', 4))} AS host,
+         {sql_pick(SYSTEM_PROMPTS, sql_pmod('conv_id + floor(turn / 4)::BIGINT', 2))} AS system_prompt,
+         'src' || CAST({sql_pmod('conv_id', N_COLLECTIONS)} AS VARCHAR) AS collection
   FROM conversations WHERE role = '{role}'
 )"""
 

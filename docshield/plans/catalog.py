@@ -486,3 +486,72 @@ def v3_similarity_score(spark, sf):
     emb = table(spark, sf, "embeddings")
     c = _centroids(spark, sf)
     return emb.join(c, "label").select("vec_id", V.score(F.col("embedding"), F.col("centroid")).alias("score"))
+
+
+# --------------------------------------------------------------------------- flagship turn
+from docshield.plans import turns  # noqa: E402
+
+
+def _index(spark, sf):
+    d = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    return turns.build_index(d, CHUNK_SIZE, CHUNK_OVERLAP)
+
+
+_TURN_IN = Q.check("question", "tier", "enabled", "custom_rules", "in")
+_TURN_OUT = Q.check("answer", "tier", "enabled", "custom_rules", "out")
+
+G11_SQL = f"""
+WITH {B.REQUESTS_SQL[1:]},
+req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model')} AS k FROM requests r),
+docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+{Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
+cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
+clean AS (SELECT * FROM req WHERE in_message IS NULL),
+hist AS (SELECT c.conv_id, c.turn,
+                (SELECT CAST(count(*) AS BIGINT) FROM conversations m
+                 WHERE m.conv_id = c.conv_id AND m.turn < c.turn AND m.role IN ('user', 'assistant')) AS n_history
+         FROM clean c),
+{Q.hash_counts_cte('clean', 'conv_id, turn', 'question', 'qvec')},
+qn AS (SELECT conv_id, turn, sum(cnt * cnt) AS n2 FROM qvec GROUP BY ALL),
+cand AS (SELECT r.conv_id, r.turn, r.k, ch.chunk_id, ch.source, ch.chunk_text FROM clean r JOIN ch ON ch.collection = r.collection),
+dots AS (SELECT q.conv_id, q.turn, c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
+scored AS (
+  SELECT a.*, CASE WHEN coalesce(qn.n2, 0) * coalesce(cn.n2, 0) > 0
+                   THEN CAST(coalesce(d.d, 0) AS DOUBLE) / sqrt(CAST(qn.n2 * cn.n2 AS DOUBLE)) ELSE 0.0 END AS score
+  FROM cand a LEFT JOIN dots d USING (conv_id, turn, chunk_id) LEFT JOIN qn USING (conv_id, turn)
+  LEFT JOIN cn USING (chunk_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_id) AS rank FROM scored),
+per_q AS (
+  SELECT conv_id, turn, list({{'id': chunk_id, 'source': source, 'text': chunk_text, 'score': round(score, 4)}} ORDER BY rank) AS cites
+  FROM ranked WHERE rank <= k GROUP BY ALL),
+ans AS (
+  SELECT c.*, h.n_history, p.cites, {Q.extractive_answer('p.cites[1].text')} AS answer
+  FROM clean c LEFT JOIN hist h USING (conv_id, turn) LEFT JOIN per_q p USING (conv_id, turn)),
+outc AS (SELECT a.*, {_TURN_OUT['message']} AS out_message FROM ans a),
+resp AS (
+  SELECT conv_id, turn, collection, k, n_history, out_message IS NOT NULL AS blocked,
+         CASE WHEN out_message IS NULL THEN 'llm' ELSE 'output_guard' END AS source,
+         coalesce(out_message, answer) AS answer,
+         CASE WHEN out_message IS NULL THEN coalesce(cites, []) ELSE [] END AS cites
+  FROM outc
+  UNION ALL
+  SELECT conv_id, turn, collection, k, CAST(NULL AS BIGINT), TRUE, 'input_guard', in_message, []
+  FROM req WHERE in_message IS NOT NULL)
+SELECT conv_id, turn, collection, CAST(k AS INTEGER) AS k, n_history, blocked, source, answer,
+       CAST(len(cites) AS BIGINT) AS n_citations,
+       array_to_string(list_transform(cites, lambda x: CAST(x.id AS VARCHAR)), '|') AS citation_ids,
+       array_to_string(list_transform(cites, lambda x: coalesce(x.source, 'Unknown')), '|') AS citation_sources,
+       CASE WHEN len(cites) > 0 THEN cites[1].score END AS top_score,
+       CASE WHEN len(cites) > 0 THEN cites[len(cites)].score END AS last_score
+FROM resp
+"""
+
+
+@register("g11_guarded_turn", G11_SQL)
+def g11_guarded_turn(spark, sf):
+    """Flagship: every user turn answered end to end under its tier's guardrails."""
+    conv = table(spark, sf, "conversations")
+    resp = turns.run_turns(B.requests(conv), _index(spark, sf), conv)
+    return turns.summarize_responses(resp)

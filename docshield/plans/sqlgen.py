@@ -215,3 +215,51 @@ def window_chunks_cte(src: str, text: str, size: int, overlap: int, cols: str, n
            substring({text}, CAST(i * {stride} + 1 AS BIGINT), {size}) AS chunk_text
     FROM (SELECT *, unnest(range({n})) AS i FROM {src}))
   WHERE trim(chunk_text) <> '')"""
+
+
+# --------------------------------------------------------------------------- chat
+from docshield.functions import chat as CH  # noqa: E402
+
+WS = "[ \\t\\n\\r\\f]"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def strip_quotes(x: str) -> str:
+    return f"regexp_replace({x}, '^[\"'']+|[\"'']+$', '', 'g')"
+
+
+def extractive_answer(top_text: str) -> str:
+    first = strip_ws(f"regexp_extract({top_text}, '[^.!?\\n]*[.!?]?', 0)")
+    return (f"(CASE WHEN {top_text} IS NULL OR {first} = '' THEN {sql_str(CH.NO_CONTEXT_ANSWER)} "
+            f"ELSE {first} END)")
+
+
+def k_for(host: str, model: str) -> str:
+    conds = ([f"contains(lower(coalesce({host}, '')), {sql_str(h)})" for h in V.CLOUD_HOSTS] +
+             [f"contains(lower(coalesce({model}, '')), {sql_str(m)})" for m in V.CLOUD_MODEL_MARKERS])
+    return f"(CASE WHEN {' OR '.join(conds)} THEN {V.K_CLOUD} ELSE {V.K_LOCAL} END)"
+
+
+def parse_questions(text: str) -> str:
+    t = strip_ws(f"coalesce({text}, '')")
+    start = f"instr({t}, '[')"
+    rpos = f"instr(reverse({t}), ']')"
+    end = f"(length({t}) - {rpos} + 1)"
+    js = f"(CASE WHEN {start} > 0 AND {rpos} > 0 AND {end} > {start} THEN substring({t}, {start}, {end} - {start} + 1) END)"
+    parsed = (f"(CASE WHEN json_valid({js}) AND json_type({js}) = 'ARRAY' "
+              f"THEN from_json({js}, '[\"VARCHAR\"]') END)")
+    cleaned = f"list_filter(list_transform({parsed}, lambda x: {strip_ws('x')}), lambda x: x IS NOT NULL AND x <> '')"
+    json_q = f"(CASE WHEN len({cleaned}) > 0 THEN {cleaned}[1:3] END)"
+    lines = f"string_split({t}, chr(10))"
+    bullet = sql_str(CH.BULLET_RE)
+    p1 = (f"(list_filter(list_transform({lines}, lambda l: {strip_quotes(strip_ws(f'regexp_replace({strip_ws(chr(108))}, {bullet}, {chr(39)}{chr(39)})'))}), "
+          f"lambda x: length(x) > 10 AND ends_with(x, '?')))[1:3]")
+    c2 = f"list_filter(list_transform({lines}, lambda l: {strip_quotes(strip_ws('l'))}), lambda x: x <> '' AND ends_with(x, '?'))"
+    p2 = (f"list_filter(list_filter({c2}, lambda x, i: NOT list_contains(({c2})[1:i - 1], x)), "
+          f"lambda x: NOT list_contains({p1}, x))")
+    lined = f"(list_concat({p1}, {p2}))[1:3]"
+    defaults = "[" + ", ".join(sql_str(q) for q in CH.DEFAULT_QUESTIONS) + "]"
+    return f"coalesce({json_q}, CASE WHEN len({lined}) > 0 THEN {lined} ELSE {defaults} END)"
