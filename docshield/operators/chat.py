@@ -17,7 +17,7 @@ from docshield.operators.ordinal import ordinal_in_groups
 
 
 def history(conversations: DataFrame, other_roles: str = "drop", session: str = "conv_id",
-            seq: str = "turn") -> DataFrame:
+            seq: str = "turn", group_max: int | None = None) -> DataFrame:
     """H1 long form: kept messages with ``hist_role`` and ``hist_pos`` (0-based, in order).
 
     ``other_roles='drop'`` keeps user and assistant only (API rule); ``'assistant'`` maps
@@ -29,7 +29,7 @@ def history(conversations: DataFrame, other_roles: str = "drop", session: str =
     else:
         kept = conversations.withColumn(
             "hist_role", F.when(F.col("role") == "user", "user").otherwise("assistant"))
-    numbered = ordinal_in_groups(kept, [session], [seq], out="_o")
+    numbered = ordinal_in_groups(kept, [session], [seq], out="_o", group_max=group_max)
     return numbered.withColumn("hist_pos", (F.col("_o") - 1).cast("bigint")).drop("_o")
 
 
@@ -60,10 +60,14 @@ def has_history(requests: DataFrame, conversations: DataFrame, session: str = "c
     requests alone; the difference of the two ordinals is the count of earlier messages.
     No (request, message) pairs are formed and a hot session is split over tasks.
     """
-    h = history(conversations, session=session, seq=seq).select(session, seq, F.lit(1).alias("_kind"))
+    from docshield.operators.ordinal import max_group_rows
+    # One sizing job: every group below is a subset of (session turns + requests).
+    m = max_group_rows(conversations, [session]) * 2
+    h = history(conversations, session=session, seq=seq, group_max=m).select(
+        session, seq, F.lit(1).alias("_kind"))
     r = requests.select(session, seq).distinct().withColumn("_kind", F.lit(0))
-    both = ordinal_in_groups(h.unionByName(r), [session], [seq, "_kind"], out="_ou")
-    req = ordinal_in_groups(r, [session], [seq], out="_or")
+    both = ordinal_in_groups(h.unionByName(r), [session], [seq, "_kind"], out="_ou", group_max=m)
+    req = ordinal_in_groups(r, [session], [seq], out="_or", group_max=m)
     cnt = (both.where(F.col("_kind") == 0).select(session, seq, "_ou")
            .join(req.select(session, seq, "_or"), [session, seq])
            .select(session, seq, (F.col("_ou") - F.col("_or")).cast("bigint").alias("n_history")))

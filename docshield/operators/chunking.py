@@ -121,15 +121,22 @@ def window_count(length, size: int, overlap: int):
 
 def chunk_windows(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200,
                   keep: list[str] | None = None, drop_blank: bool = True) -> DataFrame:
-    """Fixed windows with stride size - overlap, native (no Python)."""
+    """Fixed windows with stride size - overlap, native (no Python).
+
+    The windows are cut inside the row (``transform`` over ``sequence``) before ``explode``,
+    so each output row carries its chunk only, not a copy of the whole document."""
     stride = size - overlap
     keep = [c for c in (keep if keep is not None else df.columns) if c != text]
     n = window_count(F.length(text), size, overlap)
-    out = (df.select(*keep, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_idx"))
-             .where(n > 0)
-             .select(*keep, "chunk_idx",
-                     (F.col("chunk_idx") * stride).alias("chunk_start"),
-                     F.substring(F.col(text), F.col("chunk_idx") * stride + 1, F.lit(size)).alias("chunk_text")))
+    # No row filter on ``n``: Catalyst would push it below an expensive projection of
+    # ``text`` (e.g. redaction) and evaluate that twice.  Empty texts get an empty array.
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(
+        idx,
+        lambda i: F.struct(i.alias("chunk_idx"), (i * stride).alias("chunk_start"),
+                           F.substring(F.col(text), i * stride + 1, F.lit(size)).alias("chunk_text")))
+    out = (df.select(*keep, F.explode(windows).alias("_w"))
+             .select(*keep, "_w.chunk_idx", "_w.chunk_start", "_w.chunk_text"))
     if drop_blank:
         out = out.where(F.trim("chunk_text") != "")
     return out

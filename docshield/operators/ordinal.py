@@ -25,10 +25,15 @@ def max_group_rows(df: DataFrame, groups: list[str]) -> int:
 
 
 def ordinal_in_groups(df: DataFrame, groups: list[str], order: list, out: str = "ord",
-                      bound: int = DEFAULT_GROUP_BOUND, force_split: bool = False) -> DataFrame:
-    """Add ``out`` = 1-based rank of each row in its group by ``order`` (must be a total order)."""
+                      bound: int = DEFAULT_GROUP_BOUND, force_split: bool = False,
+                      group_max: int | None = None) -> DataFrame:
+    """Add ``out`` = 1-based rank of each row in its group by ``order`` (must be a total order).
+
+    ``group_max``: a known upper bound of the largest group (skips the sizing job)."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    if not force_split and max_group_rows(df, groups) <= bound:
+    if group_max is None and not force_split:
+        group_max = max_group_rows(df, groups)
+    if not force_split and group_max <= bound:
         w = Window.partitionBy(*groups).orderBy(*order_cols)
         return df.withColumn(out, F.row_number().over(w).cast("bigint"))
 

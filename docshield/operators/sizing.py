@@ -28,3 +28,14 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "table"):
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to collect it")
     return rows
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over ``factor x`` the cluster's cores when the input arrives in
+    fewer partitions than cores (a small file with one row group), so CPU-heavy row-local
+    work (regex, splitting, embedding) uses the whole cluster.  Large inputs already come in
+    many partitions and are left alone: the check reads the plan, runs no job."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par * factor)
+    return df

@@ -200,7 +200,8 @@ MANUAL_WORDS = ["the", "und", "C++", "des", "", "el"]
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    from docshield.operators.sizing import spread
+    return spread(table(spark, sf, "documents"))
 
 
 @register("r1_redact_typed", f"""
