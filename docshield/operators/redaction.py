@@ -124,3 +124,17 @@ def pii_profile(docs: DataFrame, dims: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_docs")] + \
         [F.sum(f"n_{t.name.lower()}").cast("bigint").alias(f"n_{t.name.lower()}") for t in R.PII_TYPES]
     return per_doc.rollup(*dims).agg(*aggs)
+
+
+def rehydrate_array(df: DataFrame, mapping: DataFrame, collection: str, row_key: str, arr: str,
+                    out: str) -> DataFrame:
+    """R4 over every element of an array column (H8); order of elements is kept."""
+    ex = df.select(F.col(collection).alias("_coll"), F.col(row_key).alias("_rk"),
+                   F.posexplode(arr).alias("_pos", "_el"))
+    ex = ex.withColumn("_ek", F.concat_ws(":", F.col("_rk").cast("string"), F.col("_pos").cast("string")))
+    back = rehydrate(ex, mapping, "_coll", "_ek", "_el", "_back")
+    regroup = back.groupBy("_coll", "_rk").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_back"))).alias("_arr"))
+    regroup = regroup.select("_coll", "_rk", F.transform("_arr", lambda x: x["_back"]).alias(out))
+    keyed = df.withColumn("_coll", F.col(collection)).withColumn("_rk", F.col(row_key))
+    return keyed.join(regroup, ["_coll", "_rk"], "left").drop("_coll", "_rk")

@@ -110,3 +110,32 @@ ANSWERS_SQL = requests_sql("answers", "assistant", "answer")
 def answers(conversations: DataFrame) -> DataFrame:
     """Assistant turns as model answers to be output-checked."""
     return requests(conversations, "assistant", "answer")
+
+
+def model_outputs(conversations: DataFrame) -> DataFrame:
+    """Assistant turns reshaped into model outputs of five forms (JSON list, bullets, prose,
+    broken JSON, empty JSON + repeated lines) by a fixed rule on (conv_id, turn)."""
+    a = conversations.filter(F.col("role") == "assistant")
+    s = F.split(F.col("text"), r"\. ")
+    s1, s2, s3 = (F.coalesce(F.get(s, i), F.lit("")) for i in range(3))
+    form = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    out = (F.when(form == 0, F.concat(F.lit('["'), s1, F.lit('?", "'), s2, F.lit('?", "'), s3, F.lit('?"]')))
+           .when(form == 1, F.concat(F.lit("1. "), s1, F.lit("?\n- "), s2, F.lit('?\n* "'), s3, F.lit('?"')))
+           .when(form == 2, F.col("text"))
+           .when(form == 3, F.concat(F.lit('["'), s1, F.lit('?", "'), s2))
+           .otherwise(F.concat(F.lit("Here are some questions:\n"), s1, F.lit("?\n"), s1, F.lit("?\n[]"))))
+    return a.select("conv_id", "turn", form.alias("form"), out.alias("output"))
+
+
+MODEL_OUTPUTS_SQL = """
+model_outputs AS (
+  SELECT conv_id, turn, form,
+         CASE form WHEN 0 THEN '["' || s1 || '?", "' || s2 || '?", "' || s3 || '?"]'
+                   WHEN 1 THEN '1. ' || s1 || '?' || chr(10) || '- ' || s2 || '?' || chr(10) || '* "' || s3 || '?"'
+                   WHEN 2 THEN text
+                   WHEN 3 THEN '["' || s1 || '?", "' || s2
+                   ELSE 'Here are some questions:' || chr(10) || s1 || '?' || chr(10) || s1 || '?' || chr(10) || '[]' END AS output
+  FROM (SELECT conv_id, turn, text, ((conv_id + turn) % 5 + 5) % 5 AS form,
+               coalesce(string_split(text, '. ')[1], '') AS s1, coalesce(string_split(text, '. ')[2], '') AS s2,
+               coalesce(string_split(text, '. ')[3], '') AS s3
+        FROM conversations WHERE role = 'assistant'))"""

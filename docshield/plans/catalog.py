@@ -501,8 +501,8 @@ def _index(spark, sf):
 _TURN_IN = Q.check("question", "tier", "enabled", "custom_rules", "in")
 _TURN_OUT = Q.check("answer", "tier", "enabled", "custom_rules", "out")
 
-G11_SQL = f"""
-WITH {B.REQUESTS_SQL[1:]},
+TURN_CTES = f"""
+{B.REQUESTS_SQL[1:]},
 req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model')} AS k FROM requests r),
 docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
@@ -516,7 +516,8 @@ hist AS (SELECT c.conv_id, c.turn,
          FROM clean c),
 {Q.hash_counts_cte('clean', 'conv_id, turn', 'question', 'qvec')},
 qn AS (SELECT conv_id, turn, sum(cnt * cnt) AS n2 FROM qvec GROUP BY ALL),
-cand AS (SELECT r.conv_id, r.turn, r.k, ch.chunk_id, ch.source, ch.chunk_text FROM clean r JOIN ch ON ch.collection = r.collection),
+cand AS (SELECT r.conv_id, r.turn, r.k, ch.chunk_id, ch.source, ch.chunk_text, ch.chunk_start
+         FROM clean r JOIN ch ON ch.collection = r.collection),
 dots AS (SELECT q.conv_id, q.turn, c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
 scored AS (
   SELECT a.*, CASE WHEN coalesce(qn.n2, 0) * coalesce(cn.n2, 0) > 0
@@ -524,9 +525,10 @@ scored AS (
   FROM cand a LEFT JOIN dots d USING (conv_id, turn, chunk_id) LEFT JOIN qn USING (conv_id, turn)
   LEFT JOIN cn USING (chunk_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_id) AS rank FROM scored),
+hits AS (SELECT * FROM ranked WHERE rank <= k),
 per_q AS (
   SELECT conv_id, turn, list({{'id': chunk_id, 'source': source, 'text': chunk_text, 'score': round(score, 4)}} ORDER BY rank) AS cites
-  FROM ranked WHERE rank <= k GROUP BY ALL),
+  FROM hits GROUP BY ALL),
 ans AS (
   SELECT c.*, h.n_history, p.cites, {Q.extractive_answer('p.cites[1].text')} AS answer
   FROM clean c LEFT JOIN hist h USING (conv_id, turn) LEFT JOIN per_q p USING (conv_id, turn)),
@@ -535,11 +537,16 @@ resp AS (
   SELECT conv_id, turn, collection, k, n_history, out_message IS NOT NULL AS blocked,
          CASE WHEN out_message IS NULL THEN 'llm' ELSE 'output_guard' END AS source,
          coalesce(out_message, answer) AS answer,
-         CASE WHEN out_message IS NULL THEN coalesce(cites, []) ELSE [] END AS cites
+         CASE WHEN out_message IS NULL THEN coalesce(cites, []) ELSE [] END AS cites,
+         question AS question_used, coalesce(out_message, answer) AS stored_answer
   FROM outc
   UNION ALL
-  SELECT conv_id, turn, collection, k, CAST(NULL AS BIGINT), TRUE, 'input_guard', in_message, []
-  FROM req WHERE in_message IS NOT NULL)
+  SELECT conv_id, turn, collection, k, CAST(NULL AS BIGINT), TRUE, 'input_guard', in_message, [],
+         question, CAST(NULL AS VARCHAR)
+  FROM req WHERE in_message IS NOT NULL)"""
+
+G11_SQL = f"""
+WITH {TURN_CTES}
 SELECT conv_id, turn, collection, CAST(k AS INTEGER) AS k, n_history, blocked, source, answer,
        CAST(len(cites) AS BIGINT) AS n_citations,
        array_to_string(list_transform(cites, lambda x: CAST(x.id AS VARCHAR)), '|') AS citation_ids,
@@ -556,3 +563,250 @@ def g11_guarded_turn(spark, sf):
     conv = table(spark, sf, "conversations")
     resp = turns.run_turns(B.requests(conv), _index(spark, sf), conv)
     return turns.summarize_responses(resp)
+
+
+# --------------------------------------------------------------------------- conversation (H*)
+from docshield.functions import chat as CH  # noqa: E402
+from docshield.operators import chat  # noqa: E402
+
+
+def _responses(spark, sf):
+    conv = table(spark, sf, "conversations")
+    return turns.run_turns(B.requests(conv), _index(spark, sf), conv)
+
+
+@register("h1_history", """
+SELECT conv_id, turn, role AS hist_role,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS hist_pos
+FROM conversations WHERE role IN ('user', 'assistant')
+""")
+def h1_history(spark, sf):
+    h = chat.history(table(spark, sf, "conversations"))
+    return h.select("conv_id", "turn", "hist_role", "hist_pos")
+
+
+@register("h1_history_cli_roles", """
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS hist_role,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS hist_pos
+FROM conversations
+""")
+def h1_history_cli_roles(spark, sf):
+    h = chat.history(table(spark, sf, "conversations"), other_roles="assistant")
+    return h.select("conv_id", "turn", "hist_role", "hist_pos")
+
+
+@register("h2_retrieval_query", f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT r.conv_id, r.turn,
+       (SELECT CAST(count(*) AS BIGINT) FROM conversations m
+        WHERE m.conv_id = r.conv_id AND m.turn < r.turn AND m.role IN ('user', 'assistant')) AS n_history,
+       question AS retrieval_query
+FROM requests r
+""")
+def h2_retrieval_query(spark, sf):
+    conv = table(spark, sf, "conversations")
+    r = chat.retrieval_query(chat.has_history(B.requests(conv), conv))
+    return r.select("conv_id", "turn", "n_history", "retrieval_query")
+
+
+_CTX_SQL = ("array_to_string(list_transform(cites, lambda x: '[Source Document: ' || coalesce(x.source, 'Unknown') "
+            "|| ']' || chr(10) || x.text), chr(10) || chr(10))")
+
+
+@register("h3_context", f"""
+WITH {TURN_CTES}
+SELECT conv_id, turn, {_CTX_SQL} AS context FROM ans
+""")
+def h3_context(spark, sf):
+    conv = table(spark, sf, "conversations")
+    req = B.requests(conv)
+    idx = _index(spark, sf)
+    inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
+    clean = req.where(inp.message.isNull()).withColumn("k", V.k_for(F.col("host"), F.col("model")))
+    qv = embedding.hashing_embed(clean, "question", "qvec").withColumn(
+        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    hits = search.topk(qv, idx, V.K_CLOUD, q_id="qid", q_vec="qvec", i_id="chunk_id", i_vec="vec",
+                       partition="collection", metric="cosine", q_norm2="qvec_norm2", i_norm2="vec_norm2",
+                       k_col="k")
+    hits = hits.join(idx.select("chunk_id", "source", "chunk_text"), "chunk_id")
+    ctx = chat.context(hits, ["qid"])
+    return qv.select("qid", "conv_id", "turn").join(ctx, "qid", "left").select(
+        "conv_id", "turn", F.coalesce("context", F.lit("")).alias("context"))
+
+
+@register("h4_prompts", f"""
+WITH {TURN_CTES}
+SELECT conv_id, turn, CAST(n_history + 2 AS BIGINT) AS n_messages,
+       coalesce(nullif(system_prompt, ''), {B.sql_str(CH.DEFAULT_SYSTEM_PROMPT)}) || {B.sql_str(CH.CONTEXT_HEADER)}
+         || {_CTX_SQL} AS system_content,
+       question AS user_content
+FROM ans
+""")
+def h4_prompts(spark, sf):
+    conv = table(spark, sf, "conversations")
+    ctx = h3_context(spark, sf)
+    req = B.requests(conv)
+    inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
+    clean = chat.has_history(req.where(inp.message.isNull()), conv)
+    rows = clean.join(ctx, ["conv_id", "turn"], "left")
+    p = chat.prompts(rows.withColumn("history", F.array().cast("array<struct<role:string,content:string>>")))
+    return p.select("conv_id", "turn", (F.col("n_history") + 2).cast("bigint").alias("n_messages"),
+                    F.col("messages")[0]["content"].alias("system_content"),
+                    F.element_at("messages", -1)["content"].alias("user_content"))
+
+
+@register("h5_append_turns", f"""
+WITH {TURN_CTES},
+last AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+r AS (SELECT resp.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM resp WHERE source <> 'input_guard')
+SELECT r.conv_id, CAST(coalesce(l.last, -1) + 1 + r.i * 2 AS BIGINT) AS turn, 'user' AS role, r.question_used AS text
+FROM r LEFT JOIN last l USING (conv_id)
+UNION ALL
+SELECT r.conv_id, CAST(coalesce(l.last, -1) + 2 + r.i * 2 AS BIGINT), 'assistant', r.stored_answer
+FROM r LEFT JOIN last l USING (conv_id)
+""")
+def h5_append_turns(spark, sf):
+    conv = table(spark, sf, "conversations")
+    both = chat.append_turns(conv.select("conv_id", "turn", "role", "text"), _responses(spark, sf))
+    return both.join(conv.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+
+
+@register("h6_clear_sessions", f"""
+WITH {B.REQUESTS_SQL[1:]},
+blocked AS (SELECT DISTINCT conv_id FROM requests WHERE {_IN['message']} IS NOT NULL)
+SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.conv_id = c.conv_id)
+""")
+def h6_clear_sessions(spark, sf):
+    conv = table(spark, sf, "conversations")
+    ids = guarding.check_input(B.requests(conv)).where(F.col("in_message").isNotNull()).select("conv_id")
+    return chat.clear(conv, ids).select("conv_id", "turn", "role")
+
+
+@register("h7_parse_questions", f"""
+WITH {B.MODEL_OUTPUTS_SQL[1:]}, p AS (SELECT conv_id, turn, form, {Q.parse_questions('output')} AS qs FROM model_outputs)
+SELECT conv_id, turn, CAST(form AS INTEGER) AS form, CAST(len(qs) AS BIGINT) AS n_questions,
+       qs[1] AS q1, qs[2] AS q2, qs[3] AS q3
+FROM p
+""")
+def h7_parse_questions(spark, sf):
+    mo = B.model_outputs(table(spark, sf, "conversations"))
+    qs = CH.parse_questions(F.col("output"))
+    return mo.select("conv_id", "turn", F.col("form").cast("int"), F.size(qs).cast("bigint").alias("n_questions"),
+                     F.get(qs, 0).alias("q1"), F.get(qs, 1).alias("q2"), F.get(qs, 2).alias("q3"))
+
+
+@register("h8_rehydrate_suggestions", f"""
+WITH {_R3_DOCS}, {Q.occurrences_cte('docs', 'collection', 'doc_id', 'text')}, {Q.token_map_ctes()},
+{Q.apply_map_ctes('occ', 'tmap', 'docs', 'collection', 'doc_id', 'text')},
+lines AS (SELECT collection, doc_id, list_filter(string_split(text_tokens, chr(10)),
+                 lambda l: regexp_matches(l, {B.sql_str(R.TOKEN_RE)})) AS ls FROM tokenized),
+maps AS (SELECT collection, list({{'token': token, 'original': original}}) AS m FROM tmap GROUP BY collection),
+back AS (
+  SELECT l.doc_id, l.ls,
+         list_transform(l.ls, lambda x: coalesce(list_reduce(mp.m, lambda acc, y: replace(acc, y.token, y.original), x), x)) AS restored
+  FROM lines l LEFT JOIN maps mp USING (collection))
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, md5(array_to_string(restored, chr(10))) AS restored_md5
+FROM back
+""")
+def h8_rehydrate_suggestions(spark, sf):
+    docs = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "text")
+    tok, mapping = redaction.tokenize_pii(docs)
+    lines = tok.select("collection", "doc_id", F.filter(F.split("text_tokens", "\n"),
+                                                        lambda x: x.rlike(R.TOKEN_RE)).alias("ls"))
+    back = redaction.rehydrate_array(lines, mapping, "collection", "doc_id", "ls", "restored")
+    empty = F.array().cast("array<string>")
+    return back.select("doc_id", F.size("ls").cast("bigint").alias("n_lines"),
+                       F.md5(F.array_join(F.coalesce("restored", empty), "\n")).alias("restored_md5"))
+
+
+DEFAULT_HOST = "http://localhost:11434"
+
+
+@register("h9_setting_changes", f"""
+WITH {B.REQUESTS_SQL[1:]},
+r AS (SELECT conv_id, turn, model, regexp_replace(coalesce(nullif(host, ''), {B.sql_str(DEFAULT_HOST)}), '/+$', '') AS host,
+             system_prompt FROM requests)
+SELECT conv_id, turn, coalesce(
+   (lag(model) OVER w IS NOT NULL AND model IS DISTINCT FROM lag(model) OVER w)
+   OR (lag(host) OVER w IS NOT NULL AND host IS DISTINCT FROM lag(host) OVER w)
+   OR (lag(system_prompt) OVER w IS NOT NULL AND system_prompt IS DISTINCT FROM lag(system_prompt) OVER w), FALSE) AS rebuild
+FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""")
+def h9_setting_changes(spark, sf):
+    r = _requests(spark, sf).withColumn("host", CH.resolve_host(F.col("host"), DEFAULT_HOST))
+    return chat.setting_changes(r).select("conv_id", "turn", "rebuild")
+
+
+@register("h10_resolve_host", f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT conv_id, turn, regexp_replace(coalesce(nullif(host, ''), {B.sql_str(DEFAULT_HOST)}), '/+$', '') AS resolved_host
+FROM requests
+""")
+def h10_resolve_host(spark, sf):
+    r = _requests(spark, sf)
+    return r.select("conv_id", "turn", CH.resolve_host(F.col("host"), DEFAULT_HOST).alias("resolved_host"))
+
+
+@register("h11_answer_extractive", f"""
+WITH {TURN_CTES}
+SELECT conv_id, turn, answer FROM ans
+""")
+def h11_answer_extractive(spark, sf):
+    """H11 built-in answer (before the output guard) for every clean request."""
+    return _raw_answers(spark, sf, table(spark, sf, "conversations"))
+
+
+def _raw_answers(spark, sf, conv):
+    req = B.requests(conv)
+    idx = _index(spark, sf)
+    inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
+    clean = req.where(inp.message.isNull()).withColumn("k", V.k_for(F.col("host"), F.col("model")))
+    qv = embedding.hashing_embed(clean, "question", "qvec").withColumn(
+        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    hits = search.topk(qv, idx, V.K_CLOUD, q_id="qid", q_vec="qvec", i_id="chunk_id", i_vec="vec",
+                       partition="collection", metric="cosine", q_norm2="qvec_norm2", i_norm2="vec_norm2",
+                       k_col="k")
+    top = hits.where(F.col("rank") == 1).join(idx.select("chunk_id", F.col("chunk_text").alias("top_text")), "chunk_id")
+    rows = qv.select("qid", "conv_id", "turn").join(top.select("qid", "top_text"), "qid", "left")
+    return chat.answer(rows, None, "top_text", "answer").select("conv_id", "turn", "answer")
+
+
+@register("v4_citations", f"""
+WITH {TURN_CTES}
+SELECT r.conv_id, r.turn, CAST(c.i AS INTEGER) AS rank, c.x.id AS chunk_id, coalesce(c.x.source, 'Unknown') AS source,
+       c.x.score AS score
+FROM resp r, (SELECT unnest(generate_series(1, len(r2.cites))) AS i, r2.conv_id, r2.turn, unnest(r2.cites) AS x FROM resp r2) c
+WHERE r.conv_id = c.conv_id AND r.turn = c.turn
+""")
+def v4_citations(spark, sf):
+    resp = _responses(spark, sf)
+    return resp.select("conv_id", "turn", F.posexplode("citations").alias("p", "c")).select(
+        "conv_id", "turn", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.id").alias("chunk_id"),
+        F.coalesce(F.col("c.source"), F.lit("Unknown")).alias("source"), F.col("c.score").alias("score"))
+
+
+OVERVIEW_QUERY = "summary overview main topics highlights key findings timeline requirements"
+
+
+@register("v5_representative_chunks", f"""
+WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+{Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
+cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
+q AS (SELECT 1 AS one, {B.sql_str(OVERVIEW_QUERY)} AS text),
+{Q.hash_counts_cte('q', 'one', 'text', 'qvec')},
+qn AS (SELECT sum(cnt * cnt) AS n2 FROM qvec),
+dots AS (SELECT c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
+scored AS (SELECT ch.collection, ch.chunk_id,
+                  CASE WHEN (SELECT n2 FROM qn) * coalesce(cn.n2, 0) > 0
+                       THEN CAST(coalesce(d.d, 0) AS DOUBLE) / sqrt(CAST((SELECT n2 FROM qn) * cn.n2 AS DOUBLE)) ELSE 0.0 END AS score
+           FROM ch LEFT JOIN dots d USING (chunk_id) LEFT JOIN cn USING (chunk_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, chunk_id) AS rank FROM scored)
+SELECT collection, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 4) AS score FROM r WHERE rank <= 3
+""")
+def v5_representative_chunks(spark, sf):
+    from docshield.plans.turns import representative_chunks
+    idx = _index(spark, sf)
+    return representative_chunks(idx, OVERVIEW_QUERY, V.K_SUGGEST).select(
+        "collection", "rank", "chunk_id", F.round("score", 4).alias("score"))
