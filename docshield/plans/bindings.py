@@ -139,3 +139,23 @@ model_outputs AS (
                coalesce(string_split(text, '. ')[1], '') AS s1, coalesce(string_split(text, '. ')[2], '') AS s2,
                coalesce(string_split(text, '. ')[3], '') AS s3
         FROM conversations WHERE role = 'assistant'))"""
+
+
+# Files view of ``documents`` (S*, F*): name and extension by fixed rules on (lang, doc_id).
+LANG_EXT = {"en": ".txt", "fr": ".PDF", "de": ".docx", "es": ".md"}
+
+
+def files(documents: DataFrame) -> DataFrame:
+    ext = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in LANG_EXT.items()], F.lit(".bin"))
+    name = F.concat(F.lit("doc_"), F.pmod(F.col("doc_id"), F.lit(50)).cast("string"), ext)
+    return documents.select(
+        F.col("source").alias("collection"), F.col("doc_id").alias("ord"), "doc_id", "lang", "text",
+        name.alias("name"), F.concat(F.lit("/uploads/"), F.col("source"), F.lit("/"), name).alias("path"))
+
+
+FILES_SQL = """
+files AS (
+  SELECT source AS collection, doc_id AS ord, doc_id, lang, text, name, '/uploads/' || source || '/' || name AS path
+  FROM (SELECT *, 'doc_' || CAST(((doc_id % 50) + 50) % 50 AS VARCHAR) ||
+               CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.PDF' WHEN 'de' THEN '.docx' WHEN 'es' THEN '.md'
+                         ELSE '.bin' END AS name FROM documents))"""

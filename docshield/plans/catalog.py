@@ -810,3 +810,161 @@ def v5_representative_chunks(spark, sf):
     idx = _index(spark, sf)
     return representative_chunks(idx, OVERVIEW_QUERY, V.K_SUGGEST).select(
         "collection", "rank", "chunk_id", F.round("score", 4).alias("score"))
+
+
+# --------------------------------------------------------------------------- sources (S*)
+from docshield.operators import fingerprint as FP  # noqa: E402
+from docshield.sources import documents as SD  # noqa: E402
+
+
+def _files(spark, sf):
+    return B.files(_docs(spark, sf))
+
+
+@register("s1_document_scan", f"""
+WITH {B.FILES_SQL[1:]}
+SELECT doc_id, string_split(path, '/')[-1] AS source, CAST(length(text) AS BIGINT) AS n_chars,
+       CAST(strlen(text) AS BIGINT) AS n_bytes
+FROM files
+""")
+def s1_document_scan(spark, sf):
+    f = _files(spark, sf)
+    return f.select("doc_id", SD.base_name(F.col("path")).alias("source"),
+                    F.length("text").cast("bigint").alias("n_chars"),
+                    F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+_EXT_SQL = "lower(regexp_extract(name, '(\\.[^./]*)$', 1))"
+
+
+@register("s2_extension_allow_list", f"""
+WITH {B.FILES_SQL[1:]}
+SELECT {_EXT_SQL} AS ext, {_EXT_SQL} IN ('.pdf', '.txt', '.doc', '.docx') AS supported,
+       CAST(count(*) AS BIGINT) AS n_files
+FROM files GROUP BY ALL
+""")
+def s2_extension_allow_list(spark, sf):
+    f = _files(spark, sf)
+    kept = SD.split_supported(f, "skip").select("doc_id").withColumn("supported", F.lit(True))
+    return (f.join(kept, "doc_id", "left")
+             .groupBy(SD.extension(F.col("name")).alias("ext"),
+                      F.coalesce(F.col("supported"), F.lit(False)).alias("supported"))
+             .agg(F.count(F.lit(1)).cast("bigint").alias("n_files")))
+
+
+@register("s3_dedup_incoming", f"""
+WITH {B.FILES_SQL[1:]},
+existing AS (SELECT name, doc_id FROM files WHERE length(collection) = 4),
+incoming AS (SELECT name, doc_id FROM files WHERE length(collection) <> 4)
+SELECT name, doc_id FROM existing
+UNION ALL
+SELECT name, doc_id FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.name = i.name)
+""")
+def s3_dedup_incoming(spark, sf):
+    # existing uploads: collections src0..src9; incoming: src10..src19
+    f = _files(spark, sf).select("name", "doc_id", "collection")
+    existing = f.where(F.length("collection") == 4).drop("collection")
+    incoming = f.where(F.length("collection") != 4).drop("collection")
+    return SD.dedup_incoming(existing, incoming)
+
+
+@register("s4_union_documents", """
+SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS INTEGER) AS batch_ord
+FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')
+""")
+def s4_union_documents(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "lang")
+    parts = [d.where(F.col("lang") == lg).select("doc_id") for lg in ("en", "fr", "de", "es")]
+    return SD.union_documents(*parts).select("doc_id", F.col("batch_ord").cast("int"))
+
+
+@register("s5_empty_check", f"""
+WITH {_WIN}
+SELECT d.source AS collection, CAST(count(DISTINCT d.doc_id) AS BIGINT) AS n_docs,
+       CAST(count(c.chunk_idx) AS BIGINT) AS n_chunks, count(c.chunk_idx) = 0 AS empty
+FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.source
+""")
+def s5_empty_check(spark, sf):
+    docs = SD.assert_non_empty(_docs(spark, sf))
+    ch = _windows(spark, sf)
+    per = docs.groupBy(F.col("source").alias("collection")).agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    nch = ch.groupBy(F.col("source").alias("collection")).agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
+    out = per.join(nch, "collection", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("bigint"))
+    empty = SD.empty_collections(per, nch).withColumn("empty", F.lit(True))
+    return out.join(empty, "collection", "left").select(
+        "collection", "n_docs", "n_chunks", F.coalesce("empty", F.lit(False)).alias("empty"))
+
+
+PAGE_CHARS = 3000
+
+
+@register("s6_display_page", f"""
+WITH {_WIN}
+SELECT doc_id, chunk_idx, CAST(CASE WHEN lang = 'fr' THEN floor(chunk_start / {PAGE_CHARS}) + 1 END AS BIGINT) AS page
+FROM chunks
+""")
+def s6_display_page(spark, sf):
+    ch = _windows(spark, sf)
+    stored = F.when(F.col("lang") == "fr", F.floor(F.col("chunk_start") / PAGE_CHARS))
+    return ch.select("doc_id", "chunk_idx", SD.display_page(stored).cast("bigint").alias("page"))
+
+
+# --------------------------------------------------------------------------- fingerprints (F*)
+def _merkle_sql(src: str, coll: str, ord_: str, text: str) -> str:
+    return f"""l0 AS (SELECT {coll} AS c, {ord_} AS o, md5({text}) AS h FROM {src}),
+l1 AS (SELECT c, o2 AS o, md5(string_agg(h, '' ORDER BY o)) AS h FROM (SELECT *, CAST(floor(o / 1024) AS BIGINT) AS o2 FROM l0) GROUP BY c, o2),
+l2 AS (SELECT c, o2 AS o, md5(string_agg(h, '' ORDER BY o)) AS h FROM (SELECT *, CAST(floor(o / 1024) AS BIGINT) AS o2 FROM l1) GROUP BY c, o2),
+l3 AS (SELECT c, o2 AS o, md5(string_agg(h, '' ORDER BY o)) AS h FROM (SELECT *, CAST(floor(o / 1024) AS BIGINT) AS o2 FROM l2) GROUP BY c, o2)"""
+
+
+@register("f1_collection_key", f"""
+WITH {B.FILES_SQL[1:]}, {_merkle_sql('files', 'collection', 'ord', 'text')}
+SELECT c AS collection, h || '_1000_200_Raw_Offline' AS db_id FROM l3
+""")
+def f1_collection_key(spark, sf):
+    return FP.collection_key(_files(spark, sf), 1000, 200, False)
+
+
+@register("f1_collection_key_exact", f"""
+WITH {B.FILES_SQL[1:]}
+SELECT collection, md5(string_agg(text, '' ORDER BY ord)) || '_1000_200_Redacted_Offline' AS db_id
+FROM files GROUP BY collection
+""")
+def f1_collection_key_exact(spark, sf):
+    return FP.collection_key_exact(_files(spark, sf), 1000, 200, True)
+
+
+@register("f2_cache_hits", f"""
+WITH {B.FILES_SQL[1:]}, {_merkle_sql('files', 'collection', 'ord', 'text')},
+new AS (SELECT c AS collection, h || '_1000_200_Raw_Offline' AS db_id FROM l3
+        UNION ALL SELECT c, h || '_600_100_Raw_Offline' FROM l3),
+idx AS (SELECT h || '_1000_200_Raw_Offline' AS db_id FROM l3)
+SELECT collection, db_id, db_id IN (SELECT db_id FROM idx) AS cached FROM new
+""")
+def f2_cache_hits(spark, sf):
+    f = _files(spark, sf)
+    a = FP.collection_key(f, 1000, 200, False)
+    b = FP.collection_key(f, 600, 100, False)
+    build, there = FP.pending(a.unionByName(b), a.select("db_id"))
+    return build.withColumn("cached", F.lit(False)).unionByName(there.withColumn("cached", F.lit(True)))
+
+
+@register("f3_upload_session_id", f"""
+WITH {B.FILES_SQL[1:]}
+SELECT collection, substr(md5(string_agg(name, '|' ORDER BY name) || 'gemma3:1b' || '1000' || '200' || 'False' || 'secret, ACME'), 1, 16) AS session_id
+FROM files GROUP BY collection
+""")
+def f3_upload_session_id(spark, sf):
+    return FP.session_key(_files(spark, sf), "gemma3:1b", 1000, 200, False, "secret, ACME")
+
+
+@register("f4_reload_session_id", f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT conv_id, turn, substr(md5('db_' || collection || model || regexp_replace(coalesce(nullif(host, ''), {B.sql_str(DEFAULT_HOST)}), '/+$', '')), 1, 16) AS session_id
+FROM requests
+""")
+def f4_reload_session_id(spark, sf):
+    r = _requests(spark, sf)
+    host = CH.resolve_host(F.col("host"), DEFAULT_HOST)
+    return r.select("conv_id", "turn", FP.reload_session_key(F.concat(F.lit("db_"), F.col("collection")),
+                                                             F.col("model"), host).alias("session_id"))
