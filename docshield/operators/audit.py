@@ -20,7 +20,8 @@ def turn_events(responses: DataFrame, redacted: bool = False) -> DataFrame:
     tier = F.coalesce(F.col("tier"), F.lit("None"))
     blocked_in = F.col("source") == "input_guard"
     blocked_out = F.col("source") == "output_guard"
-    latency = F.format_number(F.coalesce(F.col("latency_sec"), F.lit(0.0)), 3)
+    lat = F.col("latency_sec") if "latency_sec" in responses.columns else F.lit(0.0)
+    latency = F.format_number(F.coalesce(lat, F.lit(0.0)), 3)
     main = F.struct(
         F.when(blocked_in | blocked_out, F.lit("safety_alert")).otherwise(F.lit("retrieval")).alias("event_type"),
         F.when(blocked_in, F.concat(F.lit("Input question blocked by "), tier, F.lit(" policy.")))

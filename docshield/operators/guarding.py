@@ -81,3 +81,55 @@ def merge_profiles(base: DataFrame, custom: DataFrame, key: str = "key") -> Data
     """Custom profiles override built-ins by key (anti join + union); order kept."""
     kept = base.join(custom.select(key), key, "left_anti")
     return kept.unionByName(custom.select(*base.columns))
+
+
+# The built-in UI profiles (key, display name, chunk size, overlap, tier,
+# guardrails, custom rules), in their display order.
+UI_PROFILES = [
+    ("balanced", "Balanced (Default)", 1000, 200, "Internal", True, ""),
+    ("strict", "Strict Privacy", 1000, 200, "Restricted", True,
+     "ssn, password, api key, credit card, medical record"),
+    ("fast", "Fast Summarizer", 600, 100, "Public", True, ""),
+]
+PROFILE_SCHEMA = ("key string, name string, ord int, chunk_size int, chunk_overlap int, "
+                  "sensitivity string, guardrails boolean, rules string")
+
+
+def ui_profiles(spark):
+    rows = [(k, n, i, cs, co, s, g, r) for i, (k, n, cs, co, s, g, r) in enumerate(UI_PROFILES)]
+    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+
+
+def policy_rows(spark, policy: G.Policy | None = None):
+    """The policy as a table (tier, direction, ord, pattern) -- the form that is stored."""
+    policy = policy or G.Policy.default()
+    rows = []
+    for t in policy.tiers():
+        for d, table in (("in", policy.inputs), ("out", policy.outputs)):
+            for i, p in enumerate(table.get(t, [])):
+                rows.append((t, d, i, p))
+    return spark.createDataFrame(rows, "tier string, direction string, ord int, pattern string")
+
+
+def tiers_frame(spark, policy: G.Policy | None = None):
+    """Tier -> description, badge."""
+    policy = policy or G.Policy.default()
+    rows = [(t, policy.descriptions.get(t), policy.badges.get(t)) for t in policy.tiers()]
+    return spark.createDataFrame(rows, "tier string, description string, badge string")
+
+
+def policy_from_rows(rows_df, tiers_df=None, max_rows: int = 100_000) -> G.Policy:
+    """Build the Column-builder policy from a stored policy table (size checked)."""
+    from docshield.operators.sizing import collect_bounded
+    rows = collect_bounded(rows_df, max_rows, "policy")
+    p = G.Policy({}, {}, {}, {})
+    for r in sorted(rows, key=lambda r: (r["tier"], r["direction"], r["ord"])):
+        (p.inputs if r["direction"] == "in" else p.outputs).setdefault(r["tier"], []).append(r["pattern"])
+    for t in list(p.inputs) + list(p.outputs):
+        p.inputs.setdefault(t, [])
+        p.outputs.setdefault(t, [])
+    if tiers_df is not None:
+        for r in collect_bounded(tiers_df, max_rows, "tiers"):
+            p.descriptions[r["tier"]] = r["description"]
+            p.badges[r["tier"]] = r["badge"]
+    return p

@@ -31,6 +31,11 @@ def register(library: DataFrame, entries: DataFrame, key: str = "db_id", ts: str
 def list_library(library: DataFrame, index_keys: DataFrame, key: str = "db_id") -> DataFrame:
     """L2: defaults for missing fields, ``available`` = an index exists, newest first."""
     avail = index_keys.select(key).distinct().withColumn("available", F.lit(True))
+    for c, t in (("files", "array<string>"), ("model", "string"), ("chunk_size", "int"),
+                 ("chunk_overlap", "int"), ("redact_pii", "boolean"),
+                 ("manual_redactions", "array<string>"), ("created_at", "string")):
+        if c not in library.columns:  # missing field in the stored entry -> default below
+            library = library.withColumn(c, F.lit(None).cast(t))
     out = library.join(avail, key, "left")
     return (out.select(
         key,

@@ -968,3 +968,270 @@ def f4_reload_session_id(spark, sf):
     host = CH.resolve_host(F.col("host"), DEFAULT_HOST)
     return r.select("conv_id", "turn", FP.reload_session_key(F.concat(F.lit("db_"), F.col("collection")),
                                                              F.col("model"), host).alias("session_id"))
+
+
+# --------------------------------------------------------------------------- library (L*)
+from docshield.operators import audit, library  # noqa: E402
+
+
+def _library_log(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.concat(F.lit("db_"), F.col("o_custkey").cast("string")).alias("db_id"),
+                    F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("version"),
+                    F.col("o_orderpriority").alias("model"), F.lit(1000).alias("chunk_size"),
+                    F.lit(200).alias("chunk_overlap"), (F.col("o_orderstatus") == "F").alias("redact_pii"))
+
+
+def _library(spark, sf):
+    log = _library_log(spark, sf)
+    empty = log.limit(0)
+    return library.register(empty, log, "db_id", "created_at", "version")
+
+
+def _index_keys(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.where(F.col("c_mktsegment") != "BUILDING").select(
+        F.concat(F.lit("db_"), F.col("c_custkey").cast("string")).alias("db_id"))
+
+
+_LIB_SQL = """lib AS (
+  SELECT db_id, created_at, version, model, chunk_size, chunk_overlap, redact_pii FROM (
+    SELECT 'db_' || CAST(o_custkey AS VARCHAR) AS db_id, o_orderdate AS created_at, o_orderkey AS version,
+           o_orderpriority AS model, 1000 AS chunk_size, 200 AS chunk_overlap, o_orderstatus = 'F' AS redact_pii,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+    FROM orders) WHERE rn = 1),
+idx AS (SELECT 'db_' || CAST(c_custkey AS VARCHAR) AS db_id FROM customer WHERE c_mktsegment <> 'BUILDING')"""
+
+
+@register("l1_register_library", f"""
+WITH {_LIB_SQL}
+SELECT db_id, epoch_us(created_at) AS created_us, version, model, redact_pii FROM lib
+""")
+def l1_register_library(spark, sf):
+    lib = _library(spark, sf)
+    return lib.select("db_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"),
+                      "version", "model", "redact_pii")
+
+
+@register("l2_list_library", f"""
+WITH {_LIB_SQL}
+SELECT l.db_id, coalesce(l.model, 'unknown') AS model, CAST(l.chunk_size AS INTEGER) AS chunk_size,
+       CAST(l.chunk_overlap AS INTEGER) AS chunk_overlap, coalesce(l.redact_pii, FALSE) AS redact_pii,
+       EXISTS (SELECT 1 FROM idx WHERE idx.db_id = l.db_id) AS available
+FROM lib l
+""")
+def l2_list_library(spark, sf):
+    out = library.list_library(_library(spark, sf), _index_keys(spark, sf))
+    return out.select("db_id", "model", F.col("chunk_size").cast("int"), F.col("chunk_overlap").cast("int"),
+                      "redact_pii", "available")
+
+
+@register("l3_resolve_collection", f"""
+WITH {_LIB_SQL}
+SELECT 'db_' || CAST(c_custkey AS VARCHAR) AS db_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM lib WHERE lib.db_id = 'db_' || CAST(c_custkey AS VARCHAR)) THEN 'not_in_library'
+            WHEN NOT EXISTS (SELECT 1 FROM idx WHERE idx.db_id = 'db_' || CAST(c_custkey AS VARCHAR)) THEN 'index_missing'
+            ELSE 'ok' END AS status
+FROM customer
+""")
+def l3_resolve_collection(spark, sf):
+    req = table(spark, sf, "customer").select(F.concat(F.lit("db_"), F.col("c_custkey").cast("string")).alias("db_id"))
+    return library.resolve(req, _library(spark, sf), _index_keys(spark, sf)).select("db_id", "status")
+
+
+@register("l4_delete_collection", f"""
+WITH {_LIB_SQL},
+ids AS (SELECT db_id FROM lib WHERE model = '1-URGENT'
+        UNION SELECT 'db_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0)
+SELECT db_id, CASE WHEN db_id IN (SELECT db_id FROM ids) THEN 'deleted' ELSE 'kept' END AS outcome FROM lib
+UNION ALL
+SELECT db_id, 'unknown' FROM ids WHERE db_id NOT IN (SELECT db_id FROM lib)
+UNION ALL
+SELECT db_id, 'index_kept' FROM idx WHERE db_id NOT IN (SELECT db_id FROM ids)
+""")
+def l4_delete_collection(spark, sf):
+    lib = _library(spark, sf)
+    idx = _index_keys(spark, sf)
+    ids = lib.where(F.col("model") == "1-URGENT").select("db_id").unionByName(
+        table(spark, sf, "customer").where(F.col("c_acctbal") < 0)
+        .select(F.concat(F.lit("db_"), F.col("c_custkey").cast("string")).alias("db_id")))
+    lib_after, idx_after, unknown = library.delete(lib, idx, ids)
+    kept = lib_after.select("db_id", F.lit("kept").alias("outcome"))
+    deleted = lib.join(lib_after.select("db_id"), "db_id", "left_anti").select("db_id", F.lit("deleted").alias("outcome"))
+    return kept.unionByName(deleted).unionByName(unknown.select("db_id", F.lit("unknown").alias("outcome"))) \
+        .unionByName(idx_after.select("db_id", F.lit("index_kept").alias("outcome")))
+
+
+@register("l5_session_info", f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT substr(md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 16) AS session_id,
+       'db_' || collection AS db_id, 0::BIGINT AS n_files,
+       coalesce(CASE WHEN turn % 3 = 0 THEN NULL ELSE model END, 'gemma3:1b') AS model,
+       coalesce(CASE WHEN tier = 'UnknownLevel' THEN NULL ELSE tier END, 'Internal') AS sensitivity_level,
+       coalesce(CASE WHEN turn % 2 = 0 THEN NULL ELSE enabled END, TRUE) AS enable_guardrails,
+       coalesce(system_prompt, '') AS system_prompt,
+       coalesce(CASE WHEN host = '' THEN NULL ELSE host END, '') AS ollama_host,
+       array_to_string(coalesce(custom_rules, []), '|') AS custom_rules
+FROM requests
+""")
+def l5_session_info(spark, sf):
+    r = _requests(spark, sf)
+    sess = r.select(
+        F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 16)
+        .alias("session_id"),
+        F.concat(F.lit("db_"), F.col("collection")).alias("db_id"),
+        F.lit(None).cast("array<string>").alias("files"),
+        F.when(F.col("turn") % 3 == 0, F.lit(None)).otherwise(F.col("model")).alias("model"),
+        F.when(F.col("tier") == "UnknownLevel", F.lit(None)).otherwise(F.col("tier")).alias("sensitivity_level"),
+        F.when(F.col("turn") % 2 == 0, F.lit(None)).otherwise(F.col("enabled")).alias("enable_guardrails"),
+        "system_prompt", F.nullif(F.col("host"), F.lit("")).alias("ollama_host"), "custom_rules")
+    info = library.session_info(sess)
+    return info.select("session_id", "db_id", F.size("files").cast("bigint").alias("n_files"), "model",
+                       "sensitivity_level", "enable_guardrails", "system_prompt", "ollama_host",
+                       F.array_join("custom_rules", "|").alias("custom_rules"))
+
+
+@register("l6_display_names", f"""
+WITH {B.FILES_SQL[1:]},
+j AS (SELECT collection, count(*) AS n, arg_min(name, ord) AS first, string_agg(name, ', ' ORDER BY ord) AS joined
+      FROM files GROUP BY collection)
+SELECT collection, CAST(n AS BIGINT) AS n_files,
+       CASE WHEN n > 1 THEN first || ' (+' || CAST(n - 1 AS VARCHAR) || ' more)' ELSE first END AS active_name,
+       CASE WHEN length(joined) > 34 THEN substring(joined, 1, 34) || '…' ELSE joined END AS card_name
+FROM j
+""")
+def l6_display_names(spark, sf):
+    return library.display_names(_files(spark, sf))
+
+
+# --------------------------------------------------------------------------- audit (A*)
+@register("a1_audit_events", f"""
+WITH {TURN_CTES},
+ev AS (
+  SELECT r.conv_id, r.turn,
+         CASE WHEN r.source = 'llm' THEN 'retrieval' ELSE 'safety_alert' END AS event_type,
+         CASE WHEN r.source = 'input_guard' THEN 'Input question blocked by ' || q.tier || ' policy.'
+              WHEN r.source = 'output_guard' THEN 'LLM output blocked and redacted under ' || q.tier || ' policy.'
+              ELSE 'Successfully completed RAG query in 0.000s' END AS message,
+         CAST(CASE WHEN r.source = 'input_guard' THEN 1 WHEN r.source = 'output_guard' THEN 0 ELSE 2 END AS BIGINT) AS n_details,
+         CASE WHEN r.source = 'output_guard' THEN NULL ELSE q.question END AS details_question
+  FROM resp r JOIN requests q USING (conv_id, turn))
+SELECT * FROM ev
+""")
+def a1_audit_events(spark, sf):
+    conv = table(spark, sf, "conversations")
+    req = B.requests(conv)
+    resp = turns.run_turns(req, _index(spark, sf), conv)
+    rows = resp.join(req.select("conv_id", "turn", "tier", "question"), ["conv_id", "turn"]) \
+        .withColumn("n_citations", F.size("citations"))
+    ev = audit.turn_events(rows)
+    return ev.select("conv_id", "turn", "event_type", "message", F.size("details").cast("bigint").alias("n_details"),
+                     F.col("details")["question"].alias("details_question"))
+
+
+@register("a2_retain_newest", """
+SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200
+""")
+def a2_retain_newest(spark, sf):
+    return audit.retain(table(spark, sf, "events"), 200).select("event_id")
+
+
+@register("a2_retain_per_user", """
+SELECT user_id, event_id FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r <= 5
+""")
+def a2_retain_per_user(spark, sf):
+    return audit.retain(table(spark, sf, "events"), 5, per="user_id").select("user_id", "event_id")
+
+
+@register("a3_audit_view", """
+SELECT event_id, strftime(ts, '%H:%M:%S') AS time, upper(event_type) AS type FROM events
+""")
+def a3_audit_view(spark, sf):
+    return audit.audit_view(table(spark, sf, "events")).select("event_id", "time", "type")
+
+
+@register("a4_turn_metrics", """
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value,
+       round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+       CAST(count(*) FILTER (WHERE value > 10.0) AS BIGINT) AS n_slow
+FROM events GROUP BY event_type
+""")
+def a4_turn_metrics(spark, sf):
+    return audit.turn_metrics(table(spark, sf, "events"))
+
+
+# --------------------------------------------------------------------------- policy / profiles
+def _policy_values_sql() -> str:
+    pol = G.Policy.default()
+    vals = []
+    for t in pol.tiers():
+        for d, tbl in (("in", pol.inputs), ("out", pol.outputs)):
+            for i, p in enumerate(tbl.get(t, [])):
+                vals.append(f"({B.sql_str(t)}, '{d}', {i}, {B.sql_str(p)})")
+    return "policy AS (SELECT * FROM (VALUES " + ", ".join(vals) + ") v(tier, direction, ord, pattern))"
+
+
+@register("g9_upsert_tier", f"""
+WITH {_policy_values_sql()},
+edits AS (SELECT 'Restricted' AS tier, 'in' AS direction,
+                 CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS ord, event_type AS pattern
+          FROM (SELECT DISTINCT event_type FROM events))
+SELECT tier, direction, CAST(ord AS INTEGER) AS ord, pattern FROM policy WHERE tier NOT IN (SELECT tier FROM edits)
+UNION ALL SELECT * FROM edits
+""")
+def g9_upsert_tier(spark, sf):
+    from pyspark.sql import Window as W
+    edits = (table(spark, sf, "events").select("event_type").distinct()
+             .select(F.lit("Restricted").alias("tier"), F.lit("in").alias("direction"),
+                     (F.row_number().over(W.orderBy("event_type")) - 1).cast("int").alias("ord"),
+                     F.col("event_type").alias("pattern")))
+    return guarding.upsert_tier(guarding.policy_rows(spark), edits)
+
+
+_SETTINGS_SQL = f"""settings AS (
+  SELECT conv_id, turn, ([1000, 600, 800])[(turn % 3) + 1] AS chunk_size, ([200, 100])[(conv_id % 2) + 1] AS chunk_overlap,
+         tier AS sensitivity, enabled AS guardrails FROM requests)"""
+
+
+@register("g13_match_profile", f"""
+WITH {B.REQUESTS_SQL[1:]}, {_SETTINGS_SQL},
+profiles AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(k)}, {B.sql_str(n)}, {i}, {cs}, {co}, {B.sql_str(s)}, {str(g).upper()})" for i, (k, n, cs, co, s, g, _r) in enumerate(guarding.UI_PROFILES))})
+             v(key, name, ord, chunk_size, chunk_overlap, sensitivity, guardrails))
+SELECT s.conv_id, s.turn, (SELECT p.name FROM profiles p WHERE p.chunk_size = s.chunk_size AND p.chunk_overlap = s.chunk_overlap
+                           AND p.sensitivity = s.sensitivity AND p.guardrails = s.guardrails ORDER BY p.ord LIMIT 1) AS profile
+FROM settings s
+""")
+def g13_match_profile(spark, sf):
+    r = _requests(spark, sf)
+    st = r.select("conv_id", "turn",
+                  F.element_at(F.array(F.lit(1000), F.lit(600), F.lit(800)), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+                  .alias("chunk_size"),
+                  F.element_at(F.array(F.lit(200), F.lit(100)), (F.pmod("conv_id", F.lit(2)) + 1).cast("int"))
+                  .alias("chunk_overlap"),
+                  F.col("tier").alias("sensitivity"), F.col("enabled").alias("guardrails"))
+    out = guarding.match_profile(st, guarding.ui_profiles(spark))
+    return out.select("conv_id", "turn", "profile")
+
+
+@register("g14_merge_profiles", f"""
+WITH base AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(k)}, {B.sql_str(n)}, {cs}, {co}, {B.sql_str(s)})" for (k, n, cs, co, s, g, _r) in guarding.UI_PROFILES)})
+              v(key, name, chunk_size, chunk_overlap, sensitivity)),
+custom AS (SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'fast' ELSE lower(c_mktsegment) END AS key,
+                  'Custom ' || c_mktsegment AS name, CAST(400 + 100 * (count(*) % 5) AS INTEGER) AS chunk_size,
+                  100 AS chunk_overlap, 'Internal' AS sensitivity
+           FROM customer GROUP BY c_mktsegment)
+SELECT key, name, CAST(chunk_size AS INTEGER) AS chunk_size, CAST(chunk_overlap AS INTEGER) AS chunk_overlap, sensitivity
+FROM base WHERE key NOT IN (SELECT key FROM custom)
+UNION ALL SELECT * FROM custom
+""")
+def g14_merge_profiles(spark, sf):
+    base = guarding.ui_profiles(spark).select("key", "name", "chunk_size", "chunk_overlap", "sensitivity")
+    seg = F.col("c_mktsegment")
+    custom = (table(spark, sf, "customer").groupBy(seg).agg(F.count(F.lit(1)).alias("n"))
+              .select(F.when(seg == "MACHINERY", F.lit("fast")).otherwise(F.lower(seg)).alias("key"),
+                      F.concat(F.lit("Custom "), seg).alias("name"),
+                      (F.lit(400) + F.lit(100) * F.pmod(F.col("n"), F.lit(5))).cast("int").alias("chunk_size"),
+                      F.lit(100).cast("int").alias("chunk_overlap"), F.lit("Internal").alias("sensitivity")))
+    return guarding.merge_profiles(base, custom)
