@@ -1235,3 +1235,57 @@ def g14_merge_profiles(spark, sf):
                       (F.lit(400) + F.lit(100) * F.pmod(F.col("n"), F.lit(5))).cast("int").alias("chunk_size"),
                       F.lit(100).cast("int").alias("chunk_overlap"), F.lit("Internal").alias("sensitivity")))
     return guarding.merge_profiles(base, custom)
+
+
+# --------------------------------------------------------------------------- streaming (T*)
+from docshield.streaming import streams  # noqa: E402
+
+
+@register("t1_stream_ingest", f"""
+WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+{Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
+cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id)
+SELECT ch.chunk_id, ch.collection, CAST(coalesce(cn.n2, 0) AS BIGINT) AS n2
+FROM ch LEFT JOIN cn USING (chunk_id)
+""")
+def t1_stream_ingest(spark, sf):
+    """Documents arrive as a file stream and are indexed batch by batch."""
+    like = table(spark, sf, "documents")
+    src = streams.read_stream(spark, sf, like, "documents.parquet") \
+        .withColumn("collection", F.col("source"))
+    base = streams.scratch_dir(spark, "ingest")
+    q = streams.stream_ingest(spark, src, base + "/index", base + "/ckpt", CHUNK_SIZE, CHUNK_OVERLAP)
+    q.awaitTermination()
+    idx = spark.read.parquet(base + "/index")
+    return idx.select("chunk_id", "collection", F.col("vec_norm2").cast("bigint").alias("n2"))
+
+
+@register("t2_stream_guard", ORACLE["g3_input_check"])
+def t2_stream_guard(spark, sf):
+    """The input guard as a stateless stream over conversation turns."""
+    like = table(spark, sf, "conversations")
+    src = streams.read_stream(spark, sf, like, "conversations.parquet")
+    guarded = streams.stream_guard(B.requests(src))
+    out = streams.scratch_dir(spark, "guard")
+    streams.run_to_parquet(guarded.select("conv_id", "turn", "tier", "blocked", "rule_kind", "rule", "message"),
+                           out, "append")
+    return spark.read.parquet(out)
+
+
+@register("t3_stream_audit_rollup", """
+SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n,
+       round(sum(value), 6) AS total_value
+FROM events GROUP BY ALL
+""")
+def t3_stream_audit_rollup(spark, sf):
+    """Hourly event counts per type with a 10-minute watermark (complete output)."""
+    like = table(spark, sf, "events")
+    src = streams.read_stream(spark, sf, like, "events.parquet")
+    roll = streams.stream_audit_rollup(src, "1 hour", "10 minutes")
+    out = streams.scratch_dir(spark, "rollup")
+    streams.run_to_parquet(roll, out, "complete")
+    r = spark.read.parquet(out)
+    return r.select(F.unix_micros("window_start").alias("window_start"), "event_type",
+                    F.col("n").cast("bigint").alias("n"), F.round("total_value", 6).alias("total_value"))
