@@ -195,16 +195,10 @@ class GuardResult:
     rule: Column
 
 
-def check(text: Column, tier: Column, enabled: Column, rules: Column | None,
-          policy: Policy, direction: str) -> GuardResult:
-    """G3 (direction 'in') / G4 (direction 'out'): first hit wins, in reference order.
-
-    Order: disabled -> pass; jailbreak (input only); custom rules in list order; tier patterns
-    in list order.  Returns the message (null = pass), the kind of rule and the rule itself.
-    """
-    jb = jailbreak_hit(text) if direction == "in" else F.lit(None).cast("string")
-    cu = custom_hit(text, rules) if rules is not None else F.lit(None).cast("string")
-    ti = tier_hit(text, tier, policy, direction)
+def combine(jb: Column, cu: Column, ti: Column, tier: Column, enabled: Column,
+            direction: str) -> GuardResult:
+    """Message / kind / rule from the three hits, in reference order: disabled -> pass;
+    jailbreak (input only); custom rules; tier patterns."""
     on = F.coalesce(enabled, F.lit(True))
     kind = (F.when(~on, F.lit(None))
             .when(jb.isNotNull(), F.lit("jailbreak"))
@@ -228,6 +222,17 @@ def check(text: Column, tier: Column, enabled: Column, rules: Column | None,
     return GuardResult(message, kind, rule)
 
 
+def check(text: Column, tier: Column, enabled: Column, rules: Column | None,
+          policy: Policy, direction: str) -> GuardResult:
+    """G3 (direction 'in') / G4 (direction 'out') as Columns: first hit wins, in reference
+    order.  Returns the message (null = pass), the kind of rule and the rule itself.
+    (``operators.guarding.guard_columns`` is the staged operator form.)"""
+    jb = jailbreak_hit(text) if direction == "in" else F.lit(None).cast("string")
+    cu = custom_hit(text, rules) if rules is not None else F.lit(None).cast("string")
+    ti = tier_hit(text, tier, policy, direction)
+    return combine(jb, cu, ti, tier, enabled, direction)
+
+
 def check_input(text, tier, enabled, rules, policy: Policy | None = None) -> GuardResult:
     return check(text, tier, enabled, rules, policy or Policy.default(), "in")
 

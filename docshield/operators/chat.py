@@ -53,7 +53,7 @@ def prior_messages(requests: DataFrame, conversations: DataFrame, session: str =
 
 
 def has_history(requests: DataFrame, conversations: DataFrame, session: str = "conv_id",
-                seq: str = "turn") -> DataFrame:
+                seq: str = "turn", requests_are_turns: bool = False) -> DataFrame:
     """Adds ``n_history`` = kept messages before each request turn, in O(rows).
 
     Requests and kept messages are numbered together by (turn, requests first) and the
@@ -63,6 +63,12 @@ def has_history(requests: DataFrame, conversations: DataFrame, session: str = "c
     from docshield.operators.ordinal import max_group_rows
     # One sizing job: every group below is a subset of (session turns + requests).
     m = max_group_rows(conversations, [session]) * 2
+    if requests_are_turns:
+        # each request is a kept (user) message of the session: its position is the count
+        pos = history(conversations, session=session, seq=seq, group_max=m).select(
+            session, seq, F.col("hist_pos").alias("n_history"))
+        return requests.join(pos, [session, seq], "left").withColumn(
+            "n_history", F.coalesce(F.col("n_history"), F.lit(0)).cast("bigint"))
     h = history(conversations, session=session, seq=seq, group_max=m).select(
         session, seq, F.lit(1).alias("_kind"))
     r = requests.select(session, seq).distinct().withColumn("_kind", F.lit(0))

@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from docshield.functions import guard as G
 
 
+def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str | None,
+                  policy: G.Policy | None, direction: str, prefix: str) -> DataFrame:
+    """G3/G4 as an operator.  The three hits (jailbreak, custom, tier) are computed once in
+    their own projection; message, kind and rule then read them.  Each hit is referenced
+    several times, so Catalyst keeps the projections apart instead of inlining the
+    regex-heavy expressions three times."""
+    policy = policy or G.Policy.default()
+    t = F.col(text)
+    jb = G.jailbreak_hit(t) if direction == "in" else F.lit(None).cast("string")
+    cu = G.custom_hit(t, F.col(rules)) if rules else F.lit(None).cast("string")
+    ti = G.tier_hit(t, F.col(tier), policy, direction)
+    staged = df.select("*", jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
+    r = G.combine(F.col("_jb"), F.col("_cu"), F.col("_ti"), F.col(tier), F.col(enabled), direction)
+    return staged.select(*df.columns, r.message.alias(prefix + "message"), r.kind.alias(prefix + "kind"),
+                         r.rule.alias(prefix + "rule"))
+
+
 def check_input(df: DataFrame, text: str = "question", tier: str = "tier",
                 enabled: str = "enabled", rules: str | None = "custom_rules",
                 policy: G.Policy | None = None, prefix: str = "in_") -> DataFrame:
     """Adds ``{prefix}message``, ``{prefix}kind``, ``{prefix}rule``; null message = pass."""
-    r = G.check_input(F.col(text), F.col(tier), F.col(enabled),
-                      F.col(rules) if rules else None, policy)
-    return df.select("*", r.message.alias(prefix + "message"), r.kind.alias(prefix + "kind"),
-                     r.rule.alias(prefix + "rule"))
+    return guard_columns(df, text, tier, enabled, rules, policy, "in", prefix)
 
 
 def check_output(df: DataFrame, text: str = "answer", tier: str = "tier",
                  enabled: str = "enabled", rules: str | None = "custom_rules",
                  policy: G.Policy | None = None, prefix: str = "out_") -> DataFrame:
     """Output check (no jailbreak test, output patterns, ``[REDACTED ...]`` messages)."""
-    r = G.check_output(F.col(text), F.col(tier), F.col(enabled),
-                       F.col(rules) if rules else None, policy)
-    return df.select("*", r.message.alias(prefix + "message"), r.kind.alias(prefix + "kind"),
-                     r.rule.alias(prefix + "rule"))
+    return guard_columns(df, text, tier, enabled, rules, policy, "out", prefix)
 
 
 def violations(df: DataFrame, text: str, tier: str, direction: str = "in",

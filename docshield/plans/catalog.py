@@ -561,7 +561,7 @@ FROM resp
 def g11_guarded_turn(spark, sf):
     """Flagship: every user turn answered end to end under its tier's guardrails."""
     conv = table(spark, sf, "conversations")
-    resp = turns.run_turns(B.requests(conv), _index(spark, sf), conv)
+    resp = turns.run_turns(B.requests(conv), _index(spark, sf), conv, requests_are_turns=True)
     return turns.summarize_responses(resp)
 
 
@@ -572,7 +572,7 @@ from docshield.operators import chat  # noqa: E402
 
 def _responses(spark, sf):
     conv = table(spark, sf, "conversations")
-    return turns.run_turns(B.requests(conv), _index(spark, sf), conv)
+    return turns.run_turns(B.requests(conv), _index(spark, sf), conv, requests_are_turns=True)
 
 
 @register("h1_history", """
@@ -1121,7 +1121,7 @@ SELECT * FROM ev
 def a1_audit_events(spark, sf):
     conv = table(spark, sf, "conversations")
     req = B.requests(conv)
-    resp = turns.run_turns(req, _index(spark, sf), conv)
+    resp = turns.run_turns(req, _index(spark, sf), conv, requests_are_turns=True)
     rows = resp.join(req.select("conv_id", "turn", "tier", "question"), ["conv_id", "turn"]) \
         .withColumn("n_citations", F.size("citations"))
     ev = audit.turn_events(rows)
