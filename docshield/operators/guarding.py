@@ -143,4 +143,8 @@ def policy_from_rows(rows_df, tiers_df=None, max_rows: int = 100_000) -> G.Polic
         for r in collect_bounded(tiers_df, max_rows, "tiers"):
             p.descriptions[r["tier"]] = r["description"]
             p.badges[r["tier"]] = r["badge"]
+            # a tier without patterns (e.g. Public) has no pattern rows but must still exist,
+            # or its requests would fall back to the Internal patterns
+            p.inputs.setdefault(r["tier"], [])
+            p.outputs.setdefault(r["tier"], [])
     return p
