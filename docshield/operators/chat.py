@@ -165,11 +165,12 @@ def clear(conversations: DataFrame, ids: DataFrame, session: str = "conv_id") ->
 
 def setting_changes(requests: DataFrame, session: str = "conv_id", seq: str = "turn",
                     cols=("model", "host", "system_prompt")) -> DataFrame:
-    """H9: ``rebuild`` = some setting differs (null-safe) from the session's previous request."""
-    w = Window.partitionBy(session).orderBy(seq)
+    """H9: ``rebuild`` = some setting differs (null-safe) from the session's previous request.
+    The previous request comes from an equi-join on (session, ordinal - 1), not a window."""
+    from docshield.operators.ordinal import previous_row
+    j = previous_row(requests, [session], [seq], list(cols) + [seq], prefix="_prev_")
     changed = None
     for c in cols:
-        prev = F.lag(c).over(w)
-        d = prev.isNotNull() & ~F.col(c).eqNullSafe(prev)
+        d = F.col("_prev_" + seq).isNotNull() & ~F.col(c).eqNullSafe(F.col("_prev_" + c))
         changed = d if changed is None else changed | d
-    return requests.withColumn("rebuild", F.coalesce(changed, F.lit(False)))
+    return j.withColumn("rebuild", F.coalesce(changed, F.lit(False))).drop(*["_prev_" + c for c in list(cols) + [seq]])

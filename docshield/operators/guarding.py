@@ -60,12 +60,12 @@ def pattern_hit_counts(df: DataFrame, text: str, patterns: list[str]) -> DataFra
 
 def sticky_rules(df: DataFrame, session: str = "conv_id", seq: str = "turn",
                  rules: str = "custom_rules", out: str = "effective_rules") -> DataFrame:
-    """A session keeps its last non-empty rule list (request order)."""
-    w = (Window.partitionBy(session).orderBy(seq)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """A session keeps its last non-empty rule list (request order).  A running ``last``
+    by a two-level scan, so one very long session is not one task."""
+    from docshield.operators.ordinal import running_last
     nonempty = F.when(F.size(F.col(rules)) > 0, F.col(rules))
-    return df.withColumn(out, F.coalesce(F.last(nonempty, ignorenulls=True).over(w),
-                                         F.array().cast("array<string>")))
+    out_df = running_last(df, [session], [seq], nonempty, out)
+    return out_df.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
 
 
 def upsert_tier(policy_rows: DataFrame, edits: DataFrame) -> DataFrame:

@@ -51,3 +51,33 @@ def ordinal_in_groups(df: DataFrame, groups: list[str], order: list, out: str =
     joined = sliced.join(stats.drop("_n"), ["_pid", *groups])
     return (joined.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
                   .drop("_pid", "_mid", "_first", "_before"))
+
+
+def running_last(df: DataFrame, groups: list[str], order: list, value, out: str,
+                 block_rows: int = 4096, group_max: int | None = None) -> DataFrame:
+    """Latest non-null ``value`` at or before each row of its group (a running ``last``).
+
+    Two-level scan, so no task holds a whole group: rows get their ordinal, a running max of
+    ``struct(ordinal, value)`` inside blocks of ``block_rows`` (bounded windows), a prefix max
+    over the per-block maxima (one row per block), and the greater of the two."""
+    n = ordinal_in_groups(df, groups, order, out="_o", group_max=group_max)
+    n = n.withColumn("_b", F.floor((F.col("_o") - 1) / block_rows)) \
+         .withColumn("_s", F.when(value.isNotNull(), F.struct(F.col("_o").alias("o"), value.alias("v"))))
+    w_in = Window.partitionBy(*groups, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("_in", F.max("_s").over(w_in))
+    summ = n.groupBy(*groups, "_b").agg(F.max("_s").alias("_bm"))
+    w_pre = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_before", F.max("_bm").over(w_pre)).drop("_bm")
+    j = n.join(summ, [*groups, "_b"], "left")
+    best = F.when(F.col("_in").isNull(), F.col("_before")).when(F.col("_before").isNull(), F.col("_in")) \
+        .otherwise(F.greatest("_in", "_before"))
+    return j.withColumn(out, best["v"]).drop("_o", "_b", "_s", "_in", "_before")
+
+
+def previous_row(df: DataFrame, groups: list[str], order: list, cols: list[str],
+                 prefix: str = "prev_", group_max: int | None = None) -> DataFrame:
+    """``lag`` by one row inside groups as an equi-join of ordinal o to o - 1; the join key
+    (group, ordinal) spreads a hot group over all tasks."""
+    n = ordinal_in_groups(df, groups, order, out="_o", group_max=group_max)
+    prev = n.select(*groups, (F.col("_o") + 1).alias("_o"), *[F.col(c).alias(prefix + c) for c in cols])
+    return n.join(prev, [*groups, "_o"], "left").drop("_o")

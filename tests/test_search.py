@@ -66,3 +66,16 @@ def test_native_bucket_equals_python(spark):
     got = [r[0] for r in df.select(V.bucket(F.col("w"))).collect()]
     want = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 384 for w in ("réseau", "abc")]
     assert got == want
+
+
+def test_running_last_and_previous_row_small_blocks(spark):
+    from pyspark.sql import Window
+    rows = [(g, i, (f"v{i}" if (i * 7 + g) % 5 == 0 else None)) for g in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "g long, i long, v string")
+    got = ordinal.running_last(df, ["g"], ["i"], F.col("v"), "last_v", block_rows=7, group_max=10 ** 9)
+    w = Window.partitionBy("g").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("last_v", F.last("v", ignorenulls=True).over(w))
+    assert sorted(got.collect()) == sorted(want.collect())
+    p = ordinal.previous_row(df, ["g"], ["i"], ["v"], prefix="p_")
+    want2 = df.withColumn("p_v", F.lag("v").over(Window.partitionBy("g").orderBy("i")))
+    assert sorted(p.collect()) == sorted(want2.collect())
