@@ -11,6 +11,7 @@ The numbered slice is checkpointed first so both uses see the same ids.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ def ordinal_in_groups(df: DataFrame, groups: list[str], order: list, out: str =
     ``group_max``: a known upper bound of the largest group (skips the sizing job)."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if group_max is None and not force_split:
+        # the sizing job fills the cache, so the numbering does not recompute the input
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         group_max = max_group_rows(df, groups)
     if not force_split and group_max <= bound:
         w = Window.partitionBy(*groups).orderBy(*order_cols)
