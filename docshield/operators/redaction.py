@@ -72,13 +72,23 @@ def apply_map(docs: DataFrame, occ: DataFrame, mapping: DataFrame, collection: s
                 .agg(F.array_sort(F.collect_list(F.struct(
                     F.col("type_ord").alias("k1"), (-F.length("value")).alias("k2"),
                     F.col("value").alias("value"), F.col("token").alias("token")))).alias("pairs")))
-    keyed = docs.withColumn("_c", F.col(collection)).withColumn("_d", F.col(doc_ord))
+    # Only documents holding an entity meet their pairs; the rest keep their text without
+    # a shuffle (at scale most of the corpus never moves).
+    has = has_entities(F.col(text))
+    plain = docs.where(~has).withColumn(out, F.col(text))
+    keyed = docs.where(has).withColumn("_c", F.col(collection)).withColumn("_d", F.col(doc_ord))
     joined = keyed.join(pairs.withColumnRenamed("collection", "_c").withColumnRenamed("doc_ord", "_d"),
                         ["_c", "_d"], "left")
     empty = F.array().cast("array<struct<k1:int,k2:int,value:string,token:string>>")
-    return (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
-                                                 "value", "token"))
-                  .drop("_c", "_d", "pairs"))
+    replaced = (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
+                                                     "value", "token"))
+                      .drop("_c", "_d", "pairs"))
+    return replaced.unionByName(plain)
+
+
+def has_entities(text) -> Column:
+    """Row-local test: does the text hold any entity value (guards make it cheap)."""
+    return F.size(F.concat(*[R.entity_values(text, t) for t in R.PII_TYPES])) > 0
 
 
 def tokenize_pii(docs: DataFrame, collection: str = "collection", doc_ord: str = "doc_id",
@@ -98,12 +108,15 @@ def rehydrate(df: DataFrame, mapping: DataFrame, collection: str, row_key: str,
               .join(mapping.select("collection", "token", "original"), ["collection", "token"])
               .groupBy("collection", "_k")
               .agg(F.collect_list(F.struct("token", "original")).alias("pairs")))
-    keyed = df.withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
+    has = F.instr(F.col(text), "[") > 0
+    plain = df.where(~has | F.col(text).isNull()).withColumn(out, F.col(text))
+    keyed = df.where(has).withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
     joined = keyed.join(toks.withColumnRenamed("collection", "_c"), ["_c", "_k"], "left")
     empty = F.array().cast("array<struct<token:string,original:string>>")
-    return (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
+    back = (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
                                                  "token", "original"))
                   .drop("_c", "_k", "pairs"))
+    return back.unionByName(plain)
 
 
 def extend_map(mapping: DataFrame, texts: DataFrame, collection: str, doc_ord: str,

@@ -21,9 +21,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _prepared(fn):
+    """Every registered query runs with the session zone at UTC (test timestamps are
+    TIMESTAMP_NTZ; two queries turn them into instants) and a checkpoint folder set."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark, sf):
+        from docshield.session import ensure_checkpoint_dir
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf)
+    return run
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = _prepared(fn)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -1289,3 +1304,73 @@ def t3_stream_audit_rollup(spark, sf):
     r = spark.read.parquet(out)
     return r.select(F.unix_micros("window_start").alias("window_start"), "event_type",
                     F.col("n").cast("bigint").alias("n"), F.round("total_value", 6).alias("total_value"))
+
+
+# --------------------------------------------------------------------------- stores
+from docshield.sources import stores  # noqa: E402
+
+
+@register("e3_e4_index_roundtrip", f"""
+WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+{Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
+cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id)
+SELECT ch.collection, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(coalesce(cn.n2, 0)) AS BIGINT) AS sum_n2
+FROM ch LEFT JOIN cn USING (chunk_id)
+WHERE ch.collection IN (SELECT DISTINCT source FROM documents WHERE lang = 'de')
+GROUP BY ch.collection
+""")
+def e3_e4_index_roundtrip(spark, sf):
+    """E3 write (partitioned by collection, dynamic overwrite) then E4 pruned read of the
+    collections that hold German documents."""
+    path = streams.scratch_dir(spark, "index") + "/index"
+    stores.write_index(_index(spark, sf).drop("vec"), path)
+    wanted = [r[0] for r in table(spark, sf, "documents").where(F.col("lang") == "de")
+              .select("source").distinct().collect()]
+    idx = stores.read_index(spark, path, wanted)
+    return idx.groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"),
+                                         F.sum("vec_norm2").cast("bigint").alias("sum_n2"))
+
+
+# A stored policy whose Restricted tier gained two words that occur in the test texts.
+G8_EXTRA = ["ouen", "heitlich"]
+
+
+def _g8_policy():
+    p = G.Policy.default()
+    p.inputs["Restricted"] = p.inputs["Restricted"] + G8_EXTRA
+    return p
+
+
+def _g8_sql():
+    from docshield.plans import sqlgen
+    pol = _g8_policy()
+    hit = sqlgen.tier_hit("question", "tier", "in", pol)
+    return f"""
+WITH {B.REQUESTS_SQL[1:]}
+SELECT conv_id, turn, tier, {hit} AS rule FROM requests
+"""
+
+
+@register("g8_policy_store_roundtrip", _g8_sql())
+def g8_policy_store_roundtrip(spark, sf):
+    """Save an edited policy, load it back, and check every request with it."""
+    path = streams.scratch_dir(spark, "policy")
+    stores.save_policy(spark, _g8_policy(), path)
+    pol = stores.load_policy(spark, path)
+    r = _requests(spark, sf)
+    return r.select("conv_id", "turn", "tier", G.tier_hit(F.col("question"), F.col("tier"), pol, "in").alias("rule"))
+
+
+@register("g10_profiles_per_request", f"""
+WITH {B.REQUESTS_SQL[1:]},
+tiers AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(t)}, {B.sql_str(G.TIER_DESCRIPTIONS[t])}, {B.sql_str(G.TIER_BADGES[t])})" for t in G.TIER_ORDER)}) v(tier, description, badge))
+SELECT r.conv_id, r.turn, r.tier, t.description, t.badge FROM requests r LEFT JOIN tiers t USING (tier)
+""")
+def g10_profiles_per_request(spark, sf):
+    """The profile listing (tier -> description, badge) attached to each request."""
+    tiers = guarding.tiers_frame(spark)
+    from docshield.operators.sizing import broadcast_if_small
+    return _requests(spark, sf).join(broadcast_if_small(tiers, 10_000), "tier", "left") \
+        .select("conv_id", "turn", "tier", "description", "badge")
