@@ -277,3 +277,41 @@ def status_light(tier: Column, enabled: Column) -> Column:
              .when(light == "orange", F.lit("PROTECTED"))
              .when(light == "red", F.lit("STRICT")))
     return F.struct(light.alias("light"), label.alias("label"))
+
+
+# ---------------------------------------------------------------------------
+# Spark SQL text forms of the same checks.  An operator that knows its column names builds
+# each hit as one expression string (one parse on the JVM) instead of hundreds of Column
+# objects, over a lower-cased column computed once.
+def spark_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(low: str, pattern: str) -> str:
+    p = _clean(pattern)
+    if not p:
+        return "false"
+    rx = pattern_regex(p)
+    if rx is not None:
+        return f"({low} RLIKE {spark_str(rx)})"
+    return f"(instr({low}, {spark_str(p)}) > 0)"
+
+
+def first_hit_sql(low: str, patterns: list[str]) -> str:
+    if not patterns:
+        return "CAST(NULL AS STRING)"
+    return "CASE " + " ".join(f"WHEN {matches_sql(low, p)} THEN {spark_str(p)}" for p in patterns) + " END"
+
+
+def jailbreak_hit_sql(low: str) -> str:
+    return "CASE " + " ".join(f"WHEN instr({low}, {spark_str(p)}) > 0 THEN {spark_str(p)}"
+                              for p in JAILBREAK_PHRASES) + " END"
+
+
+def tier_hit_sql(low: str, tier: str, policy: Policy, direction: str) -> str:
+    table = policy.inputs if direction == "in" else policy.outputs
+    known = [t for t in policy.tiers() if table.get(t) is not None]
+    whens = " ".join(f"WHEN {tier} = {spark_str(t)} THEN {first_hit_sql(low, policy.patterns(t, direction))}"
+                     for t in known)
+    fallback = first_hit_sql(low, policy.patterns(FALLBACK_TIER, direction))
+    return f"CASE {whens} ELSE {fallback} END" if whens else fallback

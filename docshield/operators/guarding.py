@@ -15,11 +15,12 @@ def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str
     several times, so Catalyst keeps the projections apart instead of inlining the
     regex-heavy expressions three times."""
     policy = policy or G.Policy.default()
-    t = F.col(text)
-    jb = G.jailbreak_hit(t) if direction == "in" else F.lit(None).cast("string")
-    cu = G.custom_hit(t, F.col(rules)) if rules else F.lit(None).cast("string")
-    ti = G.tier_hit(t, F.col(tier), policy, direction)
-    staged = df.select("*", jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
+    low = "`_low`"
+    jb = F.expr(G.jailbreak_hit_sql(low)) if direction == "in" else F.lit(None).cast("string")
+    cu = G.custom_hit(F.col(text), F.col(rules)) if rules else F.lit(None).cast("string")
+    ti = F.expr(G.tier_hit_sql(low, f"`{tier}`", policy, direction))
+    lowered = df.select("*", F.lower(F.col(text)).alias("_low"))
+    staged = lowered.select(*df.columns, jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
     r = G.combine(F.col("_jb"), F.col("_cu"), F.col("_ti"), F.col(tier), F.col(enabled), direction)
     return staged.select(*df.columns, r.message.alias(prefix + "message"), r.kind.alias(prefix + "kind"),
                          r.rule.alias(prefix + "rule"))

@@ -1326,9 +1326,8 @@ def e3_e4_index_roundtrip(spark, sf):
     collections that hold German documents."""
     path = streams.scratch_dir(spark, "index") + "/index"
     stores.write_index(_index(spark, sf).drop("vec"), path)
-    wanted = [r[0] for r in table(spark, sf, "documents").where(F.col("lang") == "de")
-              .select("source").distinct().collect()]
-    idx = stores.read_index(spark, path, wanted)
+    wanted = table(spark, sf, "documents").where(F.col("lang") == "de").select(F.col("source").alias("collection"))
+    idx = stores.read_index_for(spark, path, wanted)
     return idx.groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"),
                                          F.sum("vec_norm2").cast("bigint").alias("sum_n2"))
 

@@ -39,6 +39,22 @@ def read_index(spark: SparkSession, path: str, collections: list[str] | None = N
     return df
 
 
+def read_index_for(spark: SparkSession, path: str, wanted: DataFrame,
+                   partition: str = "collection") -> DataFrame:
+    """E4 for a *table* of wanted collections: a left-semi join on the partition column
+    (dynamic partition pruning skips the other folders); a wanted key without an index is
+    an error, found by an anti join (nothing is collected)."""
+    try:
+        df = spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        raise FileNotFoundError(f"No stored index at {path}") from e
+    keys = wanted.select(F.col(partition)).distinct()
+    missing = keys.join(df.select(partition).distinct(), partition, "left_anti").limit(1).collect()
+    if missing:
+        raise FileNotFoundError(f"No stored index for db_id: {missing[0][0]}")
+    return df.join(keys, partition, "left_semi")
+
+
 def save_policy(spark: SparkSession, policy: G.Policy, path: str) -> None:
     """G8 save: the whole policy replaces what was stored."""
     from docshield.operators.guarding import policy_rows, tiers_frame
