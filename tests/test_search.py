@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from docshield.operators import embedding, ordinal, search
 
 
-def test_topk_dot_equals_brute_force(spark, sf):
+import pytest
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_topk_dot_equals_brute_force(spark, sf, strategy):
     from docshield.sources.tables import table
     emb = table(spark, sf, "embeddings")
     rows = emb.collect()
@@ -16,7 +20,7 @@ def test_topk_dot_equals_brute_force(spark, sf):
     m = np.array([r["embedding"] for r in rows], dtype=np.float64)
     hits = search.topk(emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")),
                        emb.select("vec_id", "embedding"), 4, i_id="vec_id", i_vec="embedding",
-                       exclude_self=True).collect()
+                       exclude_self=True, strategy=strategy).collect()
     got = {}
     for h in hits:
         got.setdefault(h["qid"], []).append((h["rank"], h["vec_id"]))
@@ -27,19 +31,21 @@ def test_topk_dot_equals_brute_force(spark, sf):
         assert [v for _, v in sorted(got[q])] == [ids[j] for j in order]
 
 
-def test_topk_per_row_k_and_partition(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_topk_per_row_k_and_partition(spark, strategy):
     q = spark.createDataFrame([(1, "a", [1, 0], 2), (2, "b", [0, 1], 1)], "qid long, p string, qvec array<int>, k int")
     i = spark.createDataFrame([(10, "a", [1, 0]), (11, "a", [1, 1]), (12, "a", [0, 1]), (13, "b", [0, 2])],
                               "iid long, p string, ivec array<int>")
-    hits = search.topk(q, i, 8, partition="p", k_col="k").collect()
+    hits = search.topk(q, i, 8, partition="p", k_col="k", strategy=strategy).collect()
     got = sorted((h["qid"], h["rank"], h["iid"]) for h in hits)
     assert got == [(1, 1, 10), (1, 2, 11), (2, 1, 13)]  # dot: 10 and 11 tie at 1, lower id first
 
 
-def test_ties_broken_by_id(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_ties_broken_by_id(spark, strategy):
     q = spark.createDataFrame([(1, [1.0])], "qid long, qvec array<double>")
     i = spark.createDataFrame([(j, [1.0]) for j in (5, 3, 9, 1)], "iid long, ivec array<double>")
-    hits = sorted((h["rank"], h["iid"]) for h in search.topk(q, i, 3).collect())
+    hits = sorted((h["rank"], h["iid"]) for h in search.topk(q, i, 3, strategy=strategy).collect())
     assert hits == [(1, 1), (2, 3), (3, 5)]
 
 
