@@ -315,3 +315,23 @@ def tier_hit_sql(low: str, tier: str, policy: Policy, direction: str) -> str:
                      for t in known)
     fallback = first_hit_sql(low, policy.patterns(FALLBACK_TIER, direction))
     return f"CASE {whens} ELSE {fallback} END" if whens else fallback
+
+
+def violations_sql(low: str, tier: str, policy: Policy, direction: str, with_jailbreak: bool = True) -> str:
+    """G7 as one SQL expression: array of struct(kind, ord, pattern) of every hit."""
+    items = []
+    if direction == "in" and with_jailbreak:
+        for i, p in enumerate(JAILBREAK_PHRASES):
+            items.append(f"CASE WHEN instr({low}, {spark_str(p)}) > 0 THEN "
+                         f"named_struct('kind', 'jailbreak', 'ord', {i}, 'pattern', {spark_str(p)}) END")
+    table = policy.inputs if direction == "in" else policy.outputs
+    known = [t for t in policy.tiers() if table.get(t) is not None]
+    known_sql = ", ".join(spark_str(t) for t in known) or "''"
+    eff = f"(CASE WHEN {tier} IN ({known_sql}) THEN {tier} ELSE {spark_str(FALLBACK_TIER)} END)"
+    for t in sorted(set(known) | {FALLBACK_TIER}):
+        for i, p in enumerate(policy.patterns(t, direction)):
+            items.append(f"CASE WHEN {eff} = {spark_str(t)} AND {matches_sql(low, p)} THEN "
+                         f"named_struct('kind', 'tier', 'ord', {i}, 'pattern', {spark_str(p)}) END")
+    if not items:
+        return "CAST(array() AS array<struct<kind:string,ord:int,pattern:string>>)"
+    return f"filter(array({', '.join(items)}), x -> x IS NOT NULL)"

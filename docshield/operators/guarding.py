@@ -44,9 +44,10 @@ def violations(df: DataFrame, text: str, tier: str, direction: str = "in",
                policy: G.Policy | None = None, keep: list[str] | None = None) -> DataFrame:
     """Long form, one row per (input row, matching rule). Row-local; no join."""
     policy = policy or G.Policy.default()
-    arr = G.violations_array(F.col(text), F.col(tier), policy, direction)
+    arr = F.expr(G.violations_sql("`_low`", f"`{tier}`", policy, direction))
     keep = keep if keep is not None else [c for c in df.columns]
-    return (df.select(*keep, F.explode(arr).alias("v"))
+    lowered = df.select(*dict.fromkeys(keep + [tier]), F.lower(F.col(text)).alias("_low"))
+    return (lowered.select(*keep, F.explode(arr).alias("v"))
               .select(*keep, F.col("v.kind").alias("kind"), F.col("v.ord").alias("ord"),
                       F.col("v.pattern").alias("pattern")))
 

@@ -1197,11 +1197,13 @@ SELECT tier, direction, CAST(ord AS INTEGER) AS ord, pattern FROM policy WHERE t
 UNION ALL SELECT * FROM edits
 """)
 def g9_upsert_tier(spark, sf):
-    from pyspark.sql import Window as W
-    edits = (table(spark, sf, "events").select("event_type").distinct()
-             .select(F.lit("Restricted").alias("tier"), F.lit("in").alias("direction"),
-                     (F.row_number().over(W.orderBy("event_type")) - 1).cast("int").alias("ord"),
-                     F.col("event_type").alias("pattern")))
+    """The Restricted tier's input patterns replaced by the event types of the log.
+    A policy edit is configuration-sized: it is built from a size-checked collect."""
+    from docshield.operators.sizing import collect_bounded
+    types = sorted(r[0] for r in collect_bounded(table(spark, sf, "events").select("event_type").distinct(),
+                                                 10_000, "policy edit"))
+    edits = spark.createDataFrame([("Restricted", "in", i, t) for i, t in enumerate(types)],
+                                  "tier string, direction string, ord int, pattern string")
     return guarding.upsert_tier(guarding.policy_rows(spark), edits)
 
 
