@@ -21,6 +21,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches of the embedder / splitter; bounded memory per Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # Text work is CPU-bound per row (regex, splitting, hashing): smaller file splits give
+    # more, shorter tasks and bounded memory per task.
+    "spark.sql.files.maxPartitionBytes": "64m",
 }
 
 
