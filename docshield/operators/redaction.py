@@ -7,6 +7,7 @@ type) by first occurrence (document order, then position).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,13 +66,13 @@ def apply_map(docs: DataFrame, occ: DataFrame, mapping: DataFrame, collection: s
               doc_ord: str, text: str, out: str) -> DataFrame:
     """Replace each value by its token.  Pairs are regrouped per document (bounded by the
     document), sorted by type order then longer values first, and folded with ``replace``."""
-    pairs = (occ.select("collection", "doc_ord", "type_ord", "entity_type", "value").distinct()
+    pairs = (occ.select("collection", "doc_ord", "type_ord", "entity_type", "value")
                 .join(mapping.select("collection", "entity_type", F.col("original").alias("value"), "token"),
                       ["collection", "entity_type", "value"])
                 .groupBy("collection", "doc_ord")
-                .agg(F.array_sort(F.collect_list(F.struct(
+                .agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(
                     F.col("type_ord").alias("k1"), (-F.length("value")).alias("k2"),
-                    F.col("value").alias("value"), F.col("token").alias("token")))).alias("pairs")))
+                    F.col("value").alias("value"), F.col("token").alias("token"))))).alias("pairs")))
     # Only documents holding an entity meet their pairs; the rest keep their text without
     # a shuffle (at scale most of the corpus never moves).
     has = has_entities(F.col(text))
@@ -94,7 +95,8 @@ def has_entities(text) -> Column:
 def tokenize_pii(docs: DataFrame, collection: str = "collection", doc_ord: str = "doc_id",
                  text: str = "text", out: str = "text_tokens") -> tuple[DataFrame, DataFrame]:
     """(documents with ``out`` tokenised text, token map)."""
-    occ = occurrences(docs, collection, doc_ord, text)
+    # entity occurrences feed both the map and the per-document pairs: extract them once
+    occ = occurrences(docs, collection, doc_ord, text).persist(StorageLevel.MEMORY_AND_DISK)
     mapping = token_map(occ)
     return apply_map(docs, occ, mapping, collection, doc_ord, text, out), mapping
 
