@@ -94,20 +94,18 @@ def chunk(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 20
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in b.schema.names}
-            texts = cols[text]
+            texts = b.column(text).to_pylist()
             idx_rows, idxs, chunks = [], [], []
             for r, t in enumerate(texts):
                 for i, c in enumerate(split_text(t, size, overlap)):
                     idx_rows.append(r)
                     idxs.append(i)
                     chunks.append(c)
-            arrays = {}
-            for n in keep:
-                arrays[n] = pa.array([cols[n][r] for r in idx_rows], type=b.schema.field(n).type)
-            arrays["chunk_idx"] = pa.array(idxs, type=pa.int32())
-            arrays["chunk_text"] = pa.array(chunks, type=pa.string())
-            yield pa.RecordBatch.from_pydict(arrays)
+            # carried columns are gathered by Arrow (no per-value Python objects)
+            carried = b.select(keep).take(pa.array(idx_rows, type=pa.int64())) if keep else None
+            arrays = [carried.column(n) for n in keep] + [pa.array(idxs, type=pa.int32()),
+                                                          pa.array(chunks, type=pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + ["chunk_idx", "chunk_text"])
 
     return src.mapInArrow(run, out_schema)
 
