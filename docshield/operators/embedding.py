@@ -34,12 +34,19 @@ def _token_re():
     return _TOKEN
 
 
+_BUCKETS: dict[int, dict[str, int]] = {}
+_BUCKET_CACHE_MAX = 2_000_000
+
+
 def hash_counts(texts, dim: int = V.HASH_DIM) -> np.ndarray:
-    """Count matrix (n x dim) of md5 feature buckets.  A per-batch cache keeps md5 calls
-    proportional to the batch vocabulary; counting is one ``bincount`` per text."""
+    """Count matrix (n x dim) of md5 feature buckets.  A token -> bucket cache lives in the
+    Python worker (reused across batches and tasks, cleared past 2M entries) so md5 calls
+    follow the vocabulary, not the token count; counting is one ``bincount`` per text."""
     rx = _token_re()
     out = np.zeros((len(texts), dim), dtype=np.int32)
-    cache: dict[str, int] = {}
+    cache = _BUCKETS.setdefault(dim, {})
+    if len(cache) > _BUCKET_CACHE_MAX:
+        cache.clear()
     for r, t in enumerate(texts):
         if not t:
             continue
