@@ -509,7 +509,8 @@ from docshield.plans import turns  # noqa: E402
 
 
 def _index(spark, sf):
-    d = _docs(spark, sf).select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    # build_index spreads its input itself
+    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), "doc_id", "source", "text")
     return turns.build_index(d, CHUNK_SIZE, CHUNK_OVERLAP)
 
 
