@@ -28,10 +28,11 @@ def _prepared(fn):
 
     @functools.wraps(fn)
     def run(spark, sf):
-        from docshield.session import ensure_checkpoint_dir
+        from docshield.session import ensure_checkpoint_dir, ship_package
         if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         return fn(spark, sf)
     return run
 
