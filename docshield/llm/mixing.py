@@ -162,7 +162,9 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     inside = joined(keyed, crossing, ["source", "size", "part"], "inner").withColumn("key", _order())
     nth = Window.partitionBy("source", "size", "part").orderBy("key")
     cuts = inside.withColumn("i", F.row_number().over(nth)).filter("i = nth").select("source", "size", F.col("key").alias("cut"))
-    return joined(made, cuts, ["source", "size"], "left").select("source", "size", "source_size", "target", "base", "cut")
+    # written, so that the join with the documents has two plain shuffles and a hot cell is split
+    return cut_lineage(joined(made, cuts, ["source", "size"], "left")
+                       .select("source", "size", "source_size", "target", "base", "cut"))
 
 
 def _mixed(rows: DataFrame, planned: DataFrame) -> DataFrame:
