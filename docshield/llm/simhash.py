@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from .common import ROW, cut_lineage, joined, pack, pick, prepare, text_of
 from .graph import components
+from .textblocks import word_blocks
 
 SHINGLE = 3
 MOST = 2
@@ -51,22 +52,32 @@ BLOCK = 1 << 16
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of one text as a signed 64-bit integer."""
-    words = text.lower().split()  # bytes: lower-cases A-Z only, splits at ASCII white space only
-    if not words:
-        return 0
-    joined_words = b" ".join(words)
+    ones, total = np.zeros(64, np.int64), 0
+    tail: list[bytes] = []
+    for words in word_blocks(text.lower()):  # bytes: lower-cases A-Z only, parts at ASCII white space only
+        words = tail + words
+        if len(words) >= shingle:
+            total += _add(words, shingle, seed, ones)
+            tail = words[len(words) - shingle + 1:]
+        else:
+            tail = words
+    if not total and tail:
+        total = _add(tail, len(tail), seed, ones)
+    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.int64)[0])
+
+
+def _add(words: list[bytes], width: int, seed: int, ones: np.ndarray) -> int:
+    """Add the bits of all shingles of a word list to ``ones``; their number."""
+    line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(shingle, len(words))
     last = len(words) - width + 1
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:last].tolist(), ends[width - 1:].tolist())
     while block := list(itertools.islice(spans, BLOCK)):
-        h = np.array([digest(joined_words[a:b], seed) for a, b in block], np.uint64)
+        h = np.array([digest(line[a:b], seed) for a, b in block], np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    bits = np.packbits(ones * 2 > last, bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return last
 
 
 def fingerprints(rows: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
