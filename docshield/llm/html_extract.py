@@ -103,15 +103,15 @@ def text_features(text: str, density: float, own: str, bare: bool, place: int, c
         out.append("closed")
     if bare:
         out.append(f"bare:{own}:{n >= 60}:{density > 0.5}")
+        if place == 0:
+            out.append("first")
+        if place == count - 1:
+            out.append("last")
     if n < 400:
         low = text.lower()
         for name, phrases in PHRASES.items():
             if any(p in low for p in phrases):
                 out.append(f"says:{name}" + (":short" if n < 120 else ""))
-    if place == 0:
-        out.append("first")
-    if place == count - 1:
-        out.append("last")
     return out
 
 
@@ -334,15 +334,15 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
     for i in range(count):
         r = random.Random(seed * 100_003 + i)
         w = _Writer(r)
-        plain = r.random() < 0.12
+        plain, alone = r.random() < 0.12, r.random() < 0.06
         w.html.append("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>")
         for kind, share in (("notice", 0.25), ("head", 0.6), ("menu", 0.7), ("advert", 0.4), ("side", 0.25), ("form", 0.15)):
-            if r.random() < share:
+            if r.random() < share and not alone:
                 _box(w, kind, plain)
-        if r.random() < 0.97:
+        if alone or r.random() < 0.97:
             _article(w, plain)
         for kind, share in (("share", 0.2), ("advert", 0.3), ("side", 0.3), ("comment", 0.35), ("form", 0.2), ("foot", 0.85), ("notice", 0.2)):
-            if r.random() < share:
+            if r.random() < share and not alone:
                 _box(w, kind, plain)
         w.html.append("</body></html>" if r.random() < 0.8 else "")
         page = "".join(w.html)

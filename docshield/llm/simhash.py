@@ -27,6 +27,7 @@ rows get equal results; an empty table gives an empty table.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterator
 from math import comb
 
@@ -179,18 +180,14 @@ def _split(bits: list[int], pieces: int) -> list[list[int]]:
 
 def _refine(rows: DataFrame, layer: dict[int, list[int]], most: int) -> tuple[DataFrame, dict[int, list[int]]]:
     """Each meeting place (place, key) is cut in most + 1 by pieces of the bits still free."""
-    new: dict[int, list[int]] = {}
-    options = None
-    for place, free in layer.items():
-        made = []
-        for k, piece in enumerate(_split(free, most + 1)):
-            new[place * (most + 1) + k] = [b for b in free if b not in piece]
-            made.append(F.struct(F.lit(place * (most + 1) + k).cast("long").alias("place"),
-                                 F.xxhash64("key", _take(F.col("fp"), piece)).alias("key")))
-        cut = F.array(*made)
-        options = F.when(F.col("place") == place, cut) if options is None else options.when(F.col("place") == place, cut)
-    out = rows.withColumn("o", F.explode(options)).select("o.place", "o.key", "fp", "probe")
-    return out, new
+    pieces = {place: _split(free, most + 1) for place, free in layer.items()}
+    new = {place * (most + 1) + k: [b for b in layer[place] if b not in piece]
+           for place, cut in pieces.items() for k, piece in enumerate(cut)}
+    table = [[_mask(piece) for piece in pieces.get(place, [])] for place in range(max(pieces) + 1)]
+    masks = F.get(F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>"), F.col("place").cast("int"))
+    cut = F.transform(masks, lambda mask, k: F.struct(
+        (F.col("place") * (most + 1) + k).alias("place"), F.xxhash64(F.col("key"), F.col("fp").bitwiseAND(mask)).alias("key")))
+    return rows.withColumn("o", F.explode(cut)).select("o.place", "o.key", "fp", "probe"), new
 
 
 def links(fps: DataFrame, most: int = MOST, parts: int = PARTS, crowd: int = CROWD) -> DataFrame:
