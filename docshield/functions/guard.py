@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def matches_col(text: Column, pattern: Column) -> Column:
     """G1 for a pattern held in a column (per-row custom rules)."""
-    p = F.lower(F.trim(pattern))
+    p = F.lower(F.regexp_replace(pattern, r"(?U)^\s+|\s+$", ""))
     low = F.lower(text)
     word = F.regexp_like(p, F.lit("^[a-z]+$"))
     return (F.when(p.isNull() | (p == ""), F.lit(False))
@@ -138,6 +139,55 @@ def matches_col(text: Column, pattern: Column) -> Column:
             .otherwise(F.instr(low, p) > 0))
 
 
+#: Policies of more patterns than this are matched by an automaton instead of one expression.
+EXPRESSION_PATTERNS = 2000
+
+
+def n_patterns(policy: "Policy") -> int:
+    return sum(map(len, [*policy.inputs.values(), *policy.outputs.values()]))
+
+
+def tier_hit_udf(policy: "Policy", direction: str):
+    """First tier pattern hit for a policy too long for an expression: one Aho-Corasick automaton
+    per tier finds all occurrences in one pass over the lower-cased text; the first pattern in list
+    order whose word or substring rule holds is the hit.  Same results as ``tier_hit``."""
+    lists = {t: [_clean(p) for p in policy.patterns(t, direction)] for t in [*policy.tiers(), FALLBACK_TIER]}
+    built: dict = {}
+
+    def automaton(tier: str):
+        import ahocorasick
+        if tier not in built:
+            a = ahocorasick.Automaton()
+            for i, p in reversed(list(enumerate(lists[tier]))):
+                if p:
+                    a.add_word(p, (i, p, bool(_WORD_ONLY.fullmatch(p))))
+            if len(a):
+                a.make_automaton()
+            built[tier] = a
+        return built[tier]
+
+    def bounded(text: str, start: int, end: int) -> bool:
+        def inside(k: int) -> bool:
+            return 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+        return not inside(start - 1) and (not inside(end) or text[end] == "s" and not inside(end + 1))
+
+    def hit(text, tier):
+        a = automaton(tier if tier in lists else FALLBACK_TIER)
+        if text is None or not len(a):
+            return None
+        best = None
+        for end, (i, p, word) in a.iter(text):
+            if (best is None or i < best[0]) and (not word or bounded(text, end + 1 - len(p), end + 1)):
+                best = (i, p)
+        return best and best[1]
+
+    @F.pandas_udf("string")
+    def first(low: pd.Series, tier: pd.Series) -> pd.Series:
+        return pd.Series([hit(x, t) for x, t in zip(low, tier)], dtype=object)
+
+    return first
+
+
 def first_hit(text: Column, patterns: list[str]) -> Column:
     """First pattern (list order) that matches, else null.  CASE is ordered and lazy."""
     expr = None

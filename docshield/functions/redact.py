@@ -135,5 +135,5 @@ def redact_words(c: Column, words: list[str]) -> Column:
 
 
 def parse_words(c: Column) -> Column:
-    """Split on ',', trim, drop empties."""
-    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Split on ',', strip white space of all kinds, drop empties."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # Audit cap and event messages.
 AUDIT_CAP = 200
-MSG_INPUT_BLOCKED = "Input question blocked by {tier} policy."
-MSG_OUTPUT_BLOCKED = "LLM output blocked and redacted under {tier} policy."
+MSG_INPUT_BLOCKED = "Input question blocked by %s policy."
+MSG_OUTPUT_BLOCKED = "LLM output blocked and redacted under %s policy."
 MSG_REDACTION = "Redacted user query before LLM processing."
-MSG_RETRIEVAL = "Successfully completed RAG query in {latency}s"
-MSG_UPLOAD = "Indexed {n} file(s) into database {db_id}"
+MSG_RETRIEVAL = "Successfully completed RAG query in %.3fs"
+MSG_UPLOAD = "Indexed %d file(s) into database %s"
 
 
 def turn_events(responses: DataFrame, redacted: bool = False) -> DataFrame:
@@ -21,15 +21,16 @@ def turn_events(responses: DataFrame, redacted: bool = False) -> DataFrame:
     blocked_in = F.col("source") == "input_guard"
     blocked_out = F.col("source") == "output_guard"
     lat = F.col("latency_sec") if "latency_sec" in responses.columns else F.lit(0.0)
-    latency = F.format_number(F.coalesce(lat, F.lit(0.0)), 3)
+    lat = F.coalesce(lat.cast("double"), F.lit(0.0))
     main = F.struct(
         F.when(blocked_in | blocked_out, F.lit("safety_alert")).otherwise(F.lit("retrieval")).alias("event_type"),
-        F.when(blocked_in, F.concat(F.lit("Input question blocked by "), tier, F.lit(" policy.")))
-         .when(blocked_out, F.concat(F.lit("LLM output blocked and redacted under "), tier, F.lit(" policy.")))
-         .otherwise(F.concat(F.lit("Successfully completed RAG query in "), latency, F.lit("s"))).alias("message"),
+        F.when(blocked_in, F.format_string(MSG_INPUT_BLOCKED, tier))
+         .when(blocked_out, F.format_string(MSG_OUTPUT_BLOCKED, tier))
+         .otherwise(F.format_string(MSG_RETRIEVAL, lat)).alias("message"),
         F.when(blocked_in, F.create_map(F.lit("question"), F.col("question")))
          .when(blocked_out, F.create_map().cast("map<string,string>"))
-         .otherwise(F.create_map(F.lit("citations_count"), F.col("n_citations").cast("string"),
+         .otherwise(F.create_map(F.lit("latency_sec"), F.format_string("%.3f", lat),
+                                 F.lit("citations_count"), F.col("n_citations").cast("string"),
                                  F.lit("question"), F.col("question"))).alias("details"))
     items = [main]
     if redacted:
@@ -41,6 +42,15 @@ def turn_events(responses: DataFrame, redacted: bool = False) -> DataFrame:
     return ev.select(*keep, "e.event_type", "e.message", "e.details")
 
 
+def upload_events(registered: DataFrame, files: str = "files", db_id: str = "db_id") -> DataFrame:
+    """A1: one ``upload`` event per indexed collection (an array of file names and its key)."""
+    n = F.size(files)
+    return registered.select(
+        F.col(db_id).alias("db_id"), F.lit("upload").alias("event_type"),
+        F.format_string(MSG_UPLOAD, n, F.col(db_id)).alias("message"),
+        F.create_map(F.lit("files"), F.array_join(files, ", "), F.lit("db_id"), F.col(db_id)).alias("details"))
+
+
 def retain(audit: DataFrame, n: int = AUDIT_CAP, ts: str = "ts", tiebreak: str = "event_id",
            per: str | None = None) -> DataFrame:
     """A2: newest ``n`` events (top-k, no full sort); per-group form with ``per``."""

@@ -18,7 +18,10 @@ def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str
     low = "`_low`"
     jb = F.expr(G.jailbreak_hit_sql(low)) if direction == "in" else F.lit(None).cast("string")
     cu = G.custom_hit(F.col(text), F.col(rules)) if rules else F.lit(None).cast("string")
-    ti = F.expr(G.tier_hit_sql(low, f"`{tier}`", policy, direction))
+    if G.n_patterns(policy) > G.EXPRESSION_PATTERNS:
+        ti = G.tier_hit_udf(policy, direction)(F.col("_low"), F.col(tier))
+    else:
+        ti = F.expr(G.tier_hit_sql(low, f"`{tier}`", policy, direction))
     lowered = df.select("*", F.lower(F.col(text)).alias("_low"))
     staged = lowered.select(*df.columns, jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
     r = G.combine(F.col("_jb"), F.col("_cu"), F.col("_ti"), F.col(tier), F.col(enabled), direction)
@@ -131,10 +134,10 @@ def tiers_frame(spark, policy: G.Policy | None = None):
     return spark.createDataFrame(rows, "tier string, description string, badge string")
 
 
-def policy_from_rows(rows_df, tiers_df=None, max_rows: int = 100_000) -> G.Policy:
-    """Build the Column-builder policy from a stored policy table (size checked)."""
-    from docshield.operators.sizing import collect_bounded
-    rows = collect_bounded(rows_df, max_rows, "policy")
+def policy_from_rows(rows_df, tiers_df=None) -> G.Policy:
+    """Build the policy from a stored policy table.  Every row counts, however many there are: a
+    policy is configuration, which each task holds to check a text (see ``guard_columns``)."""
+    rows = rows_df.select("tier", "direction", "ord", "pattern").collect()
     p = G.Policy({}, {}, {}, {})
     for r in sorted(rows, key=lambda r: (r["tier"], r["direction"], r["ord"])):
         (p.inputs if r["direction"] == "in" else p.outputs).setdefault(r["tier"], []).append(r["pattern"])
@@ -142,7 +145,7 @@ def policy_from_rows(rows_df, tiers_df=None, max_rows: int = 100_000) -> G.Polic
         p.inputs.setdefault(t, [])
         p.outputs.setdefault(t, [])
     if tiers_df is not None:
-        for r in collect_bounded(tiers_df, max_rows, "tiers"):
+        for r in tiers_df.select("tier", "description", "badge").collect():
             p.descriptions[r["tier"]] = r["description"]
             p.badges[r["tier"]] = r["badge"]
             # a tier without patterns (e.g. Public) has no pattern rows but must still exist,

@@ -308,7 +308,7 @@ def r6_manual_words(spark, sf):
     return redaction.redact_words(_docs(spark, sf), MANUAL_WORDS).select("doc_id", F.col("text").alias("text_redacted"))
 
 
-_WS = "[ \\t\\n\\r\\f]"
+_WS = "[ \\t\\n\\v\\r\\f]"
 
 
 @register("r7_parse_words", f"""
@@ -319,9 +319,7 @@ WITH w AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, md5(array_to_string(words, '|')) AS words_md5 FROM w
 """)
 def r7_parse_words(spark, sf):
-    words = F.filter(F.transform(F.split("text", ","),
-                                 lambda x: F.regexp_replace(x, f"^{_WS}+|{_WS}+$", "")),
-                     lambda x: x != "")
+    words = R.parse_words(F.col("text"))
     return _docs(spark, sf).select("doc_id", F.size(words).cast("bigint").alias("n_words"),
                                    F.md5(F.array_join(words, "|")).alias("words_md5"))
 
@@ -509,10 +507,15 @@ def v3_similarity_score(spark, sf):
 from docshield.plans import turns  # noqa: E402
 
 
-def _index(spark, sf):
-    # build_index spreads its input itself
-    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), "doc_id", "source", "text")
-    return turns.build_index(d, CHUNK_SIZE, CHUNK_OVERLAP)
+def _index(spark, sf, docs=None):
+    """The index of the documents, one collection a source, stored as E3 stores it."""
+    from docshield.sources import stores
+    from docshield.streaming import streams
+    d = docs if docs is not None else table(spark, sf, "documents").select(
+        F.col("source").alias("collection"), "doc_id", "source", "text")
+    path = streams.scratch_dir(spark, "index") + "/index"
+    stores.write_index(turns.build_index(d, CHUNK_SIZE, CHUNK_OVERLAP), path)
+    return stores.read_index(spark, path)
 
 
 _TURN_IN = Q.check("question", "tier", "enabled", "custom_rules", "in")
@@ -523,7 +526,8 @@ TURN_CTES = f"""
 req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model')} AS k FROM requests r),
 docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
-ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
+              doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
 cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
 clean AS (SELECT * FROM req WHERE in_message IS NULL),
@@ -533,7 +537,7 @@ hist AS (SELECT c.conv_id, c.turn,
          FROM clean c),
 {Q.hash_counts_cte('clean', 'conv_id, turn', 'question', 'qvec')},
 qn AS (SELECT conv_id, turn, sum(cnt * cnt) AS n2 FROM qvec GROUP BY ALL),
-cand AS (SELECT r.conv_id, r.turn, r.k, ch.chunk_id, ch.source, ch.chunk_text, ch.chunk_start
+cand AS (SELECT r.conv_id, r.turn, r.k, ch.chunk_id, ch.chunk_key, ch.source, ch.chunk_text, ch.chunk_start
          FROM clean r JOIN ch ON ch.collection = r.collection),
 dots AS (SELECT q.conv_id, q.turn, c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
 scored AS (
@@ -544,7 +548,7 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_id) AS rank FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= k),
 per_q AS (
-  SELECT conv_id, turn, list({{'id': chunk_id, 'source': source, 'text': chunk_text, 'score': round(score, 4)}} ORDER BY rank) AS cites
+  SELECT conv_id, turn, list({{'id': chunk_key, 'source': source, 'text': chunk_text, 'score': round(score, 4)}} ORDER BY rank) AS cites
   FROM hits GROUP BY ALL),
 ans AS (
   SELECT c.*, h.n_history, p.cites, {Q.extractive_answer('p.cites[1].text')} AS answer
@@ -582,6 +586,19 @@ def g11_guarded_turn(spark, sf):
     return turns.summarize_responses(resp)
 
 
+_TWICE = "(SELECT source, doc_id, text FROM documents UNION ALL SELECT 'src' || ((CAST(substr(source, 4) AS INT) + 7) % 20), doc_id, text FROM documents)"
+
+
+@register("g11_shared_documents", G11_SQL.replace("AS text FROM documents)", f"AS text FROM {_TWICE})"))
+def g11_shared_documents(spark, sf):
+    """G11 over an index in which every document stands in two collections under one id."""
+    conv = table(spark, sf, "conversations")
+    d = table(spark, sf, "documents").select("source", "doc_id", "text")
+    other = F.concat(F.lit("src"), ((F.substring("source", 4, 9).cast("int") + 7) % 20).cast("string"))
+    both = d.unionByName(d.withColumn("source", other)).withColumn("collection", F.col("source"))
+    return turns.summarize_responses(turns.run_turns(B.requests(conv), _index(spark, sf, both), conv, requests_are_turns=True))
+
+
 # --------------------------------------------------------------------------- conversation (H*)
 from docshield.functions import chat as CH  # noqa: E402
 from docshield.operators import chat  # noqa: E402
@@ -640,14 +657,9 @@ def h3_context(spark, sf):
     idx = _index(spark, sf)
     inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
     clean = req.where(inp.message.isNull()).withColumn("k", V.k_for(F.col("host"), F.col("model")))
-    qv = embedding.hashing_embed(clean, "question", "qvec").withColumn(
-        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
-    hits = search.topk(qv, idx, V.K_CLOUD, q_id="qid", q_vec="qvec", i_id="chunk_id", i_vec="vec",
-                       partition="collection", metric="cosine", q_norm2="qvec_norm2", i_norm2="vec_norm2",
-                       k_col="k")
-    hits = hits.join(idx.select("chunk_id", "source", "chunk_text"), "chunk_id")
-    ctx = chat.context(hits, ["qid"])
-    return qv.select("qid", "conv_id", "turn").join(ctx, "qid", "left").select(
+    hits = turns.retrieve(clean, idx, "question")
+    ctx = chat.context(hits, turns.TURN_KEY)
+    return clean.select(*turns.TURN_KEY).join(ctx, turns.TURN_KEY, "left").select(
         "conv_id", "turn", F.coalesce("context", F.lit("")).alias("context"))
 
 
@@ -778,13 +790,9 @@ def _raw_answers(spark, sf, conv):
     idx = _index(spark, sf)
     inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
     clean = req.where(inp.message.isNull()).withColumn("k", V.k_for(F.col("host"), F.col("model")))
-    qv = embedding.hashing_embed(clean, "question", "qvec").withColumn(
-        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
-    hits = search.topk(qv, idx, V.K_CLOUD, q_id="qid", q_vec="qvec", i_id="chunk_id", i_vec="vec",
-                       partition="collection", metric="cosine", q_norm2="qvec_norm2", i_norm2="vec_norm2",
-                       k_col="k")
-    top = hits.where(F.col("rank") == 1).join(idx.select("chunk_id", F.col("chunk_text").alias("top_text")), "chunk_id")
-    rows = qv.select("qid", "conv_id", "turn").join(top.select("qid", "top_text"), "qid", "left")
+    top = turns.retrieve(clean, idx, "question").where(F.col("rank") == 1)
+    top = top.select(*turns.TURN_KEY, F.col("chunk_text").alias("top_text"))
+    rows = clean.select(*turns.TURN_KEY).join(top, turns.TURN_KEY, "left")
     return chat.answer(rows, None, "top_text", "answer").select("conv_id", "turn", "answer")
 
 
@@ -802,25 +810,27 @@ def v4_citations(spark, sf):
         F.coalesce(F.col("c.source"), F.lit("Unknown")).alias("source"), F.col("c.score").alias("score"))
 
 
+# Fixed value: the overview query of the suggestion flow.
 OVERVIEW_QUERY = "summary overview main topics highlights key findings timeline requirements"
 
 
 @register("v5_representative_chunks", f"""
 WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
-ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
+              doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
 cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
 q AS (SELECT 1 AS one, {B.sql_str(OVERVIEW_QUERY)} AS text),
 {Q.hash_counts_cte('q', 'one', 'text', 'qvec')},
 qn AS (SELECT sum(cnt * cnt) AS n2 FROM qvec),
 dots AS (SELECT c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
-scored AS (SELECT ch.collection, ch.chunk_id,
+scored AS (SELECT ch.collection, ch.chunk_id, ch.chunk_key,
                   CASE WHEN (SELECT n2 FROM qn) * coalesce(cn.n2, 0) > 0
                        THEN CAST(coalesce(d.d, 0) AS DOUBLE) / sqrt(CAST((SELECT n2 FROM qn) * cn.n2 AS DOUBLE)) ELSE 0.0 END AS score
            FROM ch LEFT JOIN dots d USING (chunk_id) LEFT JOIN cn USING (chunk_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, chunk_id) AS rank FROM scored)
-SELECT collection, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 4) AS score FROM r WHERE rank <= 3
+SELECT collection, CAST(rank AS INTEGER) AS rank, chunk_key AS chunk_id, round(score, 4) AS score FROM r WHERE rank <= 3
 """)
 def v5_representative_chunks(spark, sf):
     from docshield.plans.turns import representative_chunks
@@ -851,7 +861,7 @@ def s1_document_scan(spark, sf):
                     F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-_EXT_SQL = "lower(regexp_extract(name, '(\\.[^./]*)$', 1))"
+_EXT_SQL = "lower(regexp_extract(ltrim(name, '.'), '(\\.[^./]*)$', 1))"
 
 
 @register("s2_extension_allow_list", f"""
@@ -1130,7 +1140,7 @@ ev AS (
          CASE WHEN r.source = 'input_guard' THEN 'Input question blocked by ' || q.tier || ' policy.'
               WHEN r.source = 'output_guard' THEN 'LLM output blocked and redacted under ' || q.tier || ' policy.'
               ELSE 'Successfully completed RAG query in 0.000s' END AS message,
-         CAST(CASE WHEN r.source = 'input_guard' THEN 1 WHEN r.source = 'output_guard' THEN 0 ELSE 2 END AS BIGINT) AS n_details,
+         CAST(CASE WHEN r.source = 'input_guard' THEN 1 WHEN r.source = 'output_guard' THEN 0 ELSE 3 END AS BIGINT) AS n_details,
          CASE WHEN r.source = 'output_guard' THEN NULL ELSE q.question END AS details_question
   FROM resp r JOIN requests q USING (conv_id, turn))
 SELECT * FROM ev
@@ -1199,13 +1209,12 @@ SELECT tier, direction, CAST(ord AS INTEGER) AS ord, pattern FROM policy WHERE t
 UNION ALL SELECT * FROM edits
 """)
 def g9_upsert_tier(spark, sf):
-    """The Restricted tier's input patterns replaced by the event types of the log.
-    A policy edit is configuration-sized: it is built from a size-checked collect."""
-    from docshield.operators.sizing import collect_bounded
-    types = sorted(r[0] for r in collect_bounded(table(spark, sf, "events").select("event_type").distinct(),
-                                                 10_000, "policy edit"))
-    edits = spark.createDataFrame([("Restricted", "in", i, t) for i, t in enumerate(types)],
-                                  "tier string, direction string, ord int, pattern string")
+    """The Restricted tier's input patterns replaced by the event types of the log.  The edit
+    is a table made by Spark (one row per distinct type), nothing passes through the driver."""
+    from docshield.operators.ordinal import ordinal_in_groups
+    types = table(spark, sf, "events").select(F.lit("Restricted").alias("tier"), F.lit("in").alias("direction"),
+                                              F.col("event_type").alias("pattern")).distinct()
+    edits = ordinal_in_groups(types, ["tier", "direction"], ["pattern"]).withColumn("ord", (F.col("ord") - 1).cast("int"))
     return guarding.upsert_tier(guarding.policy_rows(spark), edits)
 
 
@@ -1263,20 +1272,22 @@ from docshield.streaming import streams  # noqa: E402
 @register("t1_stream_ingest", f"""
 WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
-ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
+              doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
 cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id)
-SELECT ch.chunk_id, ch.collection, CAST(coalesce(cn.n2, 0) AS BIGINT) AS n2
+SELECT ch.chunk_key AS chunk_id, ch.collection, CAST(coalesce(cn.n2, 0) AS BIGINT) AS n2
 FROM ch LEFT JOIN cn USING (chunk_id)
 """)
 def t1_stream_ingest(spark, sf):
-    """Documents arrive as a file stream and are indexed batch by batch."""
-    like = table(spark, sf, "documents")
-    src = streams.read_stream(spark, sf, like, "documents.parquet") \
-        .withColumn("collection", F.col("source"))
+    """Documents arrive as four files, one micro-batch each; the last one delivers every
+    document of the first file again."""
+    docs = table(spark, sf, "documents").withColumn("collection", F.col("source"))
     base = streams.scratch_dir(spark, "ingest")
-    q = streams.stream_ingest(spark, src, base + "/index", base + "/ckpt", CHUNK_SIZE, CHUNK_OVERLAP)
-    q.awaitTermination()
+    for part in (0, 1, 2, 0):
+        docs.where(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(base + "/in")
+    src = streams.read_stream(spark, base + "/in", docs)
+    streams.stream_ingest(spark, src, base + "/index", base + "/ckpt", CHUNK_SIZE, CHUNK_OVERLAP).awaitTermination()
     idx = spark.read.parquet(base + "/index")
     return idx.select("chunk_id", "collection", F.col("vec_norm2").cast("bigint").alias("n2"))
 
@@ -1289,7 +1300,7 @@ def t2_stream_guard(spark, sf):
     guarded = streams.stream_guard(B.requests(src))
     out = streams.scratch_dir(spark, "guard")
     streams.run_to_parquet(guarded.select("conv_id", "turn", "tier", "blocked", "rule_kind", "rule", "message"),
-                           out, "append")
+                           out)
     return spark.read.parquet(out)
 
 
@@ -1299,13 +1310,22 @@ SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start, event_type,
 FROM events GROUP BY ALL
 """)
 def t3_stream_audit_rollup(spark, sf):
-    """Hourly event counts per type with a 10-minute watermark (complete output)."""
-    like = table(spark, sf, "events")
-    src = streams.read_stream(spark, sf, like, "events.parquet")
-    roll = streams.stream_audit_rollup(src, "1 hour", "10 minutes")
-    out = streams.scratch_dir(spark, "rollup")
-    streams.run_to_parquet(roll, out, "complete")
-    r = spark.read.parquet(out)
+    """Hourly event counts per type, append mode, 10-minute watermark.  Events arrive in three
+    files by time; then comes a copy of the first event, far too late, which must not count; a last
+    event two days on lets the watermark pass all windows of the log."""
+    events = table(spark, sf, "events")
+    times = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.67], 10_000).alias("cut"),
+                       F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = times["cut"]
+    moved = F.col("ts") + F.expr("INTERVAL 2 DAYS")
+    base = streams.scratch_dir(spark, "rollup")
+    for part in (events.where(at <= low), events.where((at > low) & (at <= high)), events.where(at > high),
+                 events.where(F.col("ts") == times["first"]), events.where(F.col("ts") == times["last"]).withColumn("ts", moved)):
+        part.coalesce(1).write.mode("append").parquet(base + "/in")
+    src = streams.read_stream(spark, base + "/in", spark.read.parquet(base + "/in"))
+    streams.run_to_parquet(streams.stream_audit_rollup(src, "1 hour", "10 minutes"), base + "/out")
+    r = spark.read.parquet(base + "/out")
     return r.select(F.unix_micros("window_start").alias("window_start"), "event_type",
                     F.col("n").cast("bigint").alias("n"), F.round("total_value", 6).alias("total_value"))
 
@@ -1317,7 +1337,8 @@ from docshield.sources import stores  # noqa: E402
 @register("e3_e4_index_roundtrip", f"""
 WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
-ch AS (SELECT *, doc_id * 100000 + chunk_idx AS chunk_id FROM chunks),
+ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
+              doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
 cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id)
 SELECT ch.collection, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(coalesce(cn.n2, 0)) AS BIGINT) AS sum_n2
@@ -1329,11 +1350,13 @@ def e3_e4_index_roundtrip(spark, sf):
     """E3 write (partitioned by collection, dynamic overwrite) then E4 pruned read of the
     collections that hold German documents."""
     path = streams.scratch_dir(spark, "index") + "/index"
-    stores.write_index(_index(spark, sf).drop("vec"), path)
+    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    stores.write_index(turns.build_index(d, CHUNK_SIZE, CHUNK_OVERLAP), path)
     wanted = table(spark, sf, "documents").where(F.col("lang") == "de").select(F.col("source").alias("collection"))
     idx = stores.read_index_for(spark, path, wanted)
     return idx.groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"),
-                                         F.sum("vec_norm2").cast("bigint").alias("sum_n2"))
+                                         F.sum(F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x * x))
+                                         .cast("bigint").alias("sum_n2"))  # from the stored vectors
 
 
 # A stored policy whose Restricted tier gained two words that occur in the test texts.

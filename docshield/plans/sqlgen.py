@@ -25,7 +25,7 @@ def matches(text: str, pattern: str) -> str:
 
 
 def matches_col(text: str, pat: str) -> str:
-    p = f"lower(trim({pat}))"
+    p = f"lower(regexp_replace({pat}, '^[\\s\\v]+|[\\s\\v]+$', '', 'g'))"
     return (f"(CASE WHEN {p} IS NULL OR {p} = '' THEN FALSE "
             f"WHEN regexp_full_match({p}, '[a-z]+') THEN regexp_matches(lower({text}), "
             f"{sql_str(WB_L)} || {p} || {sql_str('s?' + WB_R)}) "

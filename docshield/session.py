@@ -1,7 +1,7 @@
 """Spark session helpers.
 
 The cluster decides ``spark.checkpoint.dir`` (a shared folder).  We only read it; a local
-fallback under ``/tmp`` is set when it is missing, which is the case in tests.
+folder is set when it is missing and the master is local, as in tests, and refused on a cluster.
 """
 
 from __future__ import annotations
@@ -55,7 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
-    # Only reached when no cluster setting exists (tests, local runs).
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # Only reached when no cluster exists (tests, local runs).
     local = tempfile.mkdtemp(prefix="docshield-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

@@ -19,14 +19,16 @@ def base_name(path) -> F.Column:
 
 
 def extension(name) -> F.Column:
-    """Lower-cased last suffix including the dot ('' when there is none)."""
-    return F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+    """Lower-cased last suffix including the dot; '' when there is none, as for a name that only
+    begins with dots (``.pdf``)."""
+    return F.lower(F.regexp_extract(F.ltrim(name, F.lit(".")), r"(\.[^./]*)$", 1))
 
 
 def read_documents(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """Whole-text scan of a folder of files; ``source`` = base name of the file."""
     df = spark.read.text(path, wholetext=True)
-    src = F.input_file_name()
+    # Spark gives the path URL-encoded, with a plus sign as itself
+    src = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     out = df.select(F.col("value").alias("text"), src.alias("path"))
     out = out.withColumn("name", base_name(F.col("path"))).withColumn("ext", extension(F.col("name")))
     out = out.withColumn("source", F.col("name"))

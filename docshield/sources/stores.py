@@ -4,31 +4,50 @@ The index is a parquet table partitioned by ``collection``; writes use dynamic p
 overwrite so re-building one collection replaces only its folder, and reads prune to the
 requested collections.  The policy is a small parquet table ``(tier, direction, ord,
 pattern)`` plus ``(tier, description, badge)``; a saved policy replaces the whole default
-set, and an unreadable or empty one falls back to the defaults.
+set.  Only an absent, empty or corrupt store falls back to the defaults, with a warning; any other
+failure to read is raised, so that a policy never vanishes.
 """
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docshield.functions import guard as G
 
 
+#: What Spark says of a folder that is not there or holds no readable table.
+ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER", "CANNOT_READ_FILE_FOOTER"}
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
+        return None
+
+
 def write_index(df: DataFrame, path: str, partition: str | list[str] = "collection") -> None:
     """Write chunk vectors; only the partitions present in ``df`` are replaced."""
     parts = [partition] if isinstance(partition, str) else list(partition)
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # one writer per range of chunks of a collection: few files, and a hot collection is split
+    keys = [c for c in (*parts, "doc_id", "chunk_idx") if c in df.columns]
+    (df.repartitionByRange(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*parts).parquet(path))
 
 
 def read_index(spark: SparkSession, path: str, collections: list[str] | None = None,
                partition: str = "collection") -> DataFrame:
     """Read the index (partition-pruned to ``collections``); a missing key is an error."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - no index written yet
-        raise FileNotFoundError(f"No stored index at {path}") from e
+    df = read_if_there(spark, path)
+    if df is None:
+        raise FileNotFoundError(f"No stored index at {path}")
     if collections is None:
         return df
     df = df.where(F.col(partition).isin(collections))
@@ -44,10 +63,9 @@ def read_index_for(spark: SparkSession, path: str, wanted: DataFrame,
     """E4 for a *table* of wanted collections: a left-semi join on the partition column
     (dynamic partition pruning skips the other folders); a wanted key without an index is
     an error, found by an anti join (nothing is collected)."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"No stored index at {path}") from e
+    df = read_if_there(spark, path)
+    if df is None:
+        raise FileNotFoundError(f"No stored index at {path}")
     keys = wanted.select(F.col(partition)).distinct()
     missing = keys.join(df.select(partition).distinct(), partition, "left_anti").limit(1).collect()
     if missing:
@@ -63,13 +81,17 @@ def save_policy(spark: SparkSession, policy: G.Policy, path: str) -> None:
 
 
 def load_policy(spark: SparkSession, path: str) -> G.Policy:
-    """G8 load: stored policy, or the defaults when it is missing, unreadable or empty."""
+    """G8 load: stored policy, or the defaults when there is none or its files are no tables."""
     from docshield.operators.guarding import policy_from_rows
     try:
         rows = spark.read.parquet(f"{path}/patterns")
         tiers = spark.read.parquet(f"{path}/tiers")
-        if tiers.isEmpty():
-            return G.Policy.default()
-        return policy_from_rows(rows, tiers)
-    except Exception:  # noqa: BLE001 - unreadable store -> defaults, as the reference does
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
+        warnings.warn(f"no policy stored at {path} ({e.getCondition()}): the default policy is used", stacklevel=2)
+        return G.Policy.default()
+    if tiers.isEmpty():
+        warnings.warn(f"the policy stored at {path} is empty: the default policy is used", stacklevel=2)
         return G.Policy.default()
+    return policy_from_rows(rows, tiers)

@@ -1,13 +1,15 @@
 """Structured Streaming forms.
 
 - T1 ``stream_ingest``: new document files -> redact -> chunk -> embed -> append to the
-  index, skipping collections whose content key is already indexed (F2 anti join inside
-  ``foreachBatch``).  Each micro-batch writes its own ``epoch`` partition with dynamic
-  overwrite, so a retried batch replaces exactly what it wrote (idempotent sink).
+  index, skipping documents that are indexed with the same content already (F2 anti join on a
+  per-document key inside ``foreachBatch``), so documents delivered twice are indexed once.  Each
+  micro-batch writes its own ``epoch`` partition with dynamic overwrite, so a retried batch
+  replaces exactly what it wrote (idempotent sink).
 - T2 ``stream_guard``: requests through the input guard; a stateless projection built
   from the same Column builders as the batch form.
-- T3 ``stream_audit_rollup``: event counts per type in tumbling windows; late events are
-  bounded by a watermark.
+- T3 ``stream_audit_rollup``: event counts per type in tumbling windows, in append mode: a window is
+  written once, when the watermark passes its end, and its state is dropped; events later than
+  that are ignored.
 Outputs and checkpoints live under the cluster's checkpoint folder.
 """
 
@@ -51,38 +53,35 @@ def stream_audit_rollup(events: DataFrame, window: str = "1 hour", lateness: str
              .select(F.col("w.start").alias("window_start"), "event_type", "n", "total_value"))
 
 
-def run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
-    """Drive a stream over all available input, then stop (``availableNow``)."""
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("path", out)
-               .option("checkpointLocation", out + "_ckpt").outputMode("append")
-               .trigger(availableNow=True).start())
-    else:
-        def write(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = (df.writeStream.foreachBatch(write).option("checkpointLocation", out + "_ckpt")
-               .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+def run_to_parquet(df: DataFrame, out: str) -> None:
+    """Drive a stream in append mode over all available input, then stop (``availableNow``)."""
+    (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_ckpt")
+       .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+
+def document_key():
+    """F2 for one document: a digest of what is indexed of it."""
+    sep = F.lit("\x1f")
+    return F.md5(F.concat(F.col("doc_id").cast("string"), sep, F.coalesce("source", F.lit("")), sep,
+                          F.coalesce("text", F.lit(""))))
 
 
 def stream_ingest(spark: SparkSession, docs_stream: DataFrame, index_path: str, checkpoint: str,
                   size: int = 1000, overlap: int = 200):
     """Incremental index build; returns the started query (availableNow trigger)."""
-    from docshield.operators import fingerprint as FP
     from docshield.plans.turns import build_index
-    from docshield.sources.stores import write_index
+    from docshield.sources.stores import read_if_there, write_index
 
     def ingest(batch: DataFrame, epoch: int) -> None:
-        files = batch.select("collection", F.col("doc_id").alias("ord"), "doc_id", "source", "text")
-        keys = FP.collection_key(files, size, overlap, True)
-        try:
-            known = spark.read.parquet(index_path).select("db_id").distinct()
-        except Exception:  # noqa: BLE001 - empty index on the first batch
-            known = keys.limit(0).select("db_id")
-        todo, _ = FP.pending(keys, known)
-        docs = files.join(todo, "collection", "left_semi").select("collection", "doc_id", "source", "text")
-        idx = build_index(docs, size, overlap).join(todo, "collection")
-        write_index(idx.withColumn("epoch", F.lit(epoch)), index_path, partition=["collection", "epoch"])
+        docs = batch.select("collection", "doc_id", "source", "text").withColumn("doc_key", document_key())
+        docs = docs.dropDuplicates(["collection", "doc_key"])
+        index = read_if_there(spark, index_path)
+        if index is not None:
+            # what this very batch wrote before it was retried counts as not there
+            known = index.where(F.col("epoch") != epoch).select("collection", "doc_key").distinct()
+            docs = docs.join(known, ["collection", "doc_key"], "left_anti")
+        write_index(build_index(docs, size, overlap).withColumn("epoch", F.lit(epoch)), index_path,
+                    partition=["collection", "epoch"])
 
     return (docs_stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -17,7 +17,7 @@ def test_oracle_keys_subset():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E._training()[0])))
 def test_query_runs(spark, sf, name):
     df = E.queries()[name](spark, sf)
-    assert df.limit(5).count() >= 0
+    assert df.columns and len(df.take(1)) == 1

@@ -41,3 +41,75 @@ def test_streams_equal_batch(spark, sf):
     roll = QUERIES["t3_stream_audit_rollup"](spark, sf)
     from docshield.sources.tables import table
     assert roll.agg(F.sum("n")).first()[0] == table(spark, sf, "events").count()
+
+
+def test_large_policy_is_kept(spark):
+    """100,001 stored rules block as stored; the automaton gives what the expressions give."""
+    from docshield.operators import guarding
+    d = tempfile.mkdtemp(prefix="docshield-test-")
+    rows = spark.range(100_000).select(F.lit("Restricted").alias("tier"), F.lit("in").alias("direction"),
+                                       F.col("id").cast("int").alias("ord"), F.concat(F.lit("code name "), "id").alias("pattern"))
+    rows = rows.unionByName(spark.createDataFrame([("Restricted", "in", 100_000, "zebra")], rows.schema))
+    rows.write.parquet(d + "/pol/patterns")
+    spark.createDataFrame([("Restricted", "r", "r"), ("Public", "p", "p")], "tier string, description string, badge string") \
+        .write.parquet(d + "/pol/tiers")
+    pol = stores.load_policy(spark, d + "/pol")
+    assert G.n_patterns(pol) == 100_001
+    asked = [("all about code name 77777 and zebras", "Restricted", "code name 7"), ("two zebras.", "Restricted", "zebra"),
+             ("zebraic", "Restricted", None), ("zebra", "Public", None), (None, "Restricted", None),
+             ("my password", "Elsewhere", "password")]
+    df = spark.createDataFrame([(i, q, t, True) for i, (q, t, _) in enumerate(asked)], "i int, question string, tier string, enabled boolean")
+    got = guarding.check_input(df, rules=None, policy=pol).orderBy("i").collect()
+    assert [r["in_rule"] for r in got] == [w for _, _, w in asked]
+
+
+def test_automaton_equals_expression(spark):
+    texts = ["my API key", "two passwords", "passwordless", "pass_word password_", "credentials' end", "ssn", "ssns", "x ssn1", "", None,
+             "the patient's salary", "tax returns", "credit card and bank account", "TRADING floor", "éssn ssné"]
+    tiers = ["Public", "Internal", "Confidential", "Restricted", "Nowhere"]
+    df = spark.createDataFrame([(q, t) for q in texts for t in tiers], "q string, tier string")
+    pol = G.Policy.default()
+    for way in ("in", "out"):
+        both = df.select(G.tier_hit(F.col("q"), F.col("tier"), pol, way).alias("a"),
+                         G.tier_hit_udf(pol, way)(F.lower("q"), F.col("tier")).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in both)
+
+
+def test_policy_errors_are_raised(spark):
+    class Denied:
+        @property
+        def read(self):
+            raise PermissionError("denied")
+
+    with pytest.raises(PermissionError):
+        stores.load_policy(Denied(), "/any")
+    d = tempfile.mkdtemp(prefix="docshield-test-")
+    with pytest.warns(UserWarning):
+        assert stores.load_policy(spark, d + "/none").inputs == G.Policy.default().inputs
+
+
+def test_redelivered_documents_are_indexed_once(spark, sf):
+    from docshield.plans.catalog import QUERIES
+    idx = QUERIES["t1_stream_ingest"](spark, sf)
+    assert idx.count() == idx.distinct().count() == idx.select("collection", "chunk_id").distinct().count()
+
+
+def test_checkpoint_folder_is_not_made_up_on_a_cluster(monkeypatch):
+    from docshield import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
