@@ -51,7 +51,7 @@ NAME_PLACEHOLDER = "[NAME_REDACTED]"
 MANUAL_PLACEHOLDER = "[MANUAL_REDACTED]"
 WORD_L = r"(^|[^\p{L}\p{N}_])"
 WORD_R = r"($|[^\p{L}\p{N}_])"
-TOKEN_RE = r"\[(?:CREDENTIAL|EMAIL|CREDIT_CARD|SSN|PHONE|NAME)_[0-9]+\]"
+TOKEN_RE = r"\[(?:CREDENTIAL|EMAIL|CREDIT_CARD|SSN|PHONE|NAME|LITERAL)_[0-9]+\]"
 
 
 def _java_repl(t: PiiType, repl: str) -> str:
@@ -106,17 +106,59 @@ def redact(c: Column, names: bool = False) -> Column:
     return out
 
 
-def entity_values(c: Column, t: PiiType) -> Column:
-    """All values of one type in the text, in order (array<string>)."""
-    vals = F.regexp_extract_all(c, F.lit(t.regex), t.group)
-    guard = GUARDS.get(t.name)
-    return vals if guard is None else F.when(guard(c), vals).otherwise(F.array().cast("array<string>"))
+# Spans (R3, R5, R8): the types in order, with borders that take no character, so that values next
+# to each other are all found.  A literal token in a text is a span of its own and gets a token like
+# any value, so it can never be mistaken for another document's token.  A name keeps its title.
+LITERAL = "LITERAL"
+NAME = "NAME"
+SPANS = {
+    LITERAL: TOKEN_RE,
+    "CREDENTIAL": PII_TYPES[0].regex,
+    "EMAIL": PII_TYPES[1].regex,
+    "CREDIT_CARD": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    "SSN": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
+    "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    NAME: TITLE_NAME,
+}
+SPAN_ORDER = list(SPANS)
+PLAIN = -1  # the type of a piece of text that is no entity
 
 
-def count_type(c: Column, t: PiiType) -> Column:
-    n = F.size(F.regexp_extract_all(c, F.lit(t.regex), 0))
-    guard = GUARDS.get(t.name)
-    return n if guard is None else F.when(guard(c), n).otherwise(F.lit(0))
+def may_have_spans(c: Column, names: bool = True) -> Column:
+    """A necessary condition: texts that fail it hold no span."""
+    out = F.instr(c, "[") > 0
+    for t in PII_TYPES:
+        out = out | GUARDS[t.name](c)
+    return out | c.rlike("(?:Mr|Mrs|Ms|Miss|Dr|Prof)[. ]") if names else out
+
+
+def _cutter(i: int, regex: str):
+    """Cuts a plain piece into its plain parts and the spans of one type."""
+    def cut(x: Column) -> Column:
+        gaps, hits = F.split(x["s"], regex, -1), F.regexp_extract_all(x["s"], F.lit(regex), F.lit(0))
+        both = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(
+            F.struct(F.lit(PLAIN).alias("t"), g.alias("s")), F.struct(F.lit(i).alias("t"), h.alias("s")))))
+        both = F.filter(both, lambda y: y["s"].isNotNull() & (y["s"] != ""))
+        return F.when(x["t"] == PLAIN, both).otherwise(F.array(x))
+
+    return cut
+
+
+def segments(c: Column, names: bool = True) -> Column:
+    """The text as array<struct<t: type index or PLAIN, s: string>>, in order and complete: each type
+    in turn cuts the pieces that are still plain, so spans never overlap and none is found inside
+    another."""
+    plain = F.array(F.struct(F.lit(PLAIN).alias("t"), c.alias("s")))
+    out = plain
+    for i, (name, regex) in enumerate(SPANS.items()):
+        if name != NAME or names:
+            out = F.flatten(F.transform(out, _cutter(i, regex)))
+    return F.when(may_have_spans(c, names), out).otherwise(plain)
+
+
+def span_type(t: Column) -> Column:
+    """The name of a span's type."""
+    return F.get(F.array(*[F.lit(n) for n in SPAN_ORDER]), t)
 
 
 def manual_word_regex(word: str) -> str:

@@ -7,12 +7,12 @@ type) by first occurrence (document order, then position).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docshield.functions import redact as R
 from docshield.operators.ordinal import ordinal_in_groups
+from docshield.session import cut_lineage
 
 MAP_COLUMNS = ["collection", "entity_type", "token", "original", "ord"]
 
@@ -27,17 +27,19 @@ def redact_words(df: DataFrame, words: list[str], col: str = "text") -> DataFram
     return df.withColumn(col, R.redact_words(F.col(col), words))
 
 
-def occurrences(docs: DataFrame, collection: str, doc_ord: str, text: str) -> DataFrame:
-    """One row per entity occurrence: (collection, doc_ord, type_ord, entity_type, pos, value)."""
-    def tag(i, t):
-        return lambda v, p: F.struct(F.lit(i).alias("type_ord"), F.lit(t.name).alias("entity_type"),
-                                     p.alias("pos"), v.alias("value"))
+def cut_texts(docs: DataFrame, collection: str, doc_ord: str, text: str, names: bool = True) -> DataFrame:
+    """(collection, doc_ord, segs) of the rows that hold an entity, found once and written, since
+    both the map and the texts are made of it."""
+    cut = docs.select(F.col(collection).alias("collection"), F.col(doc_ord).alias("doc_ord"),
+                      R.segments(F.coalesce(F.col(text), F.lit("")), names).alias("segs"))
+    return cut_lineage(cut.where(F.exists("segs", lambda x: x["t"] != R.PLAIN)))
 
-    per_type = [F.transform(R.entity_values(F.col(text), t), tag(i, t))
-                for i, t in enumerate(R.PII_TYPES)]
-    return (docs.select(F.col(collection).alias("collection"), F.col(doc_ord).alias("doc_ord"),
-                        F.explode(F.concat(*per_type)).alias("e"))
-                .select("collection", "doc_ord", "e.*"))
+
+def occurrences(cut: DataFrame) -> DataFrame:
+    """One row per entity occurrence: (collection, doc_ord, pos, type_ord, entity_type, value)."""
+    return (cut.select("collection", "doc_ord", F.posexplode("segs").alias("pos", "x")).where(F.col("x.t") != R.PLAIN)
+               .select("collection", "doc_ord", "pos", F.col("x.t").alias("type_ord"),
+                       R.span_type(F.col("x.t")).alias("entity_type"), F.col("x.s").alias("value")))
 
 
 def token_map(occ: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -58,47 +60,29 @@ def token_map(occ: DataFrame, start: DataFrame | None = None) -> DataFrame:
         F.col("value").alias("original"), F.col("ord").cast("bigint").alias("ord"))
 
 
-def _replace_fold(text: Column, pairs: Column, src: str, dst: str) -> Column:
-    return F.aggregate(pairs, text, lambda acc, x: F.replace(acc, x[src], x[dst]))
-
-
-def apply_map(docs: DataFrame, occ: DataFrame, mapping: DataFrame, collection: str,
+def apply_map(docs: DataFrame, cut: DataFrame, mapping: DataFrame, collection: str,
               doc_ord: str, text: str, out: str) -> DataFrame:
-    """Replace each value by its token.  Pairs are regrouped per document (bounded by the
-    document), sorted by type order then longer values first, and folded with ``replace``."""
-    pairs = (occ.select("collection", "doc_ord", "type_ord", "entity_type", "value")
-                .join(mapping.select("collection", "entity_type", F.col("original").alias("value"), "token"),
-                      ["collection", "entity_type", "value"])
-                .groupBy("collection", "doc_ord")
-                .agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(
-                    F.col("type_ord").alias("k1"), (-F.length("value")).alias("k2"),
-                    F.col("value").alias("value"), F.col("token").alias("token"))))).alias("pairs")))
-    # Only documents holding an entity meet their pairs; the rest keep their text without
-    # a shuffle (at scale most of the corpus never moves).
-    has = has_entities(F.col(text))
-    plain = docs.where(~has).withColumn(out, F.col(text))
-    keyed = docs.where(has).withColumn("_c", F.col(collection)).withColumn("_d", F.col(doc_ord))
-    joined = keyed.join(pairs.withColumnRenamed("collection", "_c").withColumnRenamed("doc_ord", "_d"),
-                        ["_c", "_d"], "left")
-    empty = F.array().cast("array<struct<k1:int,k2:int,value:string,token:string>>")
-    replaced = (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
-                                                     "value", "token"))
-                      .drop("_c", "_d", "pairs"))
-    return replaced.unionByName(plain)
-
-
-def has_entities(text) -> Column:
-    """Row-local test: does the text hold any entity value (guards make it cheap)."""
-    return F.size(F.concat(*[R.entity_values(text, t) for t in R.PII_TYPES])) > 0
+    """Put tokens in place of the spans.  A document's text is put together again from its own
+    segments, so a value is replaced where it was found and nowhere else.  Rows without an entity
+    keep their text."""
+    tokens = (occurrences(cut).join(mapping.select("collection", "entity_type", F.col("original").alias("value"), "token"),
+                                    ["collection", "entity_type", "value"])
+              .groupBy("collection", "doc_ord")
+              .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("tokens")))
+    made = cut.join(tokens, ["collection", "doc_ord"]).select(
+        F.col("collection").alias("_c"), F.col("doc_ord").alias("_d"),
+        F.array_join(F.transform("segs", lambda x, i: F.coalesce(F.try_element_at(F.col("tokens"), i), x["s"])), "").alias("_made"))
+    keyed = docs.withColumn("_c", F.col(collection)).withColumn("_d", F.col(doc_ord))
+    return (keyed.join(made, ["_c", "_d"], "left").withColumn(out, F.coalesce(F.col("_made"), F.col(text)))
+                 .drop("_c", "_d", "_made"))
 
 
 def tokenize_pii(docs: DataFrame, collection: str = "collection", doc_ord: str = "doc_id",
-                 text: str = "text", out: str = "text_tokens") -> tuple[DataFrame, DataFrame]:
+                 text: str = "text", out: str = "text_tokens", names: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents with ``out`` tokenised text, token map)."""
-    # entity occurrences feed both the map and the per-document pairs: extract them once
-    occ = occurrences(docs, collection, doc_ord, text).persist(StorageLevel.MEMORY_AND_DISK)
-    mapping = token_map(occ)
-    return apply_map(docs, occ, mapping, collection, doc_ord, text, out), mapping
+    cut = cut_texts(docs, collection, doc_ord, text, names)
+    mapping = token_map(occurrences(cut))
+    return apply_map(docs, cut, mapping, collection, doc_ord, text, out), mapping
 
 
 def rehydrate(df: DataFrame, mapping: DataFrame, collection: str, row_key: str, text: str,
@@ -109,23 +93,22 @@ def rehydrate(df: DataFrame, mapping: DataFrame, collection: str, row_key: str,
                       .alias("token"))
               .join(mapping.select("collection", "token", "original"), ["collection", "token"])
               .groupBy("collection", "_k")
-              .agg(F.collect_list(F.struct("token", "original")).alias("pairs")))
-    has = F.instr(F.col(text), "[") > 0
-    plain = df.where(~has | F.col(text).isNull()).withColumn(out, F.col(text))
-    keyed = df.where(has).withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
+              .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("_pairs")))
+    keyed = df.withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
     joined = keyed.join(toks.withColumnRenamed("collection", "_c"), ["_c", "_k"], "left")
-    empty = F.array().cast("array<struct<token:string,original:string>>")
-    back = (joined.withColumn(out, _replace_fold(F.col(text), F.coalesce(F.col("pairs"), empty),
-                                                 "token", "original"))
-                  .drop("_c", "_k", "pairs"))
-    return back.unionByName(plain)
+    # every token is looked up where it stands: an original that looks like a token is not read again
+    gaps, found = F.split(F.col(text), R.TOKEN_RE, -1), F.regexp_extract_all(F.col(text), F.lit(R.TOKEN_RE), F.lit(0))
+    back = F.array_join(F.zip_with(gaps, found, lambda g, t: F.concat(
+        g, F.coalesce(F.try_element_at(F.col("_pairs"), F.coalesce(t, F.lit(""))), t, F.lit("")))), "")
+    return (joined.withColumn(out, F.when(F.col("_pairs").isNotNull(), back).otherwise(F.col(text)))
+                  .drop("_c", "_k", "_pairs"))
 
 
 def extend_map(mapping: DataFrame, texts: DataFrame, collection: str, doc_ord: str,
-               text: str) -> DataFrame:
+               text: str, names: bool = True) -> DataFrame:
     """Entities of new texts not yet in the map get the next numbers of their
     (collection, type); returns only the new map rows."""
-    occ = occurrences(texts, collection, doc_ord, text)
+    occ = occurrences(cut_texts(texts, collection, doc_ord, text, names))
     fresh = occ.join(mapping.select("collection", "entity_type", F.col("original").alias("value")),
                      ["collection", "entity_type", "value"], "left_anti")
     base = mapping.groupBy("collection", "entity_type").agg(F.max("ord").alias("base"))
@@ -134,8 +117,13 @@ def extend_map(mapping: DataFrame, texts: DataFrame, collection: str, doc_ord: s
 
 def pii_profile(docs: DataFrame, dims: list[str]) -> DataFrame:
     """Entity counts by type, rolled up over ``dims`` (partial aggregation, one shuffle)."""
-    counts = [R.count_type(F.col("text"), t).alias(f"n_{t.name.lower()}") for t in R.PII_TYPES]
-    per_doc = docs.select(*dims, *counts)
+    cut = docs.select(*dims, R.segments(F.coalesce(F.col("text"), F.lit("")), names=False).alias("segs"))
+    def count(name: str) -> Column:
+        i = R.SPAN_ORDER.index(name)
+        return F.size(F.filter("segs", lambda x: x["t"] == i)).alias(f"n_{name.lower()}")
+
+    counts = [count(t.name) for t in R.PII_TYPES]
+    per_doc = cut.select(*dims, *counts)
     aggs = [F.count(F.lit(1)).alias("n_docs")] + \
         [F.sum(f"n_{t.name.lower()}").cast("bigint").alias(f"n_{t.name.lower()}") for t in R.PII_TYPES]
     return per_doc.rollup(*dims).agg(*aggs)

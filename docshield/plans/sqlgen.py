@@ -145,8 +145,24 @@ def redact_words(text: str, words: list[str]) -> str:
     return out
 
 
+def _values(text: str, t: R.PiiType) -> str:
+    """All values of one type; a rule that takes border characters is tried again on the rest."""
+    once = f"regexp_extract_all({text}, {sql_str(t.regex)}, {t.group})"
+    if t.passes == 1:
+        return once
+    rest = f"regexp_replace({text}, {sql_str(t.regex)}, {sql_str(_duck_repl(t, t.placeholder))}, 'g')"
+    return f"list_concat({once}, regexp_extract_all({rest}, {sql_str(t.regex)}, {t.group}))"
+
+
+def _without_earlier(text: str, t: R.PiiType) -> str:
+    """The text after the types before ``t`` were taken out."""
+    for earlier in R.PII_TYPES[:R.TYPE_ORDER[t.name]]:
+        text = redact_type(text, earlier)
+    return text
+
+
 def count_type(text: str, t: R.PiiType) -> str:
-    return f"CAST(len(regexp_extract_all({text}, {sql_str(t.regex)}, 0)) AS BIGINT)"
+    return f"CAST(len({_values(_without_earlier(text, t), t)}) AS BIGINT)"
 
 
 def occurrences_cte(src: str, collection: str, doc_ord: str, text: str, name: str = "occ") -> str:
@@ -156,7 +172,7 @@ def occurrences_cte(src: str, collection: str, doc_ord: str, text: str, name: st
             f"SELECT collection, doc_ord, {i} AS type_ord, '{t.name}' AS entity_type, "
             f"generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM "
             f"(SELECT {collection} AS collection, {doc_ord} AS doc_ord, "
-            f"regexp_extract_all({text}, {sql_str(t.regex)}, {t.group}) AS v FROM {src})")
+            f"{_values(_without_earlier(text, t), t)} AS v FROM {src})")
     return f"{name} AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
 
 

@@ -98,3 +98,47 @@ def test_manual_words_match_python_re(spark):
 def test_parse_words(spark):
     df = spark.createDataFrame([(" a, b ,, c ,",)], "s string")
     assert df.select(R.parse_words(F.col("s"))).first()[0] == ["a", "b", "c"]
+
+
+def _tokenised(spark, texts, **more):
+    df = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "collection string, doc_id long, text string")
+    tok, mp = redaction.tokenize_pii(df, **more)
+    back = redaction.rehydrate(tok, mp, "collection", "doc_id", "text_tokens", "back")
+    rows = {r["doc_id"]: r for r in back.collect()}
+    assert all((rows[i]["back"] or "") == (t or "") for i, t in enumerate(texts))
+    return [rows[i]["text_tokens"] for i in range(len(texts))], {r["token"]: r["original"] for r in mp.collect()}
+
+
+def test_adjacent_values_all_go(spark):
+    got, _ = _tokenised(spark, ["123-456-7890 123-456-7891", "000-12-3456,000-12-3457,000-12-3458", "a@b.io;c@d.io"])
+    assert got == ["[PHONE_1] [PHONE_2]", "[SSN_1],[SSN_2],[SSN_3]", "[EMAIL_1];[EMAIL_2]"]
+
+
+def test_no_value_inside_another(spark):
+    secret = 'token = "a1234567890b1234567890c1234567890d12345"'
+    got, mp = _tokenised(spark, [secret + " call 555-123-4567", "1111-2222-3333-4444"])
+    assert got == ["[CREDENTIAL_1] call [PHONE_1]", "[CREDIT_CARD_1]"] and mp["[PHONE_1]"] == "555-123-4567"
+
+
+def test_replaced_where_found(spark):
+    got, _ = _tokenised(spark, ["1234567890 but 991234567890123 stays", "x 1234567890"])
+    assert got == ["[PHONE_1] but 991234567890123 stays", "x [PHONE_1]"]
+
+
+def test_literal_tokens_come_back_as_they_were(spark):
+    got, mp = _tokenised(spark, ["the sign [PHONE_1] is text", "call 555-123-4567", None, ""])
+    assert got[0] == "the sign [LITERAL_1] is text" and got[1] == "call [PHONE_1]" and mp["[LITERAL_1]"] == "[PHONE_1]"
+
+
+def test_names_are_tokens(spark):
+    texts = ["Mr. John Smith met Dr. Alice", "Dr. Alice left"]
+    got, _ = _tokenised(spark, texts)
+    assert got == ["[NAME_1] met [NAME_2]", "[NAME_2] left"]
+    assert _tokenised(spark, texts, names=False)[0] == texts
+
+
+def test_profile_counts_spans(spark):
+    df = spark.createDataFrame([("a", "123-456-7890 123-456-7891"), ("a", 'token = "a1234567890b1234567890c1234567890d"'), ("b", None)],
+                               "source string, text string")
+    rows = {r["source"]: r for r in redaction.pii_profile(df, ["source"]).collect()}
+    assert rows["a"]["n_phone"] == 2 and rows["a"]["n_credential"] == 1 and rows["b"]["n_phone"] == 0
