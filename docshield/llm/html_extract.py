@@ -280,7 +280,8 @@ def _box(w: _Writer, kind: str, plain: bool) -> None:
     w.close(tag)
 
 
-def _article(w: _Writer, plain: bool) -> None:
+def _article(w: _Writer, plain: bool, tiny: bool) -> None:
+    """The article; a tiny one is a few words in one paragraph."""
     r = w.rng
     tag, name = r.choice([("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"),
                           ("div", "post entry"), ("section", "story"), ("div", "main-text"), ("div", "page-content")])
@@ -293,12 +294,14 @@ def _article(w: _Writer, plain: bool) -> None:
     header = not plain and r.random() < 0.25
     if header:
         w.open("header")
-    if r.random() < 0.9:
+    if not tiny and r.random() < 0.85:
         w.leaf(r.choice(["h1", "h1", "h2"]), " ".join(w.words(r.randint(2, 12))).capitalize(), ARTICLE)
     if header:
         w.close("header")
     inside = not plain
-    for _ in range(r.randint(1, 14)):
+    if tiny:
+        w.leaf("p", " ".join(w.words(r.randint(1, 6))), ARTICLE)
+    for _ in range(0 if tiny else r.randint(1, 14) if r.random() < 0.8 else r.randint(1, 2)):
         kind = r.random()
         if kind < 0.74:
             w.leaf("p", w.prose(), ARTICLE, link=r.random() < 0.04)
@@ -321,8 +324,8 @@ def _article(w: _Writer, plain: bool) -> None:
             w.html.append("</table>")
         elif inside:
             _box(w, r.choice(["advert", "advert", "share", "form", "notice", "side"]), False)
-    if inside and r.random() < 0.25:
-        _box(w, r.choice(["comment", "side", "share", "foot"]), False)
+    if inside and r.random() < (0.6 if tiny else 0.25):
+        _box(w, r.choice(["comment", "side", "share", "foot", "advert"]), False)
     w.close(tag)
     if outer:
         w.close(outer[0])
@@ -340,7 +343,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
             if r.random() < share and not alone:
                 _box(w, kind, plain)
         if alone or r.random() < 0.97:
-            _article(w, plain)
+            _article(w, plain, r.random() < 0.12)
         for kind, share in (("share", 0.2), ("advert", 0.3), ("side", 0.3), ("comment", 0.35), ("form", 0.2), ("foot", 0.85), ("notice", 0.2)):
             if r.random() < share and not alone:
                 _box(w, kind, plain)
@@ -351,7 +354,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
     return out
 
 
-def train(pages: list[tuple[str, list[int]]], ridge: float = 0.5, rounds: int = 200) -> Field:
+def train(pages: list[tuple[str, list[int]]], ridge: float = 0.25, rounds: int = 250) -> Field:
     """Maximum likelihood with a Gaussian prior, by adaptive gradient steps."""
     seqs = [[features(b, i, len(found)) for i, b in enumerate(found)] for found in (blocks(p) for p, _ in pages)]
     index: dict[str, int] = {}
