@@ -39,9 +39,9 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .common import pick, prepare, text_of
 
 #: Chunks kept encoded per worker, and characters handled at a time.
-KEPT = 600_000
+KEPT = 150_000
 SEGMENT = 1 << 20
-GROUP = 8 << 20
+GROUP = 4 << 20
 
 #: The white space and the contractions of the public pre-tokeniser's pattern.
 SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))

@@ -22,9 +22,18 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+#: Rows that a Python worker gets at a time; texts of a web page's size then stay under a few MB.
+BATCH_ROWS = 1000
+
+
 def prepare(df: DataFrame) -> DataFrame:
-    """Ship the package to Python workers; for operators that run Python in tasks."""
-    ship_package(df.sparkSession)
+    """Ship the package to Python workers, and bound the rows of an Arrow batch where the session
+    leaves more; for operators that run Python in tasks."""
+    spark = df.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    ship_package(spark)
     return df
 
 
