@@ -170,7 +170,7 @@ def neighbours(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle
     near_edited, near_next (containment), and the Jaccard estimates of both pairs."""
     spark = prepare(docs).sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _dealt(docs, text, doc, parts)
+    rows = _dealt(docs, text, doc, 4 * parts)  # several ranges a task even out their sizes
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("named").desc(), "doc", "th")
     fields = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
               "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
