@@ -8,9 +8,11 @@ Spans are hashed (96 bits over ASCII-lower-cased words, from running sums, so ea
 whatever its length) and joined globally.  Of equal spans the first in (id, place) order stays; the
 sentences covered by any other one go.  What is left is the original text, sentence by sentence.
 
-Shuffles: (hash, id, place) rows twice, once combined map-side for the first place of each hash and
-once to meet the repeated hashes, a join that the skew rule may split; and the texts once, to meet
-the places to cut.  No group of equal spans is ever collected.
+Spans are found once and written as a table (mostly their hashes; the rest compresses) into the
+cluster's checkpoint folder.  Shuffles: (hash, id, place) rows twice, once combined map-side for the
+first place of each hash and once to meet the repeated hashes, which are written as well, so that the
+skew rule can split that join; and the texts once, to meet the places to cut.  No group of equal spans
+is ever collected.
 
 Defined results: null text counts as empty and gives an empty text; null ids come last in order;
 rows with equal id and equal text count as one document and get equal results; a span repeated
@@ -19,6 +21,7 @@ inside one document is cut there too; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, pick, prepare, text_of
+from docshield.session import ensure_checkpoint_dir
+
+from .common import cut_lineage, joined, pick, prepare, text_of
 from .sketch import _mix, _word_hashes
 from .textblocks import word_blocks
 
@@ -35,6 +40,7 @@ WORDS = 20
 LONG = 16
 PIECE = 12
 
+_NO_ID = (1 << 63) - 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _HARD = np.zeros(256, bool)
@@ -122,8 +128,9 @@ class Cut:
 
 
 def spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = RUN, words: int = WORDS) -> DataFrame:
-    """doc, th (hash of the text), at (first sentence * 256 + sentences), h and g (hash)."""
-    fields = {"doc": pa.int64(), "th": pa.int32(), "at": pa.int64(), "h": pa.int64(), "g": pa.int32()}
+    """doc, at, h and g (hash).  ``at`` is the place in one number: first sentence, sentences (8
+    bits) and a hash of the text (24 bits, which tells apart rows of equal id)."""
+    fields = {"doc": pa.int64(), "at": pa.int64(), "h": pa.int64(), "g": pa.int32()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +144,7 @@ def spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = R
                     continue
                 h, g = cut.hashes(first, after)
                 made.append((pa.array([d.as_py()] * n, pa.int64()) if not d.is_valid else pa.array(np.full(n, d.as_py())),
-                             pa.array(np.full(n, th, np.int32)), pa.array(first * 256 + (after - first)),
+                             pa.array((first << 8 | after - first) << 24 | th),
                              pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32))))
                 rows += n
                 if rows >= 100_000:
@@ -146,9 +153,13 @@ def spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = R
             if made:
                 yield _batch(made, fields)
 
-    rows = pick(prepare(docs), doc=docs[doc].cast("long"), th=F.hash(text_of(docs, text)),
-                text=text_of(docs, text).cast("binary"))
-    return rows.mapInArrow(find, "doc bigint, th int, at bigint, h bigint, g int")
+    body = text_of(docs, text)
+    rows = pick(prepare(docs), doc=docs[doc].cast("long"), th=_text_hash(body), text=body.cast("binary"))
+    return rows.mapInArrow(find, "doc bigint, at bigint, h bigint, g int")
+
+
+def _text_hash(body):
+    return F.hash(body).bitwiseAND(F.lit((1 << 24) - 1))
 
 
 def _batch(made: list[tuple], fields: dict) -> pa.RecordBatch:
@@ -156,24 +167,34 @@ def _batch(made: list[tuple], fields: dict) -> pa.RecordBatch:
 
 
 def _place():
-    return F.struct(F.col("doc").isNull().alias("unnamed"), F.col("doc"), F.col("th"), F.col("at"))
+    """Orders occurrences; a null id comes last."""
+    return F.struct(F.coalesce("doc", F.lit(_NO_ID)).alias("doc"), F.col("at"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc, th, at, first_doc of the spans that are not the first of their hash."""
-    firsts = found.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
-    firsts = firsts.filter("first <> last").select("h", "g", "first")
-    both = found.join(firsts, ["h", "g"])
-    return both.filter(_place() != F.col("first")).select("doc", "th", "at", F.col("first.doc").alias("first_doc"))
+    """doc, th, at, first_doc of the spans that are not the first of their hash (``th``: the text's)."""
+    firsts = found.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = cut_lineage(firsts.filter("n > 1").select("h", "g", "first"))
+    both = found.join(firsts, ["h", "g"]).filter(_place() != F.col("first"))
+    return both.select("doc", F.col("at").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("th"),
+                       F.shiftright("at", 24).alias("at"), F.nullif(F.col("first.doc"), F.lit(_NO_ID)).alias("first_doc"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = RUN, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_sentences, n_removed, removed (the
     removed passages, one entry per run of removed sentences) and first_docs (where they stay)."""
-    marks = repeated(spans(docs, text, doc, run, words)).groupBy("doc", "th").agg(
+    found = stored(spans(docs, text, doc, run, words), "spans")
+    marks = repeated(found).groupBy("doc", "th").agg(
         F.collect_set("at").alias("places"), F.collect_set("first_doc").alias("first_docs"))
     body = text_of(docs, text)
-    rows = joined(pick(docs, doc=docs[doc].cast("long"), th=F.hash(body), text=body.cast("binary")), marks, ["doc", "th"], "left")
+    rows = joined(pick(docs, doc=docs[doc].cast("long"), th=_text_hash(body), text=body.cast("binary")), marks, ["doc", "th"], "left")
     names = ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_docs"]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
