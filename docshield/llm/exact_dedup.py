@@ -75,9 +75,12 @@ def assignments(docs: DataFrame, text: str = "text", doc: str = "doc_id", salts:
 
 def survivors(docs: DataFrame, text: str = "text", doc: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with the input's columns.  The join key holds the winner's id and
-    length, so the copies of a large group meet nothing and are not gathered in one task."""
+    length, so the copies of a large group meet nothing and are not gathered in one task; the same
+    key then tells repeated rows, without a further shuffle."""
+    who = F.coalesce(F.col("doc").cast("string"), F.lit(""))  # a null id equals a null id
     rows = _digested(pack(docs, doc=docs[doc].cast("long"), text=text_of(docs, text))).drop("text", "content")
     best = groups(docs, text, doc, salts).select(
         *KEYS, F.col("keep_id").alias("doc"), F.col("keep_length").alias("length"))
-    keys = [*KEYS, "doc", "length"]
-    return joined(rows, best, keys, "inner").dropDuplicates(keys).select(f"{ROW}.*")
+    keys = [*KEYS, "who", "length"]
+    rows, best = rows.withColumn("who", who).drop("doc"), best.withColumn("who", who).drop("doc")
+    return rows.join(best, keys).dropDuplicates(keys).select(f"{ROW}.*")
