@@ -1,18 +1,22 @@
 """Substring de-duplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!``, ``?`` and at line ends); a sentence of over
-``LONG`` words is cut further at commas, semicolons and colons, and at last every ``PIECE`` words.
-From each sentence starts a span: the shortest run of at least ``RUN`` sentences and ``WORDS`` words.
-A span also ends at the end of every line, so a repeated paragraph is covered to its last sentence.
+A text is cut into sentences (after ``.``, ``!``, ``?`` and at line ends).  Long sentences are cut
+further by content: of every ``WINDOW`` neighbouring words the one that ranks lowest ends a piece
+(sentence ends first, then commas, semicolons and colons, then the word's hash).  A cut depends only on
+the words beside it, so equal passages get equal cuts wherever their sentence began.  From each sentence
+starts a span: the shortest run of at least ``RUN`` sentences and ``WORDS`` words.  A repeat of
+``(RUN + 2) * WINDOW`` words always holds a common span.
 Spans are hashed (96 bits over ASCII-lower-cased words, from running sums, so each costs the same
 whatever its length) and joined globally.  Of equal spans the first in (id, place) order stays; the
-sentences covered by any other one go.  What is left is the original text, sentence by sentence.
+words covered by any other one go, and so do the words beside them that also stand beside the first
+one, word by word to the passage's edges.  What is left is the original text.
 
 Spans are found once and written as a table (mostly their hashes; the rest compresses) into the
-cluster's checkpoint folder.  Shuffles: (hash, id, place) rows twice, once combined map-side for the
-first place of each hash and once to meet the repeated hashes, which are written as well, so that the
-skew rule can split that join; and the texts once, to meet the places to cut.  No group of equal spans
-is ever collected.
+cluster's checkpoint folder, and so are the edges of the covered runs.  Shuffles: (hash, id, place)
+rows twice, once combined map-side for the first place of each hash and once to meet the repeated
+hashes, which are written as well, so that the skew rule can split that join; the texts once, to hand
+out the words beside first places and to meet the places to cut; and the edges with at most ``BESIDE``
+words each.  No group of equal spans is ever collected.
 
 Defined results: null text counts as empty and gives an empty text; null ids come last in order;
 rows with equal id and equal text count as one document and get equal results; a span repeated
@@ -22,7 +26,8 @@ inside one document is cut there too; an empty table gives an empty table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,11 @@ from .textblocks import word_blocks
 
 RUN = 3
 WORDS = 20
-LONG = 16
-PIECE = 12
+WINDOW = 10
+#: Words compared beyond a covered run; cuts lie at most ``WINDOW`` words apart, so an edge is nearer.
+BESIDE = 4 * WINDOW
+#: Copies of the words beside a place, so that no task meets all edges of a common passage.
+SALTS = 8
 
 _NO_ID = (1 << 63) - 1
 _BLANK = np.zeros(256, bool)
@@ -64,9 +72,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n + 1]
 
 
+def _lowest(rank: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Whether each value is the lowest of some ``window`` neighbouring ones."""
+    n = len(rank) - window + 1
+    if n < 1:
+        return np.zeros(len(rank), bool)
+    low = rank[:n].copy()
+    for i in range(1, window):
+        np.minimum(low, rank[i:i + n], out=low)
+    best = np.zeros_like(rank)
+    for i in range(window):
+        np.maximum(best[i:i + n], low, out=best[i:i + n])
+    return rank == best
+
+
 class Cut:
     """The sentences of one text: ``edges`` (word index where each starts, and the word count),
-    ``starts`` (byte where each word starts) and ``line_end`` (whether a sentence ends a line)."""
+    ``starts`` (byte where each word starts) and ``word`` (hash of each lower-cased word)."""
 
     def __init__(self, raw: bytes):
         self.raw = raw
@@ -76,25 +98,18 @@ class Cut:
         self.starts, ends = solid[::2], solid[1::2]
         n = self.n_words = len(ends)
         if not n:
-            self.edges, self.line_end = np.zeros(1, np.int64), np.empty(0, bool)
+            self.edges, self.word = np.zeros(1, np.int64), np.empty(0, np.uint64)
             return
+        self.word = np.concatenate([_word_hashes(w) for w in word_blocks(raw.lower())])
         last = buf[ends - 1]
         lines = np.flatnonzero(buf == 10)
         after = np.append(self.starts[1:], len(buf))
         newline = np.searchsorted(lines, after) > np.searchsorted(lines, ends)
         newline[-1] = True
-        stop = np.flatnonzero(_HARD[last] | newline) + 1
-        if stop[-1] != n:
-            stop = np.append(stop, n)
-        begin = np.concatenate(([0], stop[:-1]))
-        soft = _SOFT[last]
-        edges: list[np.ndarray] = [stop]
-        for a, b in zip(begin[stop - begin > LONG].tolist(), stop[stop - begin > LONG].tolist()):
-            inner = [a, *(a + 1 + np.flatnonzero(soft[a:b - 1])).tolist(), b]
-            for x, y in zip(inner, inner[1:]):
-                edges.append(np.arange(x, y - PIECE // 2 if y - x > LONG else x + 1, PIECE))
-        self.edges = np.unique(np.concatenate(([0], *edges)))
-        self.line_end = newline[self.edges[1:] - 1]
+        hard = _HARD[last] | newline
+        level = np.where(hard, 0, np.where(_SOFT[last], 1, 2)).astype(np.uint64)
+        stop = np.flatnonzero(hard | _lowest(_mix(self.word) >> np.uint64(2) | level << np.uint64(62))) + 1
+        self.edges = np.unique(np.concatenate(([0], stop, [n])))
 
     def spans(self, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         """(first sentence, sentence after the last) of every span."""
@@ -102,29 +117,45 @@ class Cut:
         first = np.arange(m)
         after = np.maximum(first + run, np.searchsorted(edges, edges[:-1] + words))
         inside = after <= m
-        stop = np.flatnonzero(self.line_end) + 1
-        start = np.minimum(stop - run, np.searchsorted(edges, edges[stop] - words, side="right") - 1)
-        fits = start >= 0
-        both = np.unique(np.concatenate((first[inside] * (m + 1) + after[inside], start[fits] * (m + 1) + stop[fits])))
-        return both // (m + 1), both % (m + 1)
+        return first[inside], after[inside]
 
     def hashes(self, first: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
         """Two independent 64-bit hashes of each span."""
-        word = np.concatenate([_word_hashes(w) for w in word_blocks(self.raw.lower())])
         a, b = self.edges[first], self.edges[after]
         out = []
         for base in _BASES:
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _powers(base, self.n_words)[:-1])))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * _powers(base, self.n_words)[:-1])))
             back = _powers(pow(base, -1, 1 << 64), self.n_words)
             out.append(_mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)))
         return out
 
-    def without(self, gone: np.ndarray) -> bytes:
-        """The text without the sentences marked in ``gone``."""
-        starts = np.append(self.starts, len(self.raw))[self.edges]
+    def words(self, a: int, b: int) -> list[bytes]:
+        """The lower-cased words a ... b - 1, as far as the text has them."""
+        a, b = max(a, 0), min(b, self.n_words)
+        return self.raw[self.starts[a]:self.starts[b] if b < self.n_words else len(self.raw)].lower().split() if a < b else []
+
+    def beside(self, edge: int, right: bool) -> bytes:
+        """The words before or after an edge."""
+        at = int(self.edges[edge])
+        return b" ".join(self.words(at, at + BESIDE) if right else self.words(at - BESIDE, at))
+
+    def grown(self, a: int, b: int, left: bytes, right: bytes) -> tuple[int, int]:
+        """The words of sentences a ... b - 1 and those beside them that are equal to the given ones."""
+        a, b = int(self.edges[a]), int(self.edges[b])
+        return (a - _equal(reversed(self.words(a - BESIDE, a)), reversed(left.split())),
+                b + _equal(self.words(b, b + BESIDE), right.split()))
+
+    def part(self, marked: np.ndarray) -> list[bytes]:
+        """The runs of words marked, with the blanks after them (and before the first word)."""
+        starts = np.append(self.starts, len(self.raw))
         starts[0] = 0
-        kept = np.flatnonzero(~gone)
-        return b"".join(self.raw[starts[i]:starts[i + 1]] for i in kept.tolist())
+        runs = starts[np.flatnonzero(np.diff(marked.astype(np.int8), prepend=0, append=0))]
+        return [self.raw[i:j] for i, j in zip(runs[::2].tolist(), runs[1::2].tolist())]
+
+
+def _equal(a: Iterable[bytes], b: Iterable[bytes]) -> int:
+    """How many values agree from the start."""
+    return sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(a, b)))
 
 
 def spans(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = RUN, words: int = WORDS) -> DataFrame:
@@ -179,43 +210,96 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc, th, at, first_doc of the spans that are not the first of their hash (``th``: the text's)."""
+    """doc, th, at, first (doc, at) of the spans that are not the first of their hash (``th``: the text's)."""
     firsts = found.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = cut_lineage(firsts.filter("n > 1").select("h", "g", "first"))
     both = found.join(firsts, ["h", "g"]).filter(_place() != F.col("first"))
     return both.select("doc", F.col("at").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("th"),
-                       F.shiftright("at", 24).alias("at"), F.nullif(F.col("first.doc"), F.lit(_NO_ID)).alias("first_doc"))
+                       F.shiftright("at", 24).alias("at"), "first")
+
+
+def runs(marks: DataFrame) -> DataFrame:
+    """Two rows for each run of covered sentences ``a`` ... ``b`` - 1, one a side: doc, th, a, b, right,
+    and the place beside which the first one's words stand (f_doc, f_th, f_edge); ``firsts``, the first
+    documents, stands in one row of each document."""
+    names = ["doc", "th", "a", "b", "right", "f_doc", "f_th", "f_edge", "firsts"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for doc, th, marks in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "marks")]):
+                found: list[list] = []  # a, b, first mark's first place, last mark's first place
+                for at, first in sorted((m["at"], (m["first"]["doc"], m["first"]["at"])) for m in marks):
+                    a, b = at >> 8, (at >> 8) + (at & 255)
+                    if found and a <= found[-1][1]:
+                        if b > found[-1][1]:
+                            found[-1][1], found[-1][3] = b, first
+                    else:
+                        found.append([a, b, first, first])
+                firsts = sorted({m["first"]["doc"] for m in marks})
+                for a, b, *places in found:
+                    for right, (d, at) in enumerate(places):
+                        edge = (at >> 32) + (at >> 24 & 255) * right
+                        made.append((doc, th, a, b, bool(right), d, at & (1 << 24) - 1, edge, firsts))
+                        firsts = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * len(names), kinds)], names)
+
+    grouped = marks.groupBy("doc", "th").agg(F.collect_list(F.struct("at", "first")).alias("marks"))
+    return grouped.mapInArrow(merge, "doc bigint, th int, a bigint, b bigint, right boolean, f_doc bigint, f_th int, f_edge bigint, firsts array<bigint>")
+
+
+def beside(rows: DataFrame, sides: DataFrame) -> DataFrame:
+    """f_doc, f_th, f_edge, right, words: the words beside each place that ``sides`` asks for."""
+    asked = sides.groupBy("f_doc", "f_th").agg(F.collect_set(F.struct("f_edge", "right")).alias("asked"))
+    asked = asked.withColumns({"doc": F.nullif("f_doc", F.lit(_NO_ID)), "th": F.col("f_th")})
+    names = ["f_doc", "f_th", "f_edge", "right", "words"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for d, th, asked, t in zip(*[batch.column(c).to_pylist() for c in ("f_doc", "f_th", "asked")], batch.column("text")):
+                cut = Cut(t.as_buffer().to_pybytes())
+                made += [(d, th, x["f_edge"], x["right"], cut.beside(x["f_edge"], x["right"])) for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * len(names), kinds)], names)
+
+    met = joined(rows, asked, ["doc", "th"], "inner").select("f_doc", "f_th", "asked", "text")
+    return met.mapInArrow(find, "f_doc bigint, f_th int, f_edge bigint, right boolean, words binary").dropDuplicates(names[:4])
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = RUN, words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, text (what is left), n_sentences, n_removed, removed (the
-    removed passages, one entry per run of removed sentences) and first_docs (where they stay)."""
+    """One row per document: doc_id, text (what is left), n_sentences, n_removed (sentences removed,
+    wholly or in part), removed (the removed passages) and first_docs (where their spans stand first)."""
     found = stored(spans(docs, text, doc, run, words), "spans")
-    marks = repeated(found).groupBy("doc", "th").agg(
-        F.collect_set("at").alias("places"), F.collect_set("first_doc").alias("first_docs"))
+    sides = stored(runs(repeated(found)), "runs")
     body = text_of(docs, text)
-    rows = joined(pick(docs, doc=docs[doc].cast("long"), th=_text_hash(body), text=body.cast("binary")), marks, ["doc", "th"], "left")
+    rows = pick(docs, doc=docs[doc].cast("long"), th=_text_hash(body), text=body.cast("binary"))
+    known = beside(rows, sides).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sides.withColumn("salt", F.pmod(F.hash("doc", "th", "a"), F.lit(SALTS)))
+    marks = salted.join(known, ["f_doc", "f_th", "f_edge", "right", "salt"]).groupBy("doc", "th").agg(
+        F.collect_list(F.struct("a", "b", "right", "words")).alias("places"), F.flatten(F.collect_list("firsts")).alias("first_docs"))
+    marks = marks.withColumn("first_docs", F.transform("first_docs", lambda d: F.nullif(d, F.lit(_NO_ID))))
+    marks = marks.withColumn("first_docs", F.filter("first_docs", lambda d: d.isNotNull()))
+    rows = joined(rows, marks, ["doc", "th"], "left")
     names = ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_docs"]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for t, places in zip(batch.column("text"), batch.column("places")):
+            for t, places in zip(batch.column("text"), batch.column("places").to_pylist()):
                 cut = Cut(t.as_buffer().to_pybytes())
                 m = len(cut.edges) - 1
-                gone = np.zeros(m + 1, np.int64)
-                if places.is_valid:
-                    at = np.array(places.as_py(), np.int64)
-                    np.add.at(gone, at // 256, 1)
-                    np.add.at(gone, at // 256 + at % 256, -1)
-                gone = np.cumsum(gone)[:m] > 0
-                runs = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                lost = []
-                for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                    keep = np.ones(m, bool)
-                    keep[a:b] = False
-                    lost.append(cut.without(keep).decode().strip())
-                for c, v in zip(out, (cut.without(gone) if gone.any() else cut.raw, m, int(gone.sum()), lost)):
+                gone = np.zeros(cut.n_words, bool)
+                ends: dict[tuple[int, int], list[bytes]] = {}
+                for p in places or []:
+                    ends.setdefault((p["a"], p["b"]), [b"", b""])[p["right"]] = p["words"]
+                for (a, b), sides in ends.items():
+                    a, b = cut.grown(a, b, *sides)
+                    gone[a:b] = True
+                lost = [x.decode().strip() for x in cut.part(gone)] if ends else []
+                touched = int(np.logical_or.reduceat(gone, cut.edges[:-1]).sum()) if ends else 0
+                for c, v in zip(out, (b"".join(cut.part(~gone)) if ends else cut.raw, m, touched, lost)):
                     c.append(v)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             cols = [pa.array(c, k) for c, k in zip(out, kinds)]

@@ -287,6 +287,23 @@ def test_passages_stay_once(spark):
         assert got[d]["text"] == t and got[d]["n_removed"] == 0
 
 
+def test_passages_inside_sentences_stay_once(spark):
+    """Passages of one or two sentences without commas, put in the middle of other sentences."""
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    passages = [words(60) for _ in range(20)]
+    for p in passages[10:]:
+        p[rng.randint(15, 45)] += "."
+    rows = [(i, " ".join([*words(rng.randint(3, 40)), *passages[i % 20], *words(rng.randint(3, 40))]) + ".") for i in range(80)]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    for d, t in rows:
+        p = " ".join(passages[d % 20])
+        a, b = t.split(p)
+        assert got[d]["text"] == (t if d < 20 else a + b.lstrip()), d
+        assert got[d]["removed"] == ([] if d < 20 else [p]) and (got[d]["first_docs"] is None) == (d < 20)
+        assert d < 20 or d % 20 in got[d]["first_docs"]
+
+
 def test_span_hashes_depend_on_words_only():
     a, b = substring_dedup.Cut(b"x y. One two three. four five six seven. " * 3), substring_dedup.Cut(b"One two\tthree. Four five  six seven. x Y. " * 3)
     ha = {h for h in a.hashes(*a.spans(3, 5))[0].tolist()}
