@@ -12,7 +12,8 @@ one, a date to a date in the same notation.  Where a domain is not a x b values,
 applied again until the value is inside it (cycle walking), which stays a bijection.  E-mail names
 and hexadecimal secrets, which are no numbers, get keyed pseudonyms of their own format.  The same
 value always gets the same pseudonym, in any layout and any document; without the key it tells
-nothing.  What fails its check stays as it is.
+nothing.  What fails its check stays as it is; a run of digits that fails Luhn as a whole is searched for
+a valid card in a card's layout between its group borders (one followed by a security code or a date).
 
 Everything is a projection: no shuffle, no UDF, one pass over the text.  Patterns have bounded
 repeats, so very long texts cost time in proportion.
@@ -48,6 +49,8 @@ PATTERNS = {
     "secret": _EDGE + r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})" + _END,
 }
 CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Layouts of a card inside a longer run of digit groups.
+CARD_LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: What any candidate holds; texts without it are not searched further.
 HINT = r"[0-9]{3}|@|[0-9][./][0-9]|[0-9a-fA-F]{32}"
 
@@ -120,12 +123,24 @@ class _Sql:
                 f"WHEN {x} > 4 THEN 2 * {x} - 9 ELSE 2 * {x} END) % 10")
 
     def card(self, m: str) -> str:
-        def made(d: str) -> str:
+        def made(d: str, c: str) -> str:
             body = self.digits(f"left({d}, length({d}) - 1)", "card")
             full = self.let(body, lambda b: f"concat({b}, cast((10 - {self.luhn(f'concat({b}, {_quote(str(0))})')}) % 10 as string))")
-            return f"CASE WHEN {self.luhn(d)} = 0 AND {d} rlike '[1-9]' THEN {self.laid_out(m, full)} END"
-
-        return self.let(self.only_digits(m), made)
+            return f"CASE WHEN {self.luhn(d)} = 0 AND {d} rlike '[1-9]' THEN {self.laid_out(c, full)} END"
+
+        def put(c: str) -> str:
+            return self.let(self.only_digits(c), lambda d: made(d, c))
+
+        p, e, x = self.name("p"), self.name("e"), self.name("x")
+        starts = f"filter(sequence(1, length({m})), {p} -> concat(' ', substr({m}, 1, {p})) rlike '[ -][0-9]$')"
+        ends = f"filter(sequence(length({m}), 1), {e} -> concat(substr({m}, {e}), ' ') rlike '^[0-9][ -]')"
+        p2, e2 = self.name("p"), self.name("e")
+        parts = f"flatten(transform({starts}, {p2} -> transform({ends}, {e2} -> named_struct('p', {p2}, 'c', substr({m}, {p2}, greatest({e2} - {p2} + 1, 0))))))"
+        valid = (f"CASE WHEN {x}.c rlike {_quote(CARD_LAYOUT)} THEN {self.let(self.only_digits(f'{x}.c'), self.luhn)} = 0 "
+                 f"AND {x}.c rlike '[1-9]' ELSE false END")
+        inner = self.let(f"get(filter({parts}, {x} -> {valid}), 0)", lambda f: (
+            f"concat(substr({m}, 1, {f}.p - 1), {put(f'{f}.c')}, substr({m}, {f}.p + length({f}.c)))"))
+        return f"coalesce({put(m)}, CASE WHEN {m} rlike '[ -]' THEN {inner} END)"
 
     def ssn(self, m: str) -> str:
         def valid(d: str) -> str:

@@ -215,6 +215,18 @@ def test_pii_formats_and_links(spark):
     assert all(other[i] != got[i] for i in got if i != 2)
 
 
+def test_pii_finds_cards_beside_other_digits(spark):
+    texts = ["pay 4111 1111 1111 1111 123 now", "pay 4111 1111 1111 1111 12/25 now", "no 12 4111-1111-1111-1111 now",
+             "amex 3782 822463 10005 1234", "none 4111 1111 1111 1112 123"]
+    got = [r["text"] for r in pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert [re.sub(r"\d", "0", x) for x in got] == [re.sub(r"\d", "0", x) for x in texts]
+    for t, g, card in zip(texts, got, ("4111 1111 1111 1111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005")):
+        at = t.index(card)
+        new = g[at:at + len(card)]
+        assert new != card and _luhn(new) and (g[:at], g[at + len(card):]) == (t[:at], t[at + len(card):])
+    assert got[4] == texts[4]
+
+
 def test_pii_is_a_permutation(spark):
     """All days of four years, and many short numbers, keep distinct and stay in their format."""
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1999, 2000, 2001, 2004) for m in range(1, 13) for d in range(1, 29)]
