@@ -1,10 +1,12 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range.  So the
-sketch of a union is the union of sketches, and the share of a small document's hashes that a large
-one also has estimates containment without bias, however unequal the two are.  Shingles are five
-words, ASCII-lower-cased; a text of fewer words is one shingle.  A text none of whose hashes is
-below the fraction keeps its smallest hash, so that a fingerprint is empty only without words.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, by default all
+of them: a short text would keep too few to tell anything.  So the sketch of a union is the union of
+sketches, and the share of a small document's hashes that a large one also has is its containment
+(with a smaller fraction an estimate without bias), however unequal the two are.  Shingles are five
+words, ASCII-lower-cased; a text of fewer words is one shingle.  With a smaller
+fraction a text none of whose hashes is below it keeps its smallest hash, so that a fingerprint is
+empty only without words; such a text has no union or containment to rely on.
 
 ``neighbours`` compares each document with the next one and with an edited text whose end is the
 next one's beginning.  Documents are dealt to ranges of ids (split points from one aggregate over
@@ -32,7 +34,7 @@ from .common import pick, prepare, text_of
 from .textblocks import word_blocks
 
 SHINGLE = 5
-FRACTION = 1 / 8
+FRACTION = 1
 #: Word hashes kept per worker.
 KEPT = 500_000
 #: Output rows gathered at a time.
@@ -64,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def sketch(raw: bytes, shingle: int = SHINGLE, fraction: float = FRACTION) -> np.ndarray:
     """The sorted hashes that a text keeps."""
-    limit = np.uint64(int(fraction * (1 << 64)))
+    limit = np.uint64(min(int(fraction * (1 << 64)), (1 << 64) - 1))
     kept: list[np.ndarray] = []
     least, tail = None, np.empty(0, np.uint64)
     factors = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, shingle + 1)], np.uint64)
@@ -78,7 +80,7 @@ def sketch(raw: bytes, shingle: int = SHINGLE, fraction: float = FRACTION) -> np
             for k in range(shingle):
                 s += h[k:k + n] * factors[k]
             s = _mix(s)
-            kept.append(np.unique(s[s < limit]))
+            kept.append(np.unique(s[s < limit] if fraction < 1 else s))
             low = s.min()
             least = low if least is None else min(least, low)
         tail = h[max(0, len(h) - shingle + 1):]

@@ -361,6 +361,18 @@ def test_neighbours_are_brute_force(docs, texts, parts):
         assert r["fingerprint"] == sketch.shown(h) == known.setdefault(t, r["fingerprint"])
 
 
+def test_short_texts_have_true_containment():
+    rng = random.Random(4)
+    big = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
+    for n in (5, 8, 12, 20, 40):
+        for _ in range(20):
+            at = rng.randint(0, 500 - n)
+            small = big[at:at + n] + [f"x{i}" for i in range(n // 3)]
+            shingles = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (small, big)]
+            want = len(shingles[0] & shingles[1]) / len(shingles[0])
+            assert sketch.containment(sketch.sketch(" ".join(small).encode()), sketch.sketch(" ".join(big).encode())) == want
+
+
 def test_sketch_estimates_and_merges():
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(20_000)]
