@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier with template confirmation (DataFrame functions).
 
-Paragraphs are the lines of a text.  A paragraph becomes hashed word unigrams and bigrams (lower-case
+Paragraphs are the lines of a text, and the lines between blank lines joined (a notice may be wrapped);
+joined lines count where none of them is confirmed as the same family.  A paragraph becomes hashed word unigrams and bigrams (lower-case
 runs of letters, digits and plus signs, and dots between digits).
 
 1. Trained classifier: multinomial logistic regression over the hashed n-grams, one class per licence
@@ -11,8 +12,9 @@ runs of letters, digits and plus signs, and dots between digits).
 3. Confirmation: the n-grams of the predicted family's templates are compared with the paragraph; the
    prediction stands if it holds at least ``OVERLAP`` of the n-grams of one of them.
 
-A confirmed paragraph must hold an anchor, a word stem that every template has (checked when the
-model is trained), so paragraphs without one are not scored.  Weights are one literal of the plan (a
+Of any words that touch more than ``1 - OVERLAP`` of a template's n-grams a confirmed paragraph must hold
+one.  Such words, as rare as possible, are chosen from every template (``anchors``), and paragraphs
+without one are not scored.  Weights are one literal of the plan (a
 few hundred KB, whatever the input).  The shuffles are those of one aggregate by document and its
 join with the documents, both without texts.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import zlib
 
@@ -117,8 +120,10 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 UNKNOWN = "unknown"
-#: Stems of which every template has one.
-ANCHORS = ("licen", "copyright", "permission")
+#: Words of templates that other texts are full of; they are no anchors.
+COMMON = frozenset("a an and any as at be by clause code domain either file for form free from general in is it its later may mit no not "
+                   "of on only option or part person project public published software source subject terms that the this to under "
+                   "use v version with without work written you your".split())
 #: Sentences that mention licences without granting one (our own).
 OTHERS = [
     "She lost her driving license on the way to the office.", "A fishing license costs ten dollars in this county.",
@@ -162,6 +167,26 @@ def gram_column(ws: Column) -> Column:
     return F.concat(ws, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
+@functools.cache
+def anchors(overlap: float = OVERLAP) -> tuple[str, ...]:
+    """Words of which any paragraph that holds ``overlap`` of a template's n-grams has one."""
+    out: set[str] = set()
+    for notices in TEMPLATES.values():
+        for t in notices:
+            ws, every = words(t), set(grams(words(t)))
+            most = len(every) - math.ceil(overlap * len(every) - 1e-9)  # n-grams that may be missing
+            left, taken = set(every), 0
+            while taken <= most:
+                touch = {w: sum(w in g.split() for g in left) for w in ws if re.fullmatch("[a-z]+[0-9]*", w)}
+                best = max(touch, key=lambda w: (touch[w] > 0, w in out, w not in COMMON, len(w) if w in COMMON else touch[w], len(w)))
+                if not touch[best]:
+                    raise ValueError(f"no anchors for {t}")
+                out.add(best)
+                taken += touch[best]
+                left = {g for g in left if best not in g.split()}
+    return tuple(sorted(out))
+
+
 def bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % DIM
 
@@ -209,10 +234,6 @@ def _examples(seed: int = 3) -> tuple[np.ndarray, np.ndarray, list[str]]:
 @functools.cache
 def trained(rounds: int = 250, ridge: float = 2e-4) -> Model:
     """Multinomial logistic regression by accelerated gradient, then the calibrated unknown bias."""
-    for family, notices in TEMPLATES.items():
-        for t in notices:
-            if not any(a in t.lower() for a in ANCHORS):
-                raise ValueError(f"a template of {family} has no anchor: {t}")
     x, y, classes = _examples()
     held = np.arange(len(y)) % 5 == 0
     tx, ty = x[~held], y[~held]
@@ -241,13 +262,23 @@ def trained(rounds: int = 250, ridge: float = 2e-4) -> Model:
 
 
 def paragraphs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """doc, th (hash of the text), place, line of the paragraphs that hold an anchor.  A document without one is passed over
-    before it is cut."""
+    """doc, th (hash of the text), place and last (first and last line), line of the paragraphs that hold an
+    anchor.  A document without one is passed over before it is cut."""
     body = text_of(docs, text)
     rows = pick(docs, doc=docs[doc].cast("long"), th=F.xxhash64(body), text=body)
     # one pass over the text; case does not matter
-    anchor = "(?i)" + "|".join(ANCHORS)
-    rows = rows.filter(F.col("text").rlike(anchor)).select("doc", "th", F.posexplode(F.split("text", r"\r?\n|\r")).alias("place", "line"))
+    anchor = rf"(?iu)(?<![\p{{L}}\p{{N}}+])(?:{'|'.join(anchors())})(?![\p{{L}}\p{{N}}+])"
+    rows = rows.filter(F.col("text").rlike(anchor)).withColumn("lines", F.split("text", r"\r?\n|\r"))
+    rows = rows.withColumn("full", F.transform("lines", lambda x: x.rlike(r"\S")))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    full = lambda i: F.coalesce(F.get("full", i), F.lit(False))
+    first = F.filter(at, lambda i: full(i) & ~full(i - 1))
+    last = F.filter(at, lambda i: full(i) & ~full(i + 1))
+    rows = rows.withColumn("runs", F.filter(F.arrays_zip(first.alias("place"), last.alias("last")), lambda r: r["last"] > r["place"]))
+    single = F.transform("lines", lambda x, i: F.struct(i.alias("place"), i.alias("last"), x.alias("line")))
+    whole = F.transform("runs", lambda r: F.struct(r["place"].alias("place"), r["last"].alias("last"), F.array_join(
+        F.slice("lines", r["place"] + 1, r["last"] - r["place"] + 1), " ").alias("line")))
+    rows = rows.select("doc", "th", F.explode(F.concat(single, whole)).alias("p")).select("doc", "th", "p.*")
     return rows.filter(F.col("line").rlike(anchor))
 
 
@@ -273,23 +304,31 @@ def scored(lines: DataFrame, model: Model, limit: float = LIMIT, overlap: float
     share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(t)))
     rows = rows.withColumn("overlap", F.coalesce(share, F.lit(0.0)))
     sure = (F.col("guess") != UNKNOWN) & (F.col("confidence") >= limit) & (F.col("overlap") >= overlap)
-    return rows.select("doc", "th", "place", "line", F.when(sure, F.col("guess")).alias("family"), "confidence", "overlap")
+    return rows.select("doc", "th", "place", "last", "line", F.when(sure, F.col("guess")).alias("family"), "confidence", "overlap")
+
+
+def confirmed(docs: DataFrame, text: str, doc: str, model: Model | None) -> DataFrame:
+    """doc, th, hits (place, family, confidence, last, line, overlap) of the documents with licence paragraphs."""
+    found = scored(paragraphs(docs, text, doc), model or trained()).filter("family IS NOT NULL").groupBy("doc", "th").agg(
+        F.array_sort(F.collect_list(F.struct("place", "family", "confidence", "last", "line", "overlap"))).alias("hits"))
+    return found.withColumn("hits", F.expr(
+        "filter(hits, x -> x.last = x.place OR NOT exists(hits, y -> y.last = y.place AND y.family = x.family AND y.place BETWEEN x.place AND x.last))"))
 
 
 def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """One row per licence paragraph: doc_id, place, line, family, confidence, overlap."""
-    found = scored(paragraphs(docs, text, doc), model or trained()).filter("family IS NOT NULL")
-    return found.select(F.col("doc").alias("doc_id"), "place", "line", "family", "confidence", "overlap")
+    """One row per licence paragraph: doc_id, place (its first line), line, family, confidence, overlap."""
+    found = confirmed(docs, text, doc, model).select(F.col("doc").alias("doc_id"), F.explode("hits").alias("hit"))
+    return found.select("doc_id", *[F.col(f"hit.{c}").alias(c) for c in ("place", "line", "family", "confidence", "overlap")])
 
 
 def licences(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, family (the first found, else null), families (sorted),
     n_paragraphs, confidence (of the first)."""
-    found = scored(paragraphs(docs, text, doc), model or trained()).filter("family IS NOT NULL").groupBy("doc", "th").agg(
-        F.min(F.struct("place", "family", "confidence")).alias("first"), F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_set("family")).alias("families"))
+    found = confirmed(docs, text, doc, model).select(
+        "doc", "th", F.get("hits", F.lit(0)).alias("first"), F.size("hits").alias("n"),
+        F.array_sort(F.array_distinct(F.col("hits.family"))).alias("families"))
     keys = pick(docs, doc=docs[doc].cast("long"), th=F.xxhash64(text_of(docs, text)))
     rows = joined(keys, found, ["doc", "th"], "left")
     return rows.select(F.col("doc").alias("doc_id"), F.col("first.family").alias("family"),
                        F.coalesce("families", F.array().cast("array<string>")).alias("families"),
-                       F.coalesce("n", F.lit(0)).alias("n_paragraphs"), F.col("first.confidence").alias("confidence"))
+                       F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.col("first.confidence").alias("confidence"))

@@ -265,6 +265,25 @@ def test_licences_tell_versions_and_talk_apart(spark):
     assert got == ["CC-BY-4.0", "GPL-2.0", None, None, None, "MIT", "Proprietary"]
 
 
+def test_licences_without_stems_and_over_lines(spark):
+    gpl = ("it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of "
+           "the License, or\n(at your option) any later version.")
+    texts = ["some words\nAll rights reserved.\nmore words", "Released under the GNU GPL version 3.", f"Title\n\n{gpl}\n\nThe end",
+             "Released under the MIT License.\nmore of it", "All her rights were\nreserved for\nanother day"]
+    got = licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r["families"] for r in got] == [["Proprietary"], ["GPL-3.0"], ["GPL-3.0"], ["MIT"], []]
+    assert [r["n_paragraphs"] for r in got] == [1, 1, 1, 1, 0]
+
+
+@pytest.mark.parametrize("family", sorted(licences.TEMPLATES))
+def test_anchors_follow_from_the_overlap(family):
+    """A notice stripped of all anchors is under the overlap."""
+    for t in licences.TEMPLATES[family]:
+        every = set(licences.grams(licences.words(t)))
+        rest = {g for g in every if not set(g.split()) & set(licences.anchors())}
+        assert len(rest) < licences.OVERLAP * len(every)
+
+
 # -- repeated passages -----------------------------------------------------------------------------
 def test_passages_stay_once(spark):
     rng = random.Random(5)
