@@ -9,7 +9,8 @@ sys.path.insert(0, dirname(__file__))
 import llm_cases as cases  # noqa: E402
 
 import corpus_pipeline as cp  # noqa: E402
-from docshield.llm import bpe, exact_dedup, html_extract, licences, mixing, pii, quality, simhash, sketch, substring_dedup  # noqa: E402
+from docshield.llm import (bpe, exact_dedup, html_extract, licences, mixing, periodic, pii, quality, simhash, sketch,  # noqa: E402
+                           substring_dedup)
 from docshield.llm.catalog import vocabulary  # noqa: E402
 
 REPORTS = {
@@ -22,6 +23,7 @@ REPORTS = {
     "simhash": simhash.near_duplicates,
     "sketch": sketch.neighbours,
     "mixing": mixing.mix,
+    "periodic": lambda d: periodic.report(periodic.runs(periodic.with_tails(d))),
 }
 
 
