@@ -124,12 +124,12 @@ def prompts(df: DataFrame, system_prompt: str = "system_prompt", ctx: str = "con
     return df.withColumn("messages", F.concat(F.array(sys_msg), F.col(hist), F.array(human)))
 
 
-def answer(df: DataFrame, fn: Callable | None = None, top_text: str = "top_text",
+def answer(df: DataFrame, fn: Callable | None = None, question: str = "question", texts: str = "texts",
            out: str = "answer") -> DataFrame:
-    """default = extractive native answer; ``fn`` = factory of a batch model function
-    (called once per partition; receives a pandas frame with ``messages``)."""
+    """default = the best-scoring sentence of the hits' texts; ``fn`` = factory of a batch model
+    function (called once per partition; receives a pandas frame with ``messages``)."""
     if fn is None:
-        return df.withColumn(out, C.extractive_answer(F.col(top_text)))
+        return df.withColumn(out, C.best_sentence(F.col(question), F.col(texts)))
     schema = df.schema.add(out, "string")
 
     def run(batches):

@@ -154,3 +154,28 @@ def load_batches(chunks: DataFrame, collection: str = "collection", order=("doc_
     """C4: batch number = floor((row_number - 1) / 100) per collection, hot-group safe."""
     numbered = ordinal_in_groups(chunks, [collection], list(order), out="_rn")
     return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / batch_rows).cast("bigint")).drop("_rn")
+
+
+def page_spans(chunks: DataFrame, pages: DataFrame, doc: list[str], width: int = 4096) -> DataFrame:
+    """V4: first and last page of text stretches, by an interval join over bins of ``width`` characters.
+
+    ``chunks``: the ``doc`` columns, chunk_idx, chunk_start, chunk_end (exclusive); ``pages``: the
+    ``doc`` columns, page (from 0), start (its offset in the same text).  A page reaches to the next
+    one's start, the last one to the end of the stretches.  Both sides are dealt to the bins they
+    touch and meet by (document, bin), so a long document spreads over many tasks.  Returns the key,
+    page and page_last; stretches outside all pages are left out."""
+    from pyspark.sql import Window
+
+    def bins(lo, hi):  # the bins of [lo, hi); an empty stretch lies at its start
+        return F.explode(F.sequence(F.floor(lo / width), F.floor(F.greatest(hi - 1, lo) / width))).alias("_bin")
+
+    c = chunks.select(*doc, "chunk_idx", "chunk_start", F.greatest("chunk_end", F.col("chunk_start") + 1).alias("_end")).distinct()
+    ends = c.groupBy(*doc).agg(F.max("_end").alias("_total"))
+    w = Window.partitionBy(*doc).orderBy("start", "page")
+    p = (pages.select(*doc, "page", "start").withColumn("_next", F.lead("start").over(w)).join(ends, doc)
+         .withColumn("_stop", F.coalesce("_next", F.greatest("_total", F.col("start") + 1)))
+         .where(F.col("_stop") > F.col("start")).select(*doc, "page", F.col("start").alias("_from"), "_stop"))
+    left = c.select("*", bins(F.col("chunk_start"), F.col("_end")))
+    right = p.select("*", bins(F.col("_from"), F.col("_stop")))
+    met = left.join(right, [*doc, "_bin"]).where((F.col("_from") < F.col("_end")) & (F.col("chunk_start") < F.col("_stop")))
+    return met.groupBy(*doc, "chunk_idx").agg(F.min("page").alias("page"), F.max("page").alias("page_last"))

@@ -42,9 +42,10 @@ def occurrences(cut: DataFrame) -> DataFrame:
                        R.span_type(F.col("x.t")).alias("entity_type"), F.col("x.s").alias("value")))
 
 
-def token_map(occ: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def token_map(occ: DataFrame, start: DataFrame | None = None, since: bool = False) -> DataFrame:
     """R3 map from occurrences: first occurrence per value (partial min aggregation), then a
-    dense number per (collection, type) that never funnels a hot collection into one task."""
+    dense number per (collection, type) that never funnels a hot collection into one task.
+    ``since`` adds the order value of the first text that holds the original."""
     first = (occ.groupBy("collection", "entity_type", "value")
                 .agg(F.min(F.struct("doc_ord", "pos")).alias("first")))
     numbered = ordinal_in_groups(first, ["collection", "entity_type"],
@@ -57,7 +58,8 @@ def token_map(occ: DataFrame, start: DataFrame | None = None) -> DataFrame:
         "collection", "entity_type",
         F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), F.col("ord").cast("string"),
                  F.lit("]")).alias("token"),
-        F.col("value").alias("original"), F.col("ord").cast("bigint").alias("ord"))
+        F.col("value").alias("original"), F.col("ord").cast("bigint").alias("ord"),
+        *([F.col("first.doc_ord").alias("since")] if since else []))
 
 
 def apply_map(docs: DataFrame, cut: DataFrame, mapping: DataFrame, collection: str,
@@ -85,34 +87,68 @@ def tokenize_pii(docs: DataFrame, collection: str = "collection", doc_ord: str =
     return apply_map(docs, cut, mapping, collection, doc_ord, text, out), mapping
 
 
+def _back(text: Column, pairs: Column) -> Column:
+    """A text with its tokens looked up where they stand: an original that looks like a token is
+    not read again, and a token without a pair stays."""
+    gaps, found = F.split(text, R.TOKEN_RE, -1), F.regexp_extract_all(text, F.lit(R.TOKEN_RE), F.lit(0))
+    return F.array_join(F.zip_with(gaps, found, lambda g, t: F.concat(
+        g, F.coalesce(F.try_element_at(pairs, F.coalesce(t, F.lit(""))), t, F.lit("")))), "")
+
+
+def _with_pairs(df: DataFrame, mapping: DataFrame, collection: str, row_key: str, found: Column,
+                asof: str | None) -> DataFrame:
+    """Adds ``_pairs`` (token -> original) of the tokens ``found`` in a row; only rows that hold a
+    token are shuffled.  ``asof``: the row's order value; a token counts if the mapping has it from
+    the start (``since`` null) or since then at the latest."""
+    at = [F.col(asof).alias("_asof")] if asof else []
+    held = df.select(F.col(collection).alias("_c"), F.col(row_key).alias("_k"), *at, F.explode(F.array_distinct(found)).alias("_t"))
+    names = mapping.select("collection", "token", "original", *(["since"] if asof else []))
+    cond = (F.col("_c") == F.col("collection")) & (F.col("_t") == F.col("token"))
+    if asof:
+        cond = cond & (F.col("since").isNull() | (F.col("since") <= F.col("_asof")))
+    pairs = held.join(names, cond).groupBy("_c", "_k").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("_pairs"))
+    keyed = df.withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
+    return keyed.join(pairs, ["_c", "_k"], "left").drop("_c", "_k")
+
+
 def rehydrate(df: DataFrame, mapping: DataFrame, collection: str, row_key: str, text: str,
-              out: str) -> DataFrame:
+              out: str, asof: str | None = None) -> DataFrame:
     """Tokens in ``text`` -> originals of the row's collection; unknown tokens stay."""
-    toks = (df.select(F.col(collection).alias("collection"), F.col(row_key).alias("_k"),
-                      F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(R.TOKEN_RE), 0)))
-                      .alias("token"))
-              .join(mapping.select("collection", "token", "original"), ["collection", "token"])
-              .groupBy("collection", "_k")
-              .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("_pairs")))
-    keyed = df.withColumn("_c", F.col(collection)).withColumn("_k", F.col(row_key))
-    joined = keyed.join(toks.withColumnRenamed("collection", "_c"), ["_c", "_k"], "left")
-    # every token is looked up where it stands: an original that looks like a token is not read again
-    gaps, found = F.split(F.col(text), R.TOKEN_RE, -1), F.regexp_extract_all(F.col(text), F.lit(R.TOKEN_RE), F.lit(0))
-    back = F.array_join(F.zip_with(gaps, found, lambda g, t: F.concat(
-        g, F.coalesce(F.try_element_at(F.col("_pairs"), F.coalesce(t, F.lit(""))), t, F.lit("")))), "")
-    return (joined.withColumn(out, F.when(F.col("_pairs").isNotNull(), back).otherwise(F.col(text)))
-                  .drop("_c", "_k", "_pairs"))
+    paired = _with_pairs(df, mapping, collection, row_key, F.regexp_extract_all(F.col(text), F.lit(R.TOKEN_RE), F.lit(0)), asof)
+    return paired.withColumn(out, F.when(F.col("_pairs").isNotNull(), _back(F.col(text), F.col("_pairs")))
+                             .otherwise(F.col(text))).drop("_pairs")
 
 
 def extend_map(mapping: DataFrame, texts: DataFrame, collection: str, doc_ord: str,
                text: str, names: bool = True) -> DataFrame:
     """Entities of new texts not yet in the map get the next numbers of their
     (collection, type); returns only the new map rows."""
-    occ = occurrences(cut_texts(texts, collection, doc_ord, text, names))
-    fresh = occ.join(mapping.select("collection", "entity_type", F.col("original").alias("value")),
-                     ["collection", "entity_type", "value"], "left_anti")
+    return _extension(mapping, cut_texts(texts, collection, doc_ord, text, names))
+
+
+def _extension(mapping: DataFrame, cut: DataFrame, since: bool = False) -> DataFrame:
+    fresh = occurrences(cut).join(mapping.select("collection", "entity_type", F.col("original").alias("value")),
+                                  ["collection", "entity_type", "value"], "left_anti")
     base = mapping.groupBy("collection", "entity_type").agg(F.max("ord").alias("base"))
-    return token_map(fresh, start=base)
+    return token_map(fresh, start=base, since=since)
+
+
+def tokenize_asof(texts: DataFrame, mapping: DataFrame, collection: str, arrival: list[str], text: str,
+                  out: str, names: bool = True) -> tuple[DataFrame, DataFrame]:
+    """R5 for a table of later texts, as if they came one after the other by ``arrival`` (a total
+    order): each is tokenised with the tokens known when it came and adds its own new values.
+
+    A value keeps the token of its first occurrence, so the token that a text sees is the same in
+    every later state of the map; the map is therefore built once, each row with the arrival
+    (``since``) of the text that brought it, null for the tokens of ``mapping``.  Returns the texts
+    with ``out`` and ``_arrival``, and that versioned map, for ``rehydrate(..., asof="_arrival")``."""
+    rows = texts.withColumn("_arrival", F.struct(*arrival))
+    cut = cut_texts(rows, collection, "_arrival", text, names)
+    first = F.lit(None).cast(rows.schema["_arrival"].dataType).alias("since")
+    known = mapping.select(*MAP_COLUMNS, first)
+    versioned = cut_lineage(known.unionByName(_extension(mapping, cut, since=True)))
+    return apply_map(rows, cut, versioned, collection, "_arrival", text, out), versioned
 
 
 def pii_profile(docs: DataFrame, dims: list[str]) -> DataFrame:
@@ -130,14 +166,9 @@ def pii_profile(docs: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def rehydrate_array(df: DataFrame, mapping: DataFrame, collection: str, row_key: str, arr: str,
-                    out: str) -> DataFrame:
-    """R4 over every element of an array column (H8); order of elements is kept."""
-    ex = df.select(F.col(collection).alias("_coll"), F.col(row_key).alias("_rk"),
-                   F.posexplode(arr).alias("_pos", "_el"))
-    ex = ex.withColumn("_ek", F.concat_ws(":", F.col("_rk").cast("string"), F.col("_pos").cast("string")))
-    back = rehydrate(ex, mapping, "_coll", "_ek", "_el", "_back")
-    regroup = back.groupBy("_coll", "_rk").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_back"))).alias("_arr"))
-    regroup = regroup.select("_coll", "_rk", F.transform("_arr", lambda x: x["_back"]).alias(out))
-    keyed = df.withColumn("_coll", F.col(collection)).withColumn("_rk", F.col(row_key))
-    return keyed.join(regroup, ["_coll", "_rk"], "left").drop("_coll", "_rk")
+                    out: str, asof: str | None = None) -> DataFrame:
+    """R4 over every element of an array column (H8, V4), in place: one map of tokens a row."""
+    found = F.flatten(F.transform(F.col(arr), lambda x: F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(R.TOKEN_RE), F.lit(0))))
+    paired = _with_pairs(df, mapping, collection, row_key, found, asof)
+    return paired.withColumn(out, F.when(F.col("_pairs").isNotNull(), F.transform(
+        F.col(arr), lambda x: _back(x, F.col("_pairs")))).otherwise(F.col(arr))).drop("_pairs")

@@ -104,7 +104,51 @@ def requests_sql(name: str = "requests", role: str = "user", text_name: str = "q
 )"""
 
 
+# Questions that hold personal data (G11 over a tokenised index): sentences with made-up people, and
+# for some requests a telephone number that occurs in the collection's documents.
+PRIVATE_PHRASES = [
+    "",
+    "Please call Dr. Ada Byron at +1 (555) 019-2834 about it.",
+    "Mrs. Grace Hopper uses grace@navy.example.org for this.",
+    "Did Prof. Emmy Noether pay with 1111-2222-3333-4444 or 000-12-3456?",
+    "Does [PHONE_1] stand for anyone?",
+    "Ask Dr. Ada Byron again.",
+]
+QUOTED = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+def private_requests(conversations: DataFrame, documents: DataFrame) -> DataFrame:
+    """``requests`` whose questions hold names, numbers and literal tokens."""
+    found = documents.select(F.col("source").alias("collection"), F.regexp_extract("text", QUOTED, 0).alias("quoted"))
+    quotes = found.where(F.col("quoted") != "").groupBy("collection").agg(F.min("quoted").alias("quoted"))
+    mark = F.col("conv_id") * 5 + F.col("turn")
+    phrase = _pick(PRIVATE_PHRASES, F.pmod(mark, F.lit(len(PRIVATE_PHRASES))))
+    quote = F.when(F.pmod(mark, F.lit(4)) == 0, F.concat(F.lit("Whose number is "), F.col("quoted"), F.lit("?")))
+    return requests(conversations).join(quotes, "collection", "left").withColumn(
+        "question", F.concat_ws(" ", "question", phrase, quote)).drop("quoted")
+
+
+def answered_requests(conversations: DataFrame) -> DataFrame:
+    """Requests with the model's answer: the assistant turn that follows the user's."""
+    told = answers(conversations).select("conv_id", (F.col("turn") - 1).alias("turn"), "answer")
+    return requests(conversations).join(told, ["conv_id", "turn"], "left")
+
+
+def page_starts(documents: DataFrame, length: int = 1800) -> DataFrame:
+    """Pages of the French documents (the ones named .PDF below): one every ``length`` characters."""
+    pages = F.explode(F.sequence(F.lit(0), F.expr(f"int(length(text) div {length})")))
+    return documents.where(F.col("lang") == "fr").select(F.col("source").alias("collection"), "doc_id", pages.alias("page")) \
+        .withColumn("start", F.col("page") * length)
+
+
 REQUESTS_SQL = requests_sql()
+PRIVATE_SQL = f"""{REQUESTS_SQL},
+quotes AS (SELECT source AS collection, min(regexp_extract(text, {sql_str(QUOTED)})) AS quoted FROM documents
+           WHERE regexp_matches(text, {sql_str(QUOTED)}) GROUP BY source),
+private AS (
+  SELECT r.* REPLACE (concat_ws(' ', question, {sql_pick(PRIVATE_PHRASES, sql_pmod('conv_id * 5 + turn', len(PRIVATE_PHRASES)))},
+           CASE WHEN {sql_pmod('conv_id * 5 + turn', 4)} = 0 THEN 'Whose number is ' || q.quoted || '?' END) AS question)
+  FROM requests r LEFT JOIN quotes q USING (collection))"""
 ANSWERS_SQL = requests_sql("answers", "assistant", "answer")
 
 

@@ -521,16 +521,18 @@ def _index(spark, sf, docs=None):
 _TURN_IN = Q.check("question", "tier", "enabled", "custom_rules", "in")
 _TURN_OUT = Q.check("answer", "tier", "enabled", "custom_rules", "out")
 
-TURN_CTES = f"""
+_TURN_HEAD = f"""
 {B.REQUESTS_SQL[1:]},
 req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model')} AS k FROM requests r),
 docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+clean AS (SELECT * FROM req WHERE in_message IS NULL)"""
+
+_TURN_SEARCH = f""",
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
 ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
               doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
 cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
-clean AS (SELECT * FROM req WHERE in_message IS NULL),
 hist AS (SELECT c.conv_id, c.turn,
                 (SELECT CAST(count(*) AS BIGINT) FROM conversations m
                  WHERE m.conv_id = c.conv_id AND m.turn < c.turn AND m.role IN ('user', 'assistant')) AS n_history
@@ -548,11 +550,14 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_id) AS rank FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= k),
 per_q AS (
-  SELECT conv_id, turn, list({{'id': chunk_key, 'source': source, 'text': chunk_text, 'score': round(score, 4)}} ORDER BY rank) AS cites
+  SELECT conv_id, turn, list({{'id': chunk_key, 'source': source, 'text': chunk_text, 'score': round(score, 4),
+                               'start': chunk_start}} ORDER BY rank) AS cites
   FROM hits GROUP BY ALL),
 ans AS (
-  SELECT c.*, h.n_history, p.cites, {Q.extractive_answer('p.cites[1].text')} AS answer
-  FROM clean c LEFT JOIN hist h USING (conv_id, turn) LEFT JOIN per_q p USING (conv_id, turn)),
+  SELECT c.*, h.n_history, p.cites, {Q.best_sentence('c.question', 'list_transform(p.cites, lambda x: x.text)')} AS answer
+  FROM clean c LEFT JOIN hist h USING (conv_id, turn) LEFT JOIN per_q p USING (conv_id, turn))"""
+
+TURN_CTES = f"""{_TURN_HEAD}{_TURN_SEARCH},
 outc AS (SELECT a.*, {_TURN_OUT['message']} AS out_message FROM ans a),
 resp AS (
   SELECT conv_id, turn, collection, k, n_history, out_message IS NOT NULL AS blocked,
@@ -586,6 +591,75 @@ def g11_guarded_turn(spark, sf):
     return turns.summarize_responses(resp)
 
 
+def _back_sql(text: str, row: str) -> str:
+    """Tokens in ``text`` back to originals, by the map as of the row; literal tokens last."""
+    return (f"coalesce(list_reduce((SELECT list({{'token': m.token, 'original': m.original}} ORDER BY m.entity_type = '{R.LITERAL}') "
+            f"FROM versions m WHERE m.collection = {row}.collection AND (m.since IS NULL OR m.since <= {row}.came) "
+            f"AND list_contains(regexp_extract_all({text}, {B.sql_str(R.TOKEN_RE)}), m.token)), "
+            f"lambda acc, y: replace(acc, y.token, y.original), {text}), {text})")
+
+
+PRIVATE_CTES = f"""
+{B.PRIVATE_SQL[1:]},
+req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model')} AS k,
+               {{'c': conv_id, 't': turn}} AS came FROM private r),
+raw AS (SELECT source AS collection, doc_id, source, text FROM documents),
+{Q.occurrences_cte('raw', 'collection', 'doc_id', 'text', 'occ0')}, {Q.token_map_ctes('occ0', 'tmap0')},
+{Q.apply_map_ctes('occ0', 'tmap0', 'raw', 'collection', 'doc_id', 'text', 'known')},
+docs AS (SELECT collection, doc_id, source, text_tokens AS text FROM known),
+asked AS (SELECT * FROM req WHERE in_message IS NULL),
+{Q.occurrences_cte('asked', 'collection', 'came', 'question', 'occ1', names=True)},
+fresh AS (SELECT * FROM occ1 o WHERE NOT EXISTS (SELECT 1 FROM tmap0 m WHERE m.collection = o.collection
+            AND m.entity_type = o.entity_type AND m.original = o.value)),
+base AS (SELECT collection, entity_type, max(ord) AS base FROM tmap0 GROUP BY 1, 2),
+{Q.token_map_ctes('fresh', 'tmap1', 'base')},
+versions AS (SELECT *, CAST(NULL AS STRUCT(c BIGINT, t BIGINT)) AS since FROM tmap0
+             UNION ALL SELECT m.*, f.doc_ord FROM tmap1 m JOIN tmap1_first f
+               ON f.collection = m.collection AND f.entity_type = m.entity_type AND f.value = m.original),
+{Q.apply_map_ctes('occ1', 'versions', 'asked', 'collection', 'came', 'question', 'named')},
+clean AS (SELECT * REPLACE (text_tokens AS question) FROM named){_TURN_SEARCH},
+shown AS (SELECT a.* RENAME (answer AS raw_answer), {_back_sql('a.answer', 'a')} AS answer FROM ans a),
+outc AS (SELECT a.*, {_TURN_OUT['message']} AS out_message FROM shown a),
+told AS (SELECT o.conv_id, o.turn, c.i, {_back_sql('c.x.text', 'o')} AS text,
+                coalesce(CAST(CASE WHEN d.lang = 'fr' THEN least(c.x.start // 1800, length(d.text) // 1800) + 1 END AS VARCHAR), '-') AS page
+         FROM outc o JOIN (SELECT conv_id, turn, unnest(generate_series(1, len(cites))) AS i, unnest(cites) AS x FROM outc) c
+         ON c.conv_id = o.conv_id AND c.turn = o.turn
+         JOIN documents d ON d.doc_id = CAST(split_part(c.x.id, ':', 1) AS BIGINT)),
+contents AS (SELECT conv_id, turn, md5(string_agg(text, '|' ORDER BY i)) AS contents_md5, string_agg(page, '|' ORDER BY i) AS pages
+             FROM told GROUP BY ALL)"""
+
+
+@register("g11_private_turn", f"""
+WITH {PRIVATE_CTES}
+SELECT conv_id, turn, collection, CAST(k AS INTEGER) AS k, out_message IS NOT NULL AS blocked,
+       CASE WHEN out_message IS NULL THEN 'llm' ELSE 'output_guard' END AS source, question AS question_used,
+       coalesce(out_message, answer) AS answer, coalesce(out_message, raw_answer) AS stored_answer,
+       CASE WHEN out_message IS NULL THEN array_to_string(list_transform(cites, lambda x: x.id), '|') ELSE '' END AS citation_ids,
+       CASE WHEN out_message IS NULL THEN coalesce(pages, '') ELSE '' END AS citation_pages,
+       CASE WHEN out_message IS NULL THEN coalesce(contents_md5, md5('')) ELSE md5('') END AS contents_md5
+FROM outc LEFT JOIN contents USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, turn, collection, CAST(k AS INTEGER), TRUE, 'input_guard', NULL, in_message, NULL, '', '', md5('')
+FROM req WHERE in_message IS NOT NULL
+""")
+def g11_private_turn(spark, sf):
+    """G11 with reversible redaction: documents are tokenised before they are indexed, each question
+    with the tokens known when it came (R5), answers and citations are shown with originals (R4) and
+    with page numbers (V4)."""
+    from docshield.streaming import streams
+    conv, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
+    texts = docs.select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    index, mapping = turns.build_private_index(texts, streams.scratch_dir(spark, "private"), CHUNK_SIZE, CHUNK_OVERLAP)
+    resp = turns.run_turns(B.private_requests(conv, docs), index, conv, mapping=mapping, requests_are_turns=True,
+                           pages=B.page_starts(docs))
+    c = F.col("citations")
+    return resp.select(
+        "conv_id", "turn", "collection", F.col("k").cast("int").alias("k"), "blocked", "source", "question_used", "answer",
+        "stored_answer", F.array_join("citations.id", "|").alias("citation_ids"),
+        F.array_join(F.transform(c, lambda x: F.coalesce(x["page"].cast("string"), F.lit("-"))), "|").alias("citation_pages"),
+        F.md5(F.array_join("citations.text", "|")).alias("contents_md5"))
+
+
 _TWICE = "(SELECT source, doc_id, text FROM documents UNION ALL SELECT 'src' || ((CAST(substr(source, 4) AS INT) + 7) % 20), doc_id, text FROM documents)"
 
 
@@ -790,10 +864,10 @@ def _raw_answers(spark, sf, conv):
     idx = _index(spark, sf)
     inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
     clean = req.where(inp.message.isNull()).withColumn("k", V.k_for(F.col("host"), F.col("model")))
-    top = turns.retrieve(clean, idx, "question").where(F.col("rank") == 1)
-    top = top.select(*turns.TURN_KEY, F.col("chunk_text").alias("top_text"))
-    rows = clean.select(*turns.TURN_KEY).join(top, turns.TURN_KEY, "left")
-    return chat.answer(rows, None, "top_text", "answer").select("conv_id", "turn", "answer")
+    hits = turns.retrieve(clean, idx, "question")
+    top = hits.groupBy(*turns.TURN_KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))).alias("hits"))
+    rows = clean.select(*turns.TURN_KEY, "question").join(top, turns.TURN_KEY, "left").withColumn("texts", F.col("hits.chunk_text"))
+    return chat.answer(rows).select("conv_id", "turn", "answer")
 
 
 @register("v4_citations", f"""
@@ -1269,6 +1343,10 @@ def g14_merge_profiles(spark, sf):
 from docshield.streaming import streams  # noqa: E402
 
 
+#: Files that one micro-batch of the stream fixtures takes at most (a part is one micro-batch).
+MICRO_BATCH_FILES = 100_000
+
+
 @register("t1_stream_ingest", f"""
 WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 {Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
@@ -1280,14 +1358,16 @@ SELECT ch.chunk_key AS chunk_id, ch.collection, CAST(coalesce(cn.n2, 0) AS BIGIN
 FROM ch LEFT JOIN cn USING (chunk_id)
 """)
 def t1_stream_ingest(spark, sf):
-    """Documents arrive as four files, one micro-batch each; the last one delivers every
-    document of the first file again."""
+    """Documents arrive in four parts, one micro-batch each; the last one delivers every
+    document of the first again."""
     docs = table(spark, sf, "documents").withColumn("collection", F.col("source"))
     base = streams.scratch_dir(spark, "ingest")
-    for part in (0, 1, 2, 0):
-        docs.where(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(base + "/in")
-    src = streams.read_stream(spark, base + "/in", docs)
-    streams.stream_ingest(spark, src, base + "/index", base + "/ckpt", CHUNK_SIZE, CHUNK_OVERLAP).awaitTermination()
+
+    def start():
+        src = streams.read_stream(spark, base + "/in/*", docs, max_files=MICRO_BATCH_FILES)
+        return streams.stream_ingest(spark, src, base + "/index", base + "/ckpt", CHUNK_SIZE, CHUNK_OVERLAP)
+
+    streams.deliver([docs.where(F.pmod("doc_id", F.lit(3)) == part) for part in (0, 1, 2, 0)], base + "/in", start)
     idx = spark.read.parquet(base + "/index")
     return idx.select("chunk_id", "collection", F.col("vec_norm2").cast("bigint").alias("n2"))
 
@@ -1304,6 +1384,60 @@ def t2_stream_guard(spark, sf):
     return spark.read.parquet(out)
 
 
+_T2_IN = Q.check("question", "tier", "enabled", "custom_rules", "in")
+_T2_OUT = Q.check("answer", "tier", "enabled", "custom_rules", "out")
+
+
+@register("t2_stream_turns", f"""
+WITH {B.REQUESTS_SQL[1:]}, {B.ANSWERS_SQL[1:]},
+q AS (SELECT r.*, a.answer FROM requests r LEFT JOIN answers a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1),
+c AS (SELECT q.*, {_T2_IN['message']} AS in_message, {_T2_IN['rule']} AS in_rule,
+             {_T2_OUT['message']} AS out_message, {_T2_OUT['rule']} AS out_rule FROM q)
+SELECT conv_id, turn,
+       CASE WHEN in_message IS NOT NULL THEN 'input_guard' WHEN out_message IS NOT NULL THEN 'output_guard' ELSE 'llm' END AS source,
+       coalesce(in_message, out_message, answer) AS shown,
+       CASE WHEN in_message IS NOT NULL THEN in_rule ELSE out_rule END AS rule,
+       CASE WHEN in_message IS NOT NULL THEN 'safety_alert: Input question blocked by ' || tier || ' policy.'
+            WHEN out_message IS NOT NULL THEN 'safety_alert: LLM output blocked and redacted under ' || tier || ' policy.'
+            ELSE 'retrieval: Successfully completed RAG query in 0.000s' END AS event
+FROM c
+""")
+def t2_stream_turns(spark, sf):
+    """T2 whole: questions and answers arrive in three parts; both guards and the audit log run in
+    each micro-batch, and only whole epochs are read."""
+    rows = B.answered_requests(table(spark, sf, "conversations"))
+    base = streams.scratch_dir(spark, "turns")
+
+    def start():
+        src = streams.read_stream(spark, base + "/in/*", rows, max_files=MICRO_BATCH_FILES)
+        return streams.stream_turns(src, base + "/out", base + "/ckpt")
+
+    streams.deliver([rows.where(F.pmod("conv_id", F.lit(3)) == k) for k in range(3)], base + "/in", start)
+    told = streams.read_epochs(spark, base + "/out", "responses").select("conv_id", "turn", "source", "shown", "rule")
+    events = streams.read_epochs(spark, base + "/out", "audit")
+    return told.join(events.select("conv_id", "turn", F.concat_ws(": ", "event_type", "message").alias("event")), ["conv_id", "turn"])
+
+
+@register("t2_session_settings", f"""
+WITH g15 AS ({ORACLE["g15_sticky_rules"]}), h9 AS ({ORACLE["h9_setting_changes"]})
+SELECT conv_id, turn, effective_rules, rebuild FROM g15 JOIN h9 USING (conv_id, turn)
+""")
+def t2_session_settings(spark, sf):
+    """T2 state: requests, a minute from turn to turn, arrive in five parts by turn, the last one a second delivery of the first;
+    sticky rules (G15) and setting changes (H9) are carried across the micro-batches."""
+    rows = _requests(spark, sf).withColumn("host", CH.resolve_host(F.col("host"), DEFAULT_HOST)) \
+        .withColumn("at", F.timestamp_seconds(946_684_800 + F.col("turn") * 60))
+    base = streams.scratch_dir(spark, "settings")
+
+    def start():
+        src = streams.read_stream(spark, base + "/in/*", rows, max_files=MICRO_BATCH_FILES)
+        return streams.start_to_parquet(streams.session_settings(src, time="at", lateness="1 day"), base + "/out")
+
+    part = F.least(F.floor(F.col("turn") / 2), F.lit(3))
+    streams.deliver([rows.where(part == k) for k in (0, 1, 2, 3, 0)], base + "/in", start)
+    return spark.read.parquet(base + "/out").select("conv_id", "turn", F.array_join("effective_rules", "|").alias("effective_rules"), "rebuild")
+
+
 @register("t3_stream_audit_rollup", """
 SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n,
        round(sum(value), 6) AS total_value
@@ -1311,7 +1445,7 @@ FROM events GROUP BY ALL
 """)
 def t3_stream_audit_rollup(spark, sf):
     """Hourly event counts per type, append mode, 10-minute watermark.  Events arrive in three
-    files by time; then comes a copy of the first event, far too late, which must not count; a last
+    parts by time; then comes a copy of the first event, far too late, which must not count; a last
     event two days on lets the watermark pass all windows of the log."""
     events = table(spark, sf, "events")
     times = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.67], 10_000).alias("cut"),
@@ -1320,11 +1454,14 @@ def t3_stream_audit_rollup(spark, sf):
     low, high = times["cut"]
     moved = F.col("ts") + F.expr("INTERVAL 2 DAYS")
     base = streams.scratch_dir(spark, "rollup")
-    for part in (events.where(at <= low), events.where((at > low) & (at <= high)), events.where(at > high),
-                 events.where(F.col("ts") == times["first"]), events.where(F.col("ts") == times["last"]).withColumn("ts", moved)):
-        part.coalesce(1).write.mode("append").parquet(base + "/in")
-    src = streams.read_stream(spark, base + "/in", spark.read.parquet(base + "/in"))
-    streams.run_to_parquet(streams.stream_audit_rollup(src, "1 hour", "10 minutes"), base + "/out")
+    parts = [events.where(at <= low), events.where((at > low) & (at <= high)), events.where(at > high),
+             events.where(F.col("ts") == times["first"]), events.where(F.col("ts") == times["last"]).withColumn("ts", moved)]
+
+    def start():
+        src = streams.read_stream(spark, base + "/in/*", events, max_files=MICRO_BATCH_FILES)
+        return streams.start_to_parquet(streams.stream_audit_rollup(src, "1 hour", "10 minutes"), base + "/out")
+
+    streams.deliver(parts, base + "/in", start)
     r = spark.read.parquet(base + "/out")
     return r.select(F.unix_micros("window_start").alias("window_start"), "event_type",
                     F.col("n").cast("bigint").alias("n"), F.round("total_value", 6).alias("total_value"))

@@ -165,14 +165,18 @@ def count_type(text: str, t: R.PiiType) -> str:
     return f"CAST(len({_values(_without_earlier(text, t), t)}) AS BIGINT)"
 
 
-def occurrences_cte(src: str, collection: str, doc_ord: str, text: str, name: str = "occ") -> str:
+def occurrences_cte(src: str, collection: str, doc_ord: str, text: str, name: str = "occ", names: bool = False) -> str:
+    """``names``: also literal tokens and titled names (the documents hold neither)."""
+    found = [(i, t.name, _values(_without_earlier(text, t), t)) for i, t in enumerate(R.PII_TYPES)]
+    if names:
+        found.insert(0, (-1, R.LITERAL, f"regexp_extract_all({text}, {sql_str(R.TOKEN_RE)})"))
+        found.append((len(R.PII_TYPES), R.NAME, f"regexp_extract_all({redact(text)}, {sql_str(R.TITLE_NAME)})"))
     parts = []
-    for i, t in enumerate(R.PII_TYPES):
+    for i, kind, values in found:
         parts.append(
-            f"SELECT collection, doc_ord, {i} AS type_ord, '{t.name}' AS entity_type, "
+            f"SELECT collection, doc_ord, {i} AS type_ord, '{kind}' AS entity_type, "
             f"generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM "
-            f"(SELECT {collection} AS collection, {doc_ord} AS doc_ord, "
-            f"{_values(_without_earlier(text, t), t)} AS v FROM {src})")
+            f"(SELECT {collection} AS collection, {doc_ord} AS doc_ord, {values} AS v FROM {src})")
     return f"{name} AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
 
 
@@ -247,10 +251,18 @@ def strip_quotes(x: str) -> str:
     return f"regexp_replace({x}, '^[\"'']+|[\"'']+$', '', 'g')"
 
 
-def extractive_answer(top_text: str) -> str:
-    first = strip_ws(f"regexp_extract({top_text}, '[^.!?\\n]*[.!?]?', 0)")
-    return (f"(CASE WHEN {top_text} IS NULL OR {first} = '' THEN {sql_str(CH.NO_CONTEXT_ANSWER)} "
-            f"ELSE {first} END)")
+def best_sentence(question: str, texts: str) -> str:
+    def terms(x: str) -> str:
+        return f"list_distinct(regexp_extract_all(lower({x}), {sql_str(V.TOKEN_RE)}))"
+
+    shared = f"len(list_intersect({terms(question)}, {terms('s')}))"
+    score = f"(1000 * {shared} * {shared}) // greatest(len({terms('s')}), 1)"
+    cut = f"regexp_extract_all(x, {sql_str(CH.SENTENCE_RE)})"
+    strip = strip_ws("y")
+    sentences = (f"flatten(list_transform({texts}, lambda x, r: list_transform(list_transform({cut}, lambda y: {strip}), "
+                 f"lambda s, i: {{'score': {score}, 'rank': -r, 'place': -i, 's': s}})))")
+    best = f"(list_reverse_sort({sentences}))[1]"
+    return (f"(SELECT CASE WHEN b.score > 0 THEN b.s ELSE {sql_str(CH.NO_CONTEXT_ANSWER)} END FROM (SELECT {best} AS b))")
 
 
 def k_for(host: str, model: str) -> str:
