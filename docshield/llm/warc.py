@@ -12,8 +12,8 @@ archives back apart by their declared lengths and checks the digests.
 Archives are read with Spark's binary file source and written with its text sink (one archive a
 row and a file, a zero byte as line end: padding after the last gzip member), so any store that
 Spark reads will do, and a retried task replaces its own files.  A task holds one archive file and
-one record at a time, besides batches of ``HELD`` bytes.  Equal payloads meet by digest and
-length in salted copies of the first record; only groups of two or more take part.
+one record at a time, besides batches of ``HELD`` bytes.  Equal payloads are grouped by digest and
+length without their bytes; only groups of two or more are joined back to the records.
 
 Defined results: a null or missing URL is "-" in ARC and absent in WARC; blanks in a URL are
 percent-encoded, and one that was not is read by counting fields from the right; a null page id
@@ -47,6 +47,8 @@ ARCHIVE = 8 << 20
 HELD = 4 << 20
 CHUNK = 1 << 20
 SALTS = 16
+#: Most groups of equal payloads that are broadcast (a few hundred bytes each).
+SMALL = 20_000
 TAG = "X-Page-Id"
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -219,7 +221,7 @@ RECORD_DDL = ("record_id string, type string, uri string, date string, ip string
               "truncated boolean")
 
 
-def synthesised(archive: str, raw: bytes, tag: str) -> Iterator[tuple]:
+def synthesised(archive: str, raw: bytes, tag: str, blocks: bool = True) -> Iterator[tuple]:
     """The WARC records (``RECORD`` without bytes of the format) of one ARC file."""
     info, own_date = None, NO_DATE
     for r in arc_records(raw):
@@ -240,7 +242,7 @@ def synthesised(archive: str, raw: bytes, tag: str) -> Iterator[tuple]:
         start = payload_start(block, http)
         payload = memoryview(block)[start:]
         ip = f["IP-address"] if kind != "warcinfo" and f["IP-address"] not in ("-", "0.0.0.0") else None
-        yield (rid, kind, uri, date, ip, mime, None if kind == "warcinfo" else info, block, start, len(payload),
+        yield (rid, kind, uri, date, ip, mime, None if kind == "warcinfo" else info, block if blocks else None, start, len(payload),
                hashlib.sha256(payload).hexdigest(), http_value(block, start, tag), r["skipped"], r["truncated"])
 
 
@@ -262,34 +264,42 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
-def convert(files: DataFrame, tag: str = TAG) -> DataFrame:
+def convert(files: DataFrame, tag: str = TAG, blocks: bool = True) -> DataFrame:
     """ARC files (path, content) -> one row per WARC record.  ``tag``: an HTTP field handed through
-    as a column."""
+    as a column; without ``blocks`` that column is null (to look for equal payloads)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for path, content in zip(batch.column("path"), batch.column("content")):
                     name = (path.as_py() or "").rsplit("/", 1)[-1]
-                    yield from synthesised(name, content.as_py() or b"", tag)
-        yield from _batched(rows(), RECORD, lambda r: len(r[7]))
+                    yield from synthesised(name, content.as_py() or b"", tag, blocks)
+        yield from _batched(rows(), RECORD, lambda r: len(r[7] or b""))
 
     return prepare(files).select("path", "content").mapInArrow(run, RECORD_DDL)
 
 
-def revisits(records: DataFrame, rank: Column, least: int = LEAST, salts: int = SALTS) -> DataFrame:
+def revisits(records: DataFrame, rank: Column, least: int = LEAST, salts: int = SALTS,
+             heads: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """Adds ``first`` (record_id, uri, date of the response that has the same payload; null for
-    records that are kept whole).  The smallest ``rank`` is the first, null last."""
+    records that are kept whole).  The smallest ``rank`` is the first, null last.
+
+    The groups of two or more are found from ``heads`` (the same records, without blocks) and
+    written.  If there are at most ``small`` of them, they are broadcast and the records stay where
+    they are; else both sides are shuffled by payload and salt.  The result is the same."""
     able = (F.col("type") == "response") & (F.col("payload_bytes") >= least) & ~F.col("truncated")
     best = F.min(F.struct(rank.isNull().alias("none"), rank.alias("rank"), "record_id", "uri", "date"))
-    groups = (records.filter(able).groupBy("payload_sha256", "payload_bytes")
+    groups = ((records if heads is None else heads).filter(able).groupBy("payload_sha256", "payload_bytes")
               .agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    salted = groups.select(F.concat_ws(",", "payload_sha256", "payload_bytes").alias("key"),
-                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-                           F.struct("best.record_id", "best.uri", "best.date").alias("first"))
+    groups = cut_lineage(groups.select(F.concat_ws(",", "payload_sha256", "payload_bytes").alias("key"),
+                                       F.struct("best.record_id", "best.uri", "best.date").alias("first")))
     # a record that takes no part has a key of its own, so that none gather under a common one
-    key = F.when(able, F.concat_ws(",", "payload_sha256", "payload_bytes")).otherwise(F.col("record_id"))
-    keyed = records.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
-    out = keyed.join(salted, ["key", "salt"], "left").drop("key", "salt")
+    keyed = records.withColumn("key", F.when(able, F.concat_ws(",", "payload_sha256", "payload_bytes")).otherwise(F.col("record_id")))
+    if groups.count() <= small:
+        out = keyed.join(F.broadcast(groups), "key", "left").drop("key")
+    else:
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
+        out = keyed.join(salted, ["key", "salt"], "left").drop("key", "salt")
     own = F.col("first.record_id") == F.col("record_id")
     return out.withColumn("first", F.when(~own, F.col("first")))
 
@@ -458,8 +468,8 @@ def convert_pages(pages: DataFrame) -> DataFrame:
     even = F.coalesce(F.pmod(pages["page_id"].cast("long"), F.lit(2)) == 0, F.lit(False))
     write_arc(pages.filter(even), f"{folder}/arc/version=1", 1)
     write_arc(pages.filter(~even), f"{folder}/arc/version=2", 2)
-    records = convert(archives(spark, f"{folder}/arc"))
-    write(revisits(records, F.col("tag").cast("long")), f"{folder}/warc")
+    files = archives(spark, f"{folder}/arc")
+    write(revisits(convert(files), F.col("tag").cast("long"), heads=convert(files, blocks=False)), f"{folder}/warc")
     back = cut_lineage(read(archives(spark, f"{folder}/warc"), payloads=False).filter("type <> 'warcinfo'"))  # no payloads
     rows = resolved(back)
     return rows.select(F.col("tag").cast("long").alias("page_id"), "payload_bytes",

@@ -138,6 +138,13 @@ def test_pages_through_archives(spark):
     assert warc.convert_pages(df.limit(0)).collect() == []
 
 
+def test_shuffled_groups_are_the_same(spark, monkeypatch):
+    """More groups than are broadcast: the salted join gives the same records."""
+    monkeypatch.setattr(warc.revisits, "__defaults__", (*warc.revisits.__defaults__[:-1], 0))
+    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    assert sorted(str(tuple(r)[:5]) for r in warc.convert_pages(df).collect()) == page_rows(PAGES)
+
+
 def test_warc_query_whole(spark):
     rows = op12_warc(spark, SF).collect()
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
