@@ -309,8 +309,10 @@ def scored(lines: DataFrame, model: Model, limit: float = LIMIT, overlap: float
 
 def confirmed(docs: DataFrame, text: str, doc: str, model: Model | None) -> DataFrame:
     """doc, th, hits (place, family, confidence, last, line, overlap) of the documents with licence paragraphs."""
-    found = scored(paragraphs(docs, text, doc), model or trained()).filter("family IS NOT NULL").groupBy("doc", "th").agg(
-        F.array_sort(F.collect_list(F.struct("place", "family", "confidence", "last", "line", "overlap"))).alias("hits"))
+    # the condition stands in the aggregate: as a filter it would be pushed below the scoring and repeat it
+    hit = F.when(F.col("family").isNotNull(), F.struct("place", "family", "confidence", "last", "line", "overlap"))
+    found = scored(paragraphs(docs, text, doc), model or trained()).groupBy("doc", "th").agg(
+        F.array_sort(F.collect_list(hit)).alias("hits")).filter(F.size("hits") > 0)
     return found.withColumn("hits", F.expr(
         "filter(hits, x -> x.last = x.place OR NOT exists(hits, y -> y.last = y.place AND y.family = x.family AND y.place BETWEEN x.place AND x.last))"))
 

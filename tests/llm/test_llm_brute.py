@@ -249,7 +249,8 @@ def test_pii_leaves_no_planted_value(docs, texts):
 
 # -- licences --------------------------------------------------------------------------------------
 PHRASES = {"MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-           "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+           "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+           "Proprietary": "All rights reserved."}
 
 
 def test_licences_are_found(docs, texts):
