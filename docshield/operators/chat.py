@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docshield.functions import chat as C
 from docshield.operators.ordinal import ordinal_in_groups
@@ -33,23 +34,31 @@ def history(conversations: DataFrame, other_roles: str = "drop", session: str =
     return numbered.withColumn("hist_pos", (F.col("_o") - 1).cast("bigint")).drop("_o")
 
 
+#: Messages of a session that are gathered in one row.
+HISTORY_BLOCK = 64
+
+
 def prior_messages(requests: DataFrame, conversations: DataFrame, session: str = "conv_id",
-                   seq: str = "turn") -> DataFrame:
+                   seq: str = "turn", block: int = HISTORY_BLOCK) -> DataFrame:
     """Messages before each request turn as ``history`` array<struct<role,content>>, in order.
 
-    Only for the model hook (H11 with a user function): a prompt carries the whole earlier
-    session, as the reference does, so output grows with session length squared.  The
-    registered queries never materialise it; they use ``has_history`` (O(rows)).
-    """
-    h = history(conversations, session=session, seq=seq).select(
-        session, seq, F.struct(F.col("hist_role").alias("role"), F.col("text").alias("content")).alias("m"))
-    marks = requests.select(session, seq).distinct().withColumn("m", F.lit(None).cast(h.schema["m"].dataType))
-    w = (Window.partitionBy(session).orderBy(F.col(seq), F.col("m").isNull().cast("int").desc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    run = (h.withColumn("_req", F.lit(False)).unionByName(marks.withColumn("_req", F.lit(True)))
-           .withColumn("history", F.collect_list("m").over(w))
-           .where("_req").select(session, seq, "history"))
-    return requests.join(run, [session, seq], "left")
+    A prompt carries the whole earlier session, so the output grows with session length squared; the
+    work does not pass through one task a session: messages are gathered in blocks of ``block``, a
+    request takes the blocks before its place (found by (session, block)), cuts the last one and puts
+    them together, one row a request."""
+    h = history(conversations, session=session, seq=seq)
+    blocks = (h.groupBy(session, F.floor(F.col("hist_pos") / block).alias("_b"))
+              .agg(F.array_sort(F.collect_list(F.struct("hist_pos", F.struct(F.col("hist_role").alias("role"),
+                                                                              F.col("text").alias("content")).alias("m")))).alias("_ms"))
+              .select(session, "_b", F.col("_ms.m").alias("_ms")))
+    marks = has_history(requests.select(session, seq).distinct(), conversations, session, seq).withColumnRenamed("n_history", "_n")
+    parts = marks.where(F.col("_n") > 0).select(
+        session, seq, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))).alias("_b"))
+    met = parts.join(blocks, [session, "_b"]).select(
+        session, seq, F.struct("_b", F.slice("_ms", 1, F.least(F.lit(block), F.col("_n") - F.col("_b") * block).cast("int")).alias("ms")).alias("p"))
+    whole = met.groupBy(session, seq).agg(F.flatten(F.array_sort(F.collect_list("p"))["ms"]).alias("history"))
+    return requests.join(whole, [session, seq], "left").withColumn(
+        "history", F.coalesce("history", F.array().cast(whole.schema["history"].dataType)))
 
 
 def has_history(requests: DataFrame, conversations: DataFrame, session: str = "conv_id",
@@ -92,7 +101,8 @@ def retrieval_query(df: DataFrame, question: str = "question", n_history: str =
     first = df.where(F.col(n_history) == 0).withColumn(out, F.col(question)) \
         .withColumn("reformulated", F.lit(False))
     later = df.where(F.col(n_history) > 0)
-    schema = later.schema.add(out, "string").add("reformulated", "boolean")
+    # a copy: a frame's own schema must not change
+    schema = StructType(list(later.schema.fields)).add(out, "string").add("reformulated", "boolean")
 
     def run(batches):
         fn = reformulate()
@@ -130,7 +140,7 @@ def answer(df: DataFrame, fn: Callable | None = None, question: str = "question"
     function (called once per partition; receives a pandas frame with ``messages``)."""
     if fn is None:
         return df.withColumn(out, C.best_sentence(F.col(question), F.col(texts)))
-    schema = df.schema.add(out, "string")
+    schema = StructType(list(df.schema.fields)).add(out, "string")
 
     def run(batches):
         model = fn()

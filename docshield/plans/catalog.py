@@ -738,23 +738,28 @@ def h3_context(spark, sf):
 
 
 @register("h4_prompts", f"""
-WITH {TURN_CTES}
+WITH {TURN_CTES},
+past AS (SELECT c.conv_id, c.turn, string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn) AS told
+         FROM clean c JOIN conversations m ON m.conv_id = c.conv_id AND m.turn < c.turn AND m.role IN ('user', 'assistant')
+         GROUP BY ALL)
 SELECT conv_id, turn, CAST(n_history + 2 AS BIGINT) AS n_messages,
        coalesce(nullif(system_prompt, ''), {B.sql_str(CH.DEFAULT_SYSTEM_PROMPT)}) || {B.sql_str(CH.CONTEXT_HEADER)}
          || {_CTX_SQL} AS system_content,
-       question AS user_content
-FROM ans
+       md5(coalesce(told, '')) AS history_md5, question AS user_content
+FROM ans LEFT JOIN past USING (conv_id, turn)
 """)
 def h4_prompts(spark, sf):
+    """H4: the whole prompt of every clean request; the history as a digest of all its messages."""
     conv = table(spark, sf, "conversations")
     ctx = h3_context(spark, sf)
     req = B.requests(conv)
     inp = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"))
-    clean = chat.has_history(req.where(inp.message.isNull()), conv)
-    rows = clean.join(ctx, ["conv_id", "turn"], "left")
-    p = chat.prompts(rows.withColumn("history", F.array().cast("array<struct<role:string,content:string>>")))
-    return p.select("conv_id", "turn", (F.col("n_history") + 2).cast("bigint").alias("n_messages"),
+    clean = chat.prior_messages(req.where(inp.message.isNull()), conv)
+    p = chat.prompts(clean.join(ctx, ["conv_id", "turn"], "left"))
+    past = F.slice("messages", 2, F.size("messages") - 2)
+    return p.select("conv_id", "turn", F.size("messages").cast("bigint").alias("n_messages"),
                     F.col("messages")[0]["content"].alias("system_content"),
+                    F.md5(F.array_join(F.transform(past, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")).alias("history_md5"),
                     F.element_at("messages", -1)["content"].alias("user_content"))
 
 
@@ -1496,6 +1501,24 @@ def e3_e4_index_roundtrip(spark, sf):
                                          .cast("bigint").alias("sum_n2"))  # from the stored vectors
 
 
+@register("l4_delete_index", f"""
+WITH {Q.window_chunks_cte("documents", "text", CHUNK_SIZE, CHUNK_OVERLAP, "source AS collection, doc_id")}
+SELECT collection, CAST(count(*) AS BIGINT) AS n_chunks FROM chunks
+WHERE CAST(substr(collection, 4) AS INTEGER) % 3 <> 0 OR collection = 'src6' GROUP BY collection
+""")
+def l4_delete_index(spark, sf):
+    """L4 on disk: every third collection is taken off the stored index, one of them is built again;
+    what a reader then sees."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("collection"), "doc_id", "text")
+    chunks = chunking.chunk_windows(docs, "text", CHUNK_SIZE, CHUNK_OVERLAP)
+    path = streams.scratch_dir(spark, "deleted") + "/index"
+    stores.write_index(chunks, path)
+    gone = docs.where(F.substring("collection", 4, 9).cast("int") % 3 == 0).select("collection")
+    stores.delete_collections(spark, path, gone)
+    stores.write_index(chunks.where(F.col("collection") == "src6"), path)
+    return stores.read_index(spark, path).groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
+
+
 # A stored policy whose Restricted tier gained two words that occur in the test texts.
 G8_EXTRA = ["ouen", "heitlich"]
 

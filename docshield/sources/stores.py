@@ -4,12 +4,15 @@ The index is a parquet table partitioned by ``collection``; writes use dynamic p
 overwrite so re-building one collection replaces only its folder, and reads prune to the
 requested collections.  The policy is a small parquet table ``(tier, direction, ord,
 pattern)`` plus ``(tier, description, badge)``; a saved policy replaces the whole default
-set.  Only an absent, empty or corrupt store falls back to the defaults, with a warning; any other
+set.  ``delete_collections`` takes collections off the index on disk (L4): the manifest, a table of
+the live collections, is replaced by one atomic step, then their folders are dropped.  Readers go by
+the manifest, so a collection is there or gone, also when the dropping was cut short.  Only an absent, empty or corrupt store falls back to the defaults, with a warning; any other
 failure to read is raised, so that a policy never vanishes.
 """
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -33,19 +36,105 @@ def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _store(spark: SparkSession, path: str):
+    """(file system, function from a name under ``path`` to a Hadoop path)."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, lambda name: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/" + name)
+
+
+MANIFEST = "_manifest"
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    """The newest manifest of a store; 0 if it has none."""
+    fs, at = _store(spark, path)
+    if not fs.exists(at(MANIFEST)):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(at(MANIFEST))]
+    return max((int(n.split(".")[0]) for n in names if n.endswith(".current")), default=0)
+
+
+def live(spark: SparkSession, path: str) -> DataFrame | None:
+    """The live collections (one column); None for a store that never had one deleted."""
+    n = _version(spark, path)
+    if not n:
+        return None
+    folder = spark.read.text(f"{path}/{MANIFEST}/{n}.current").first()[0]
+    return spark.read.parquet(f"{path}/{MANIFEST}/{folder}")
+
+
+def _commit(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """Makes ``keys`` the live collections.  The list is written first; the file that names it is
+    created only if it is not there yet, so of two writers one fails and nothing is half done."""
+    n = _version(spark, path) + 1
+    folder = f"{n}-{uuid.uuid4().hex}"
+    keys.coalesce(1).write.parquet(f"{path}/{MANIFEST}/{folder}")  # one name a collection
+    fs, at = _store(spark, path)
+    marker = fs.create(at(f"{MANIFEST}/{n}.current"), False)
+    marker.write(bytearray(folder.encode()))
+    marker.close()
+
+
+def delete_collections(spark: SparkSession, path: str, ids: DataFrame, partition: str = "collection", drop: bool = True) -> None:
+    """L4 on disk: from here on no reader sees the collections ``ids``; their folders are dropped.
+    A call that is cut short after its first step leaves folders that nobody reads; the next call,
+    or ``vacuum``, drops them."""
+    there = live(spark, path)
+    if there is None:
+        there = read_index(spark, path).select(partition).distinct()
+    keys = ids.select(F.col(partition).cast(there.schema[partition].dataType).alias(partition)).distinct()
+    _commit(spark, path, there.join(keys, partition, "left_anti"))
+    if drop:
+        vacuum(spark, path, partition)
+
+
+def vacuum(spark: SparkSession, path: str, partition: str = "collection") -> int:
+    """Drops the folders of collections that are not live; how many there were."""
+    keep = live(spark, path)
+    if keep is None:  # nothing was ever deleted
+        return 0
+    fs, at = _store(spark, path)
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    lead = partition + "="
+    folders = [f.getPath().getName() for f in fs.listStatus(at("")) if f.getPath().getName().startswith(lead)]
+    named = spark.createDataFrame([(n, unescape(n[len(lead):])) for n in folders], f"folder string, {partition} string")
+    gone = named.join(keep.select(F.col(partition).cast("string").alias(partition)), partition, "left_anti")
+    dropped = 0
+    for row in gone.toLocalIterator():
+        fs.delete(at(row["folder"]), True)
+        dropped += 1
+    return dropped
+
+
 def write_index(df: DataFrame, path: str, partition: str | list[str] = "collection") -> None:
-    """Write chunk vectors; only the partitions present in ``df`` are replaced."""
+    """Write chunk vectors; only the partitions present in ``df`` are replaced.  In a store with a
+    manifest they are live from when they are whole."""
     parts = [partition] if isinstance(partition, str) else list(partition)
     # one writer per range of chunks of a collection: few files, and a hot collection is split
     keys = [c for c in (*parts, "doc_id", "chunk_idx") if c in df.columns]
+    vacuum(df.sparkSession, path, parts[0])  # leftovers of a deletion must not come back with a new part of it
     (df.repartitionByRange(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*parts).parquet(path))
+    there = live(df.sparkSession, path)
+    if there is not None:
+        new = df.select(F.col(parts[0]).cast(there.schema[parts[0]].dataType).alias(parts[0])).distinct()
+        _commit(df.sparkSession, path, there.unionByName(new).distinct())
+
+
+def _living(spark: SparkSession, path: str, partition: str) -> DataFrame | None:
+    """The stored rows of live collections; None where there is no store."""
+    df, there = read_if_there(spark, path), live(spark, path)
+    if df is None or there is None:
+        return df
+    return df.join(there.withColumn(partition, F.col(partition).cast(df.schema[partition].dataType)), partition, "left_semi")
 
 
 def read_index(spark: SparkSession, path: str, collections: list[str] | None = None,
                partition: str = "collection") -> DataFrame:
     """Read the index (partition-pruned to ``collections``); a missing key is an error."""
-    df = read_if_there(spark, path)
+    df = _living(spark, path, partition)
     if df is None:
         raise FileNotFoundError(f"No stored index at {path}")
     if collections is None:
@@ -63,7 +152,7 @@ def read_index_for(spark: SparkSession, path: str, wanted: DataFrame,
     """E4 for a *table* of wanted collections: a left-semi join on the partition column
     (dynamic partition pruning skips the other folders); a wanted key without an index is
     an error, found by an anti join (nothing is collected)."""
-    df = read_if_there(spark, path)
+    df = _living(spark, path, partition)
     if df is None:
         raise FileNotFoundError(f"No stored index at {path}")
     keys = wanted.select(F.col(partition)).distinct()

@@ -77,3 +77,33 @@ def test_resolve_host_and_k(spark):
                     V.k_for(F.col("host"), F.col("model")).alias("k")).collect()
     assert [(r["h"], r["k"]) for r in got] == [("http://localhost:11434", 4), ("https://api.openai.com", 8),
                                                 ("http://h", 8)]
+
+
+def test_prior_messages_in_blocks(spark):
+    """Blocks of any size give the messages before each request, in order."""
+    conv = [(s, t, r, f"{s}/{t}") for s in (1, 2) for t, r in enumerate(["system", "user", "assistant", "user", "tool", "assistant"] * (3 * s))]
+    df = spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")
+    req = spark.createDataFrame([(1, 0), (1, 5), (1, 99), (2, 7), (2, 35), (3, 4)], "conv_id long, turn long")
+    for block in (1, 3, 4, 64):
+        got = {(r["conv_id"], r["turn"]): [tuple(m) for m in r["history"]] for r in chat.prior_messages(req, df, block=block).collect()}
+        assert got == {(s, t): [(r, x) for s2, t2, r, x in conv if s2 == s and t2 < t and r in ("user", "assistant")]
+                       for s, t in [(1, 0), (1, 5), (1, 99), (2, 7), (2, 35), (3, 4)]}
+
+
+def test_hooks_see_history_and_prompt(spark, sf):
+    from docshield.plans import bindings as B
+    from docshield.plans import turns
+    from docshield.sources.tables import table
+    conv = table(spark, sf, "conversations")
+    docs = table(spark, sf, "documents").select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    index = turns.build_index(docs).persist()
+
+    def model():
+        return lambda pdf: [f"{len(m)} {m[0]['role']} {m[-1]['content'] == q}" for m, q in zip(pdf["messages"], pdf["question_used"])]
+
+    def rephrase():
+        return lambda pdf: [f"{q} {h[0]['content']}" for q, h in zip(pdf["question_used"], pdf["history"])]
+
+    rows = turns.run_turns(B.requests(conv), index, conv, answer_fn=model, reformulate=rephrase, requests_are_turns=True).collect()
+    seen = [r for r in rows if r["source"] == "llm"]
+    assert seen and all(r["answer"] == f"{r['n_history'] + 2} system True" for r in seen)

@@ -23,6 +23,45 @@ def test_index_roundtrip_and_missing_key(spark):
         stores.read_index(spark, d + "/missing", ["a"])
 
 
+def test_deleted_collections_are_never_read(spark, monkeypatch):
+    """Also when the call is cut short between its two steps, and when a collection comes back."""
+    path = tempfile.mkdtemp(prefix="docshield-test-") + "/idx"
+    df = spark.createDataFrame([("a", 1, 0), ("b x", 2, 0), ("c/d", 3, 0), ("a", 4, 0)], "collection string, doc_id long, epoch int")
+    stores.write_index(df, path, ["collection", "epoch"])
+
+    def ids(*names):
+        return spark.createDataFrame([(n,) for n in names], "collection string")
+
+    def there():
+        return sorted((r["collection"], r["doc_id"]) for r in stores.read_index(spark, path).collect())
+
+    def folders():
+        from pathlib import Path
+        return len(list(Path(path).glob("collection=*")))
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(stores, "vacuum", crash)
+        with pytest.raises(RuntimeError):
+            stores.delete_collections(spark, path, ids("a", "unknown"))
+    assert there() == [("b x", 2), ("c/d", 3)] and folders() == 3
+    with pytest.raises(FileNotFoundError):
+        stores.read_index(spark, path, ["a"])
+    with pytest.raises(FileNotFoundError):
+        stores.read_index_for(spark, path, ids("a"))
+    # what was left of "a" does not come back with a new part of it
+    stores.write_index(df.where("doc_id = 4").withColumn("epoch", F.lit(7)), path, ["collection", "epoch"])
+    assert there() == [("a", 4), ("b x", 2), ("c/d", 3)]
+    stores.delete_collections(spark, path, ids("c/d"))
+    assert there() == [("a", 4), ("b x", 2)] and folders() == 2
+    n = stores._version(spark, path)
+    monkeypatch.setattr(stores, "_version", lambda *_: n - 1)  # a second writer that saw the same state
+    with pytest.raises(Exception, match="exist"):
+        stores.delete_collections(spark, path, ids("b x"))
+
+
 def test_policy_store(spark):
     d = tempfile.mkdtemp(prefix="docshield-test-")
     assert stores.load_policy(spark, d + "/none").inputs == G.Policy.default().inputs
