@@ -147,20 +147,35 @@ def n_patterns(policy: "Policy") -> int:
     return sum(map(len, [*policy.inputs.values(), *policy.outputs.values()]))
 
 
+#: Joiners, and the letters that Unicode counts among the symbols: word characters of Java's ``(?U)\\w``.
+_JOINERS = "\u200c\u200d"
+_LETTER_SYMBOLS = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+
+
+def is_word_char(ch: str) -> bool:
+    """Whether Java's ``(?U)\\w``, on whose borders a word pattern ends, takes the character."""
+    import unicodedata
+    kind = unicodedata.category(ch)
+    return (kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or ch in _JOINERS
+            or kind == "So" and any(a <= ord(ch) <= b for a, b in _LETTER_SYMBOLS))
+
+
 def tier_hit_udf(policy: "Policy", direction: str):
     """First tier pattern hit for a policy too long for an expression: one Aho-Corasick automaton
     per tier finds all occurrences in one pass over the lower-cased text; the first pattern in list
-    order whose word or substring rule holds is the hit.  Same results as ``tier_hit``."""
-    lists = {t: [_clean(p) for p in policy.patterns(t, direction)] for t in [*policy.tiers(), FALLBACK_TIER]}
+    order whose word or substring rule holds is the hit, given as it was stored.  Same results as
+    ``tier_hit``."""
+    lists = {t: list(policy.patterns(t, direction)) for t in [*policy.tiers(), FALLBACK_TIER]}
     built: dict = {}
 
     def automaton(tier: str):
         import ahocorasick
         if tier not in built:
             a = ahocorasick.Automaton()
-            for i, p in reversed(list(enumerate(lists[tier]))):
-                if p:
-                    a.add_word(p, (i, p, bool(_WORD_ONLY.fullmatch(p))))
+            for i, stored in reversed(list(enumerate(lists[tier]))):
+                p = _clean(stored)
+                if p:  # of patterns that clean to the same, the first in the list stays
+                    a.add_word(p, (i, len(p), stored, bool(_WORD_ONLY.fullmatch(p))))
             if len(a):
                 a.make_automaton()
             built[tier] = a
@@ -168,7 +183,7 @@ def tier_hit_udf(policy: "Policy", direction: str):
 
     def bounded(text: str, start: int, end: int) -> bool:
         def inside(k: int) -> bool:
-            return 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+            return 0 <= k < len(text) and is_word_char(text[k])
         return not inside(start - 1) and (not inside(end) or text[end] == "s" and not inside(end + 1))
 
     def hit(text, tier):
@@ -176,9 +191,9 @@ def tier_hit_udf(policy: "Policy", direction: str):
         if text is None or not len(a):
             return None
         best = None
-        for end, (i, p, word) in a.iter(text):
-            if (best is None or i < best[0]) and (not word or bounded(text, end + 1 - len(p), end + 1)):
-                best = (i, p)
+        for end, (i, n, stored, word) in a.iter(text):
+            if (best is None or i < best[0]) and (not word or bounded(text, end + 1 - n, end + 1)):
+                best = (i, stored)
         return best and best[1]
 
     @F.pandas_udf("string")

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from docshield.functions import guard as G
 
 
+def tier_rule(low: str, tier: str, policy: G.Policy, direction: str):
+    """The first tier pattern that a lower-cased text holds, as it was stored, for a policy of any
+    size: an expression, or an automaton where that would grow too large; both give the same."""
+    if G.n_patterns(policy) > G.EXPRESSION_PATTERNS:
+        return G.tier_hit_udf(policy, direction)(F.col(low), F.col(tier))
+    return F.expr(G.tier_hit_sql(f"`{low}`", f"`{tier}`", policy, direction))
+
+
 def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str | None,
                   policy: G.Policy | None, direction: str, prefix: str) -> DataFrame:
     """G3/G4 as an operator.  The three hits (jailbreak, custom, tier) are computed once in
@@ -18,10 +26,7 @@ def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str
     low = "`_low`"
     jb = F.expr(G.jailbreak_hit_sql(low)) if direction == "in" else F.lit(None).cast("string")
     cu = G.custom_hit(F.col(text), F.col(rules)) if rules else F.lit(None).cast("string")
-    if G.n_patterns(policy) > G.EXPRESSION_PATTERNS:
-        ti = G.tier_hit_udf(policy, direction)(F.col("_low"), F.col(tier))
-    else:
-        ti = F.expr(G.tier_hit_sql(low, f"`{tier}`", policy, direction))
+    ti = tier_rule("_low", tier, policy, direction)
     lowered = df.select("*", F.lower(F.col(text)).alias("_low"))
     staged = lowered.select(*df.columns, jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
     r = G.combine(F.col("_jb"), F.col("_cu"), F.col("_ti"), F.col(tier), F.col(enabled), direction)
@@ -29,6 +34,12 @@ def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str
                          r.rule.alias(prefix + "rule"))
 
 
+def tier_hits(df: DataFrame, text: str, tier: str, policy: G.Policy, direction: str, out: str = "rule") -> DataFrame:
+    """G1 over a table: adds ``out``, the first tier pattern that the text holds."""
+    low = df.select("*", F.lower(F.col(text)).alias("_low"))
+    return low.select(*df.columns, tier_rule("_low", tier, policy, direction).alias(out))
+
+
 def check_input(df: DataFrame, text: str = "question", tier: str = "tier",
                 enabled: str = "enabled", rules: str | None = "custom_rules",
                 policy: G.Policy | None = None, prefix: str = "in_") -> DataFrame:

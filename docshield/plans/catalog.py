@@ -1545,8 +1545,7 @@ def g8_policy_store_roundtrip(spark, sf):
     path = streams.scratch_dir(spark, "policy")
     stores.save_policy(spark, _g8_policy(), path)
     pol = stores.load_policy(spark, path)
-    r = _requests(spark, sf)
-    return r.select("conv_id", "turn", "tier", G.tier_hit(F.col("question"), F.col("tier"), pol, "in").alias("rule"))
+    return guarding.tier_hits(_requests(spark, sf), "question", "tier", pol, "in").select("conv_id", "turn", "tier", "rule")
 
 
 @register("g10_profiles_per_request", f"""

@@ -43,9 +43,10 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "
 
 def stream_guard(requests: DataFrame, policy: G.Policy | None = None) -> DataFrame:
     """Adds ``blocked``, ``rule_kind``, ``rule``, ``message`` (input check) per request."""
-    r = G.check_input(F.col("question"), F.col("tier"), F.col("enabled"), F.col("custom_rules"), policy)
-    return requests.select("*", r.message.isNotNull().alias("blocked"), r.kind.alias("rule_kind"),
-                           r.rule.alias("rule"), r.message.alias("message"))
+    from docshield.operators import guarding
+    r = guarding.check_input(requests, policy=policy, prefix="_g_")
+    return r.select(*requests.columns, F.col("_g_message").isNotNull().alias("blocked"), F.col("_g_kind").alias("rule_kind"),
+                    F.col("_g_rule").alias("rule"), F.col("_g_message").alias("message"))
 
 
 def responses(rows: DataFrame, policy: G.Policy | None = None) -> DataFrame:

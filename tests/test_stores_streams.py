@@ -114,6 +114,28 @@ def test_automaton_equals_expression(spark):
         assert all(r["a"] == r["b"] for r in both)
 
 
+def test_small_and_large_policies_name_the_same_rule(spark):
+    """Capitals, blanks around a pattern, combining marks and odd word characters; 24 and 100,001 patterns."""
+    from docshield.operators import guarding
+    own = [" Pass Word ", "ZEBRA", "zebra", "  ", "C++", "Été", "fish\t", "x_y"]
+    marks = ["\u0301", "\u200d", "²", "Ⅷ", "ⓑ", "_", "٣", "é", "ß", "-", "'", "🙂", "字", "\u0488", "\u00aa"]
+    texts = ["my pass word", "two zebras", "Zebra", "c++ code", "l'été", "fish", "x_yz", "fishs!", None, ""]
+    texts += [f"a zebra{m} b" for m in marks] + [f"a {m}fish b" for m in marks] + [f"fishs{m}" for m in marks]
+    df = spark.createDataFrame([(i, t, "Own", True) for i, t in enumerate(texts)], "i int, question string, tier string, enabled boolean")
+    got = []
+    for more in (16, 99_993):
+        pol = G.Policy({"Own": own + [f"code name {i}" for i in range(more)]}, {}, {"Own": "o"}, {"Own": "o"})
+        batch = guarding.check_input(df, rules=None, policy=pol).orderBy("i")
+        got.append([(r["in_rule"], r["in_message"]) for r in batch.collect()])
+        rules = guarding.tier_hits(df, "question", "tier", pol, "in").orderBy("i").collect()
+        assert [r["rule"] for r in rules] == [r for r, _ in got[-1]]
+    assert got[0] == got[1]
+    assert [r for r, _ in got[0]][:6] == [" Pass Word ", "ZEBRA", "ZEBRA", "C++", "Été", "fish\t"]
+    from docshield.streaming import streams
+    large = df.withColumn("custom_rules", F.array().cast("array<string>"))
+    assert [r["rule"] for r in streams.stream_guard(large, pol).orderBy("i").collect()] == [r for r, _ in got[1]]
+
+
 def test_policy_errors_are_raised(spark):
     class Denied:
         @property
