@@ -12,9 +12,9 @@ words covered by any other one go, and so do the words beside them that also sta
 one, word by word to the passage's edges.  What is left is the original text.
 
 Spans are found once and written as a table (mostly their hashes; the rest compresses) into the
-cluster's checkpoint folder, and so are the edges of the covered runs.  Shuffles: (hash, id, place)
-rows twice, once combined map-side for the first place of each hash and once to meet the repeated
-hashes, which are written as well, so that the skew rule can split that join; the texts once, to hand
+cluster's checkpoint folder, and so are the edges of the covered runs.  Shuffles: the hashes
+once, counted map-side, and (hash, id, place) rows once to meet the repeated hashes; the spans of
+those are written as well, so that the skew rule can split their join with first places; the texts once, to hand
 out the words beside first places and to meet the places to cut; and the edges with at most ``BESIDE``
 words each.  No group of equal spans is ever collected.
 
@@ -210,40 +210,66 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc, th, at, first (doc, at) of the spans that are not the first of their hash (``th``: the text's)."""
-    firsts = found.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = cut_lineage(firsts.filter("n > 1").select("h", "g", "first"))
-    both = found.join(firsts, ["h", "g"]).filter(_place() != F.col("first"))
+    """doc, th, at, first (doc, at) of the spans that are not the first of their hash (``th``: the text's).
+
+    All spans are shuffled twice: once counted by hash (combined map-side, hashes only), once to meet
+    the hashes counted twice or more; first places are then looked for among those spans only."""
+    twice = cut_lineage(found.groupBy("h", "g").count().filter("count > 1").select("h", "g"))
+    marks = stored(found.join(twice, ["h", "g"]), "marks")
+    firsts = cut_lineage(marks.groupBy("h", "g").agg(F.min(_place()).alias("first")))
+    both = marks.join(firsts, ["h", "g"]).filter(_place() != F.col("first"))
     return both.select("doc", F.col("at").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("th"),
                        F.shiftright("at", 24).alias("at"), "first")
 
 
+def _merged(marks: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """The runs of the marks of each row, by row: row, a, b, and where (in the flat marks, given
+    last) a run's first mark stands and the mark that reaches its end first."""
+    sizes = np.diff(marks.offsets.to_numpy())
+    flat = marks.flatten()
+    first = flat.field("first")
+    at, doc, place = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (flat.field("at"), first.field("doc"), first.field("at")))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((place, doc, at, row))
+    row, at, doc, place = row[order], at[order], doc[order], place[order]
+    a = at >> 8
+    b = a + (at & 255)
+    far = int(b.max(initial=0)) + 1
+    reach = np.maximum.accumulate(b + row * far) - row * far  # within a row, as rows ascend
+    head = np.ones(len(a), bool)
+    head[1:] = (row[1:] != row[:-1]) | (a[1:] > reach[:-1])
+    starts = np.flatnonzero(head)
+    ends = np.append(starts[1:], len(a)) - 1
+    at_end = np.flatnonzero(b == np.repeat(reach[ends], np.diff(np.append(starts, len(a)))))
+    run_of = np.cumsum(head) - 1
+    last = at_end[np.unique(run_of[at_end], return_index=True)[1]]
+    return row[starts], a[starts], reach[ends], starts, last, row, doc, place
+
+
 def runs(marks: DataFrame) -> DataFrame:
     """Two rows for each run of covered sentences ``a`` ... ``b`` - 1, one a side: doc, th, a, b, right,
     and the place beside which the first one's words stand (f_doc, f_th, f_edge); ``firsts``, the first
     documents, stands in one row of each document."""
     names = ["doc", "th", "a", "b", "right", "f_doc", "f_th", "f_edge", "firsts"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[tuple] = []
-            for doc, th, marks in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "marks")]):
-                found: list[list] = []  # a, b, first mark's first place, last mark's first place
-                for at, first in sorted((m["at"], (m["first"]["doc"], m["first"]["at"])) for m in marks):
-                    a, b = at >> 8, (at >> 8) + (at & 255)
-                    if found and a <= found[-1][1]:
-                        if b > found[-1][1]:
-                            found[-1][1], found[-1][3] = b, first
-                    else:
-                        found.append([a, b, first, first])
-                firsts = sorted({m["first"]["doc"] for m in marks})
-                for a, b, *places in found:
-                    for right, (d, at) in enumerate(places):
-                        edge = (at >> 32) + (at >> 24 & 255) * right
-                        made.append((doc, th, a, b, bool(right), d, at & (1 << 24) - 1, edge, firsts))
-                        firsts = []
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * len(names), kinds)], names)
+            row, a, b, start, last, rows, doc, place = _merged(batch.column("marks"))
+            right = np.tile([False, True], len(row))
+            which = np.stack((start, last), axis=1).ravel()
+            f_doc, f_at = doc[which], place[which]
+            edge = (f_at >> 32) + (f_at >> 24 & 255) * right
+            # the first documents of a row, each once, beside the left side of its first run
+            pairs = np.unique(np.stack((rows, doc), axis=1), axis=0)
+            row2 = np.repeat(row, 2)
+            lead = np.ones(len(row2), bool)
+            lead[1:] = row2[1:] != row2[:-1]
+            counts = np.where(lead, np.bincount(pairs[:, 0], minlength=batch.num_rows)[row2], 0)
+            firsts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(pairs[:, 1]))
+            take = pa.array(row2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(take), batch.column("th").take(take), pa.array(np.repeat(a, 2)), pa.array(np.repeat(b, 2)),
+                 pa.array(right), pa.array(f_doc), pa.array((f_at & (1 << 24) - 1).astype(np.int32)), pa.array(edge), firsts], names)
 
     grouped = marks.groupBy("doc", "th").agg(F.collect_list(F.struct("at", "first")).alias("marks"))
     return grouped.mapInArrow(merge, "doc bigint, th int, a bigint, b bigint, right boolean, f_doc bigint, f_th int, f_edge bigint, firsts array<bigint>")
@@ -269,8 +295,8 @@ def beside(rows: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: int = RUN, words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, text (what is left), n_sentences, n_removed (sentences removed,
-    wholly or in part), removed (the removed passages) and first_docs (where their spans stand first)."""
+    """One row per document: doc_id, text (what is left), n_removed (sentences removed, wholly or in
+    part), removed (the removed passages) and first_docs (where their spans stand first)."""
     found = stored(spans(docs, text, doc, run, words), "spans")
     sides = stored(runs(repeated(found)), "runs")
     body = text_of(docs, text)
@@ -282,29 +308,32 @@ def deduplicate(docs: DataFrame, text: str = "text", doc: str = "doc_id", run: i
     marks = marks.withColumn("first_docs", F.transform("first_docs", lambda d: F.nullif(d, F.lit(_NO_ID))))
     marks = marks.withColumn("first_docs", F.filter("first_docs", lambda d: d.isNotNull()))
     rows = joined(rows, marks, ["doc", "th"], "left")
-    names = ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_docs"]
+    names = ["doc_id", "text", "n_removed", "removed", "first_docs"]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for t, places in zip(batch.column("text"), batch.column("places").to_pylist()):
-                cut = Cut(t.as_buffer().to_pybytes())
-                m = len(cut.edges) - 1
-                gone = np.zeros(cut.n_words, bool)
-                ends: dict[tuple[int, int], list[bytes]] = {}
-                for p in places or []:
-                    ends.setdefault((p["a"], p["b"]), [b"", b""])[p["right"]] = p["words"]
-                for (a, b), sides in ends.items():
-                    a, b = cut.grown(a, b, *sides)
-                    gone[a:b] = True
-                lost = [x.decode().strip() for x in cut.part(gone)] if ends else []
-                touched = int(np.logical_or.reduceat(gone, cut.edges[:-1]).sum()) if ends else 0
-                for c, v in zip(out, (b"".join(cut.part(~gone)) if ends else cut.raw, m, touched, lost)):
+                raw = t.as_buffer().to_pybytes()
+                touched, lost = 0, []
+                if places:  # other texts stay as they are and are not cut again
+                    cut = Cut(raw)
+                    gone = np.zeros(cut.n_words, bool)
+                    ends: dict[tuple[int, int], list[bytes]] = {}
+                    for p in places:
+                        ends.setdefault((p["a"], p["b"]), [b"", b""])[p["right"]] = p["words"]
+                    for (a, b), sides in ends.items():
+                        a, b = cut.grown(a, b, *sides)
+                        gone[a:b] = True
+                    lost = [x.decode().strip() for x in cut.part(gone)]
+                    touched = int(np.logical_or.reduceat(gone, cut.edges[:-1]).sum())
+                    raw = b"".join(cut.part(~gone))
+                for c, v in zip(out, (raw, touched, lost)):
                     c.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.string()))
             cols = [pa.array(c, k) for c, k in zip(out, kinds)]
             cols[0] = cols[0].cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *cols, batch.column("first_docs")], names)
 
-    schema = "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<string>, first_docs array<bigint>"
+    schema = "doc_id bigint, text string, n_removed bigint, removed array<string>, first_docs array<bigint>"
     return rows.select("doc", "text", "places", "first_docs").mapInArrow(clean, schema)
