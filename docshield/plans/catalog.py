@@ -348,9 +348,12 @@ def _windows(spark, sf, size=CHUNK_SIZE, overlap=CHUNK_OVERLAP):
                                   "text", size, overlap)
 
 
-@register("c1_recursive_chunks")
+@register("c1_recursive_chunks", f"""
+WITH RECURSIVE {Q.recursive_chunks_ctes("documents", "text", CHUNK_SIZE, CHUNK_OVERLAP, "doc_id, source")}
+SELECT doc_id, source, chunk_idx, CAST(length(chunk_text) AS BIGINT) AS n_chars, md5(chunk_text) AS chunk_md5 FROM chunks
+""")
 def c1_recursive_chunks(spark, sf):
-    """The recursive character splitter (Arrow batch job); checked by invariants."""
+    """The recursive character splitter (Arrow batch job)."""
     ch = chunking.chunk(_docs(spark, sf).select("doc_id", "source", "text"), "text",
                         CHUNK_SIZE, CHUNK_OVERLAP)
     return ch.select("doc_id", "source", "chunk_idx",
@@ -527,8 +530,9 @@ req AS (SELECT r.*, {_TURN_IN['message']} AS in_message, {Q.k_for('host', 'model
 docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
 clean AS (SELECT * FROM req WHERE in_message IS NULL)"""
 
-_TURN_SEARCH = f""",
-{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+_WINDOWS = Q.window_chunks_cte("docs", "text", CHUNK_SIZE, CHUNK_OVERLAP, "collection, doc_id, source")
+_PIECES = Q.recursive_chunks_ctes("docs", "text", CHUNK_SIZE, CHUNK_OVERLAP, "collection, doc_id, source")
+_TURN_SEARCH = f"""
 ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
               doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
@@ -557,7 +561,8 @@ ans AS (
   SELECT c.*, h.n_history, p.cites, {Q.best_sentence('c.question', 'list_transform(p.cites, lambda x: x.text)')} AS answer
   FROM clean c LEFT JOIN hist h USING (conv_id, turn) LEFT JOIN per_q p USING (conv_id, turn))"""
 
-TURN_CTES = f"""{_TURN_HEAD}{_TURN_SEARCH},
+TURN_CTES = f"""{_TURN_HEAD},
+{_PIECES},{_TURN_SEARCH},
 outc AS (SELECT a.*, {_TURN_OUT['message']} AS out_message FROM ans a),
 resp AS (
   SELECT conv_id, turn, collection, k, n_history, out_message IS NOT NULL AS blocked,
@@ -572,7 +577,7 @@ resp AS (
   FROM req WHERE in_message IS NOT NULL)"""
 
 G11_SQL = f"""
-WITH {TURN_CTES}
+WITH RECURSIVE {TURN_CTES}
 SELECT conv_id, turn, collection, CAST(k AS INTEGER) AS k, n_history, blocked, source, answer,
        CAST(len(cites) AS BIGINT) AS n_citations,
        array_to_string(list_transform(cites, lambda x: CAST(x.id AS VARCHAR)), '|') AS citation_ids,
@@ -617,7 +622,8 @@ versions AS (SELECT *, CAST(NULL AS STRUCT(c BIGINT, t BIGINT)) AS since FROM tm
              UNION ALL SELECT m.*, f.doc_ord FROM tmap1 m JOIN tmap1_first f
                ON f.collection = m.collection AND f.entity_type = m.entity_type AND f.value = m.original),
 {Q.apply_map_ctes('occ1', 'versions', 'asked', 'collection', 'came', 'question', 'named')},
-clean AS (SELECT * REPLACE (text_tokens AS question) FROM named){_TURN_SEARCH},
+clean AS (SELECT * REPLACE (text_tokens AS question) FROM named),
+{_WINDOWS},{_TURN_SEARCH},
 shown AS (SELECT a.* RENAME (answer AS raw_answer), {_back_sql('a.answer', 'a')} AS answer FROM ans a),
 outc AS (SELECT a.*, {_TURN_OUT['message']} AS out_message FROM shown a),
 told AS (SELECT o.conv_id, o.turn, c.i, {_back_sql('c.x.text', 'o')} AS text,
@@ -722,7 +728,7 @@ _CTX_SQL = ("array_to_string(list_transform(cites, lambda x: '[Source Document:
 
 
 @register("h3_context", f"""
-WITH {TURN_CTES}
+WITH RECURSIVE {TURN_CTES}
 SELECT conv_id, turn, {_CTX_SQL} AS context FROM ans
 """)
 def h3_context(spark, sf):
@@ -738,7 +744,7 @@ def h3_context(spark, sf):
 
 
 @register("h4_prompts", f"""
-WITH {TURN_CTES},
+WITH RECURSIVE {TURN_CTES},
 past AS (SELECT c.conv_id, c.turn, string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn) AS told
          FROM clean c JOIN conversations m ON m.conv_id = c.conv_id AND m.turn < c.turn AND m.role IN ('user', 'assistant')
          GROUP BY ALL)
@@ -764,7 +770,7 @@ def h4_prompts(spark, sf):
 
 
 @register("h5_append_turns", f"""
-WITH {TURN_CTES},
+WITH RECURSIVE {TURN_CTES},
 last AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
 r AS (SELECT resp.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM resp WHERE source <> 'input_guard')
 SELECT r.conv_id, CAST(coalesce(l.last, -1) + 1 + r.i * 2 AS BIGINT) AS turn, 'user' AS role, r.question_used AS text
@@ -856,7 +862,7 @@ def h10_resolve_host(spark, sf):
 
 
 @register("h11_answer_extractive", f"""
-WITH {TURN_CTES}
+WITH RECURSIVE {TURN_CTES}
 SELECT conv_id, turn, answer FROM ans
 """)
 def h11_answer_extractive(spark, sf):
@@ -876,7 +882,7 @@ def _raw_answers(spark, sf, conv):
 
 
 @register("v4_citations", f"""
-WITH {TURN_CTES}
+WITH RECURSIVE {TURN_CTES}
 SELECT r.conv_id, r.turn, CAST(c.i AS INTEGER) AS rank, c.x.id AS chunk_id, coalesce(c.x.source, 'Unknown') AS source,
        c.x.score AS score
 FROM resp r, (SELECT unnest(generate_series(1, len(r2.cites))) AS i, r2.conv_id, r2.turn, unnest(r2.cites) AS x FROM resp r2) c
@@ -894,8 +900,8 @@ OVERVIEW_QUERY = "summary overview main topics highlights key findings timeline
 
 
 @register("v5_representative_chunks", f"""
-WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
-{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+WITH RECURSIVE docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{_PIECES},
 ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
               doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
@@ -1212,7 +1218,7 @@ def l6_display_names(spark, sf):
 
 # --------------------------------------------------------------------------- audit (A*)
 @register("a1_audit_events", f"""
-WITH {TURN_CTES},
+WITH RECURSIVE {TURN_CTES},
 ev AS (
   SELECT r.conv_id, r.turn,
          CASE WHEN r.source = 'llm' THEN 'retrieval' ELSE 'safety_alert' END AS event_type,
@@ -1353,8 +1359,8 @@ MICRO_BATCH_FILES = 100_000
 
 
 @register("t1_stream_ingest", f"""
-WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
-{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+WITH RECURSIVE docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{_PIECES},
 ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
               doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
@@ -1477,8 +1483,8 @@ from docshield.sources import stores  # noqa: E402
 
 
 @register("e3_e4_index_roundtrip", f"""
-WITH docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
-{Q.window_chunks_cte('docs', 'text', CHUNK_SIZE, CHUNK_OVERLAP, 'collection, doc_id, source')},
+WITH RECURSIVE docs AS (SELECT source AS collection, doc_id, source, {Q.redact('text')} AS text FROM documents),
+{_PIECES},
 ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id,
               doc_id || ':' || chunk_idx AS chunk_key FROM chunks),
 {Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},

@@ -237,6 +237,51 @@ def window_chunks_cte(src: str, text: str, size: int, overlap: int, cols: str, n
   WHERE trim(chunk_text) <> '')"""
 
 
+def recursive_chunks_ctes(src: str, text: str, size: int, overlap: int, cols: str, name: str = "chunks") -> str:
+    """C1 in SQL (``WITH RECURSIVE``): a tree of pieces, cut at the first separator that a piece holds;
+    neighbouring short pieces of one parent form a group; from a group's prefix sums each chunk follows
+    from the one before.  ``cols`` must name a row of ``src``.  Written from the splitter's rule, not
+    from the engine's code: one step a chunk instead of one a piece."""
+    nl = "chr(10)"
+    seps = [f"{nl} || {nl}", nl, "' '", "''"]
+    sep_no = " ".join(f"WHEN level <= {i} AND contains(piece, {x}) THEN {i}" for i, x in enumerate(seps[:3]))
+    parts = " ".join(f"WHEN {i} THEN list_transform(string_split(piece, {x}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {x} || p END)"
+                     for i, x in enumerate(seps))
+    blank = "[ \\t\\n\\v\\f\\r]"
+
+    def stop(st: str, at: str) -> str:  # the first piece from ``at`` on that no longer fits behind ``st``
+        return f"list_filter(range({at}, len(ps) - 1), lambda x: ps[x + 2] - ps[{st} + 1] > {size})[1]"
+
+    held = "(ps[j + 1] - ps[x + 1])"
+    start = (f"list_filter(range(st, j + 1), lambda x: {held} <= {overlap} "
+             f"AND ({held} + ps[j + 2] - ps[j + 1] <= {size} OR {held} = 0))[1]")
+    return f"""{name}_tree AS (
+  SELECT {cols}, CAST([] AS BIGINT[]) AS parent, CAST(0 AS BIGINT) AS idx, {text} AS piece, 0 AS level, TRUE AS deeper FROM {src}
+  UNION ALL
+  SELECT {cols}, list_append(parent, idx), i, p, sep + 1, length(p) >= {size} AND sep < 3
+  FROM (SELECT {cols}, parent, idx, sep, unnest(parts) AS p, CAST(generate_subscripts(parts, 1) AS BIGINT) AS i
+        FROM (SELECT *, list_filter(CASE sep {parts} END, lambda p: p <> '') AS parts
+              FROM (SELECT *, CASE {sep_no} ELSE 3 END AS sep FROM {name}_tree WHERE deeper)))),
+{name}_groups AS (
+  SELECT {cols}, min(list_append(parent, idx)) AS place, string_agg(piece, '' ORDER BY idx) AS txt,
+         list_concat([0], list(upto ORDER BY idx)) AS ps
+  FROM (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY {cols}, parent, breaks ORDER BY idx) AS BIGINT) AS upto
+        FROM (SELECT *, sum(CASE WHEN deeper THEN 1 ELSE 0 END) OVER (PARTITION BY {cols}, parent ORDER BY idx) AS breaks
+              FROM {name}_tree WHERE len(parent) > 0)
+        WHERE NOT deeper)
+  GROUP BY {cols}, parent, breaks),
+{name}_steps AS (
+  SELECT {cols}, place, txt, ps, CAST(0 AS BIGINT) AS st, {stop('0', '0')} AS j, 0 AS k FROM {name}_groups
+  UNION ALL
+  SELECT {cols}, place, txt, ps, st2, {stop('st2', 'j')}, k + 1
+  FROM (SELECT *, {start} AS st2 FROM {name}_steps WHERE j IS NOT NULL)),
+{name} AS (
+  SELECT {cols}, CAST(row_number() OVER (PARTITION BY {cols} ORDER BY place, k) - 1 AS INTEGER) AS chunk_idx, CAST(NULL AS INTEGER) AS chunk_start, chunk_text
+  FROM (SELECT {cols}, place, k, regexp_replace(substring(txt, ps[st + 1] + 1, ps[coalesce(j, len(ps) - 1) + 1] - ps[st + 1]),
+                                             '^{blank}+|{blank}+$', '', 'g') AS chunk_text FROM {name}_steps)
+  WHERE chunk_text <> '')"""
+
+
 # --------------------------------------------------------------------------- chat
 from docshield.functions import chat as CH  # noqa: E402
 
