@@ -42,13 +42,13 @@ def turn_events(responses: DataFrame, redacted: bool = False) -> DataFrame:
     return ev.select(*keep, "e.event_type", "e.message", "e.details")
 
 
-def upload_events(registered: DataFrame, files: str = "files", db_id: str = "db_id") -> DataFrame:
-    """A1: one ``upload`` event per indexed collection (an array of file names and its key)."""
-    n = F.size(files)
+def upload_events(registered: DataFrame, n_files: str = "n_files", db_id: str = "db_id") -> DataFrame:
+    """A1: one ``upload`` event per indexed collection, from its key, number of files, ``model``,
+    ``chunk_size`` and ``redact_pii``."""
+    details = F.create_map(*[x for c in ("model", "chunk_size", "redact_pii") for x in (F.lit(c), F.col(c).cast("string"))])
     return registered.select(
         F.col(db_id).alias("db_id"), F.lit("upload").alias("event_type"),
-        F.format_string(MSG_UPLOAD, n, F.col(db_id)).alias("message"),
-        F.create_map(F.lit("files"), F.array_join(files, ", "), F.lit("db_id"), F.col(db_id)).alias("details"))
+        F.format_string(MSG_UPLOAD, F.col(n_files).cast("int"), F.col(db_id)).alias("message"), details.alias("details"))
 
 
 def retain(audit: DataFrame, n: int = AUDIT_CAP, ts: str = "ts", tiebreak: str = "event_id",

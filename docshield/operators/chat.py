@@ -151,9 +151,9 @@ def answer(df: DataFrame, fn: Callable | None = None, question: str = "question"
     return df.mapInPandas(run, schema)
 
 
-def append_turns(conversations: DataFrame, responses: DataFrame, session: str = "conv_id") -> DataFrame:
-    """H5: per response not blocked at input, append user (tokenised question) then assistant
-    (answer or block message); turns continue after the session's last turn."""
+def new_turns(conversations: DataFrame, responses: DataFrame, session: str = "conv_id") -> DataFrame:
+    """H5: per response not blocked at input, a user row (tokenised question), then an assistant row
+    (answer or block message); turns continue after the session's last turn.  Only the new rows."""
     last = conversations.groupBy(session).agg(F.max("turn").alias("_last"))
     r = responses.where(F.col("source") != "input_guard")
     r = ordinal_in_groups(r, [session], ["turn"], out="_i").withColumn("_i", F.col("_i") - 1)
@@ -163,9 +163,13 @@ def append_turns(conversations: DataFrame, responses: DataFrame, session: str =
             F.struct(F.lit(0).alias("o"), F.lit("user").alias("role"), F.col("question_used").alias("text")),
             F.struct(F.lit(1).alias("o"), F.lit("assistant").alias("role"), F.col("stored_answer").alias("text")),
         )).alias("m"))
-    new = rows.select(session, (F.col("_last") + 1 + F.col("_i") * 2 + F.col("m.o")).cast("long").alias("turn"),
-                      F.col("m.role").alias("role"), F.col("m.text").alias("text"))
-    return conversations.unionByName(new)
+    return rows.select(session, (F.col("_last") + 1 + F.col("_i") * 2 + F.col("m.o")).cast("long").alias("turn"),
+                       F.col("m.role").alias("role"), F.col("m.text").alias("text"))
+
+
+def append_turns(conversations: DataFrame, responses: DataFrame, session: str = "conv_id") -> DataFrame:
+    """H5: the sessions with their new turns."""
+    return conversations.unionByName(new_turns(conversations, responses, session))
 
 
 def clear(conversations: DataFrame, ids: DataFrame, session: str = "conv_id") -> DataFrame:

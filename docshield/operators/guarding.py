@@ -55,12 +55,21 @@ def check_output(df: DataFrame, text: str = "answer", tier: str = "tier",
 
 
 def violations(df: DataFrame, text: str, tier: str, direction: str = "in",
-               policy: G.Policy | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Long form, one row per (input row, matching rule). Row-local; no join."""
+               policy: G.Policy | None = None, keep: list[str] | None = None,
+               enabled: str | None = None, rules: str | None = None) -> DataFrame:
+    """Long form, one row per (input row, matching rule). Row-local; no join.  With ``rules`` the
+    row's custom rules count too (``ord``: their place), with ``enabled`` switched-off rows have none."""
     policy = policy or G.Policy.default()
     arr = F.expr(G.violations_sql("`_low`", f"`{tier}`", policy, direction))
+    if rules:
+        custom = F.transform(F.coalesce(F.col(rules), F.array().cast("array<string>")), lambda r, i: F.when(
+            G.matches_col(F.col("_low"), r), F.struct(F.lit("custom").alias("kind"), i.alias("ord"), r.alias("pattern"))))
+        arr = F.concat(arr, F.filter(custom, lambda x: x.isNotNull()))
+    if enabled:
+        arr = F.when(F.coalesce(F.col(enabled), F.lit(True)), arr)
     keep = keep if keep is not None else [c for c in df.columns]
-    lowered = df.select(*dict.fromkeys(keep + [tier]), F.lower(F.col(text)).alias("_low"))
+    used = [c for c in (tier, enabled, rules) if c]
+    lowered = df.select(*dict.fromkeys(keep + used), F.lower(F.col(text)).alias("_low"))
     return (lowered.select(*keep, F.explode(arr).alias("v"))
               .select(*keep, F.col("v.kind").alias("kind"), F.col("v.ord").alias("ord"),
                       F.col("v.pattern").alias("pattern")))
@@ -85,7 +94,8 @@ def sticky_rules(df: DataFrame, session: str = "conv_id", seq: str = "turn",
 
 
 def upsert_tier(policy_rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Replace every row of the edited tiers, keep the others (anti join + union)."""
+    """Replace every row of the edited tiers, keep the others (anti join + union); for the
+    patterns (``policy_rows``) and for description and badge (``tiers_frame``) alike."""
     kept = policy_rows.join(edits.select("tier").distinct(), "tier", "left_anti")
     return kept.unionByName(edits.select(*policy_rows.columns))
 

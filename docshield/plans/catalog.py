@@ -176,6 +176,22 @@ def g7_output_violations(spark, sf):
                                keep=["conv_id", "turn"])
 
 
+_G7_CUSTOM = f"""
+SELECT conv_id, turn, 'custom' AS kind, CAST(i - 1 AS INTEGER) AS ord, rule AS pattern
+FROM (SELECT conv_id, turn, question, enabled, unnest(custom_rules) AS rule, generate_subscripts(custom_rules, 1) AS i FROM requests)
+WHERE {Q.matches_col('question', 'rule')}"""
+
+
+@register("g7_all_violations", f"""
+{_violations_sql(B.REQUESTS_SQL, "requests", "question", "in").replace(") v", "UNION ALL" + _G7_CUSTOM + ") v")}
+WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM requests WHERE coalesce(enabled, TRUE))
+""")
+def g7_all_violations(spark, sf):
+    """G7 with the rows' own rules and switch."""
+    return guarding.violations(_requests(spark, sf), "question", "tier", "in", keep=["conv_id", "turn"],
+                               enabled="enabled", rules="custom_rules")
+
+
 @register("g12_status_light", f"""
 WITH {B.REQUESTS_SQL[1:]}, l AS (
   SELECT conv_id, turn, tier, enabled,
@@ -635,6 +651,15 @@ contents AS (SELECT conv_id, turn, md5(string_agg(text, '|' ORDER BY i)) AS cont
              FROM told GROUP BY ALL)"""
 
 
+def _private_responses(spark, sf):
+    from docshield.streaming import streams
+    conv, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
+    texts = docs.select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    index, mapping = turns.build_private_index(texts, streams.scratch_dir(spark, "private"), CHUNK_SIZE, CHUNK_OVERLAP)
+    return turns.run_turns(B.private_requests(conv, docs), index, conv, mapping=mapping, requests_are_turns=True,
+                           pages=B.page_starts(docs))
+
+
 @register("g11_private_turn", f"""
 WITH {PRIVATE_CTES}
 SELECT conv_id, turn, collection, CAST(k AS INTEGER) AS k, out_message IS NOT NULL AS blocked,
@@ -652,12 +677,7 @@ def g11_private_turn(spark, sf):
     """G11 with reversible redaction: documents are tokenised before they are indexed, each question
     with the tokens known when it came (R5), answers and citations are shown with originals (R4) and
     with page numbers (V4)."""
-    from docshield.streaming import streams
-    conv, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
-    texts = docs.select(F.col("source").alias("collection"), "doc_id", "source", "text")
-    index, mapping = turns.build_private_index(texts, streams.scratch_dir(spark, "private"), CHUNK_SIZE, CHUNK_OVERLAP)
-    resp = turns.run_turns(B.private_requests(conv, docs), index, conv, mapping=mapping, requests_are_turns=True,
-                           pages=B.page_starts(docs))
+    resp = _private_responses(spark, sf)
     c = F.col("citations")
     return resp.select(
         "conv_id", "turn", "collection", F.col("k").cast("int").alias("k"), "blocked", "source", "question_used", "answer",
@@ -781,8 +801,22 @@ FROM r LEFT JOIN last l USING (conv_id)
 """)
 def h5_append_turns(spark, sf):
     conv = table(spark, sf, "conversations")
-    both = chat.append_turns(conv.select("conv_id", "turn", "role", "text"), _responses(spark, sf))
-    return both.join(conv.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    return chat.new_turns(conv, _responses(spark, sf))
+
+
+@register("h5_private_turns", f"""
+WITH {PRIVATE_CTES},
+last AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM outc)
+SELECT r.conv_id, CAST(coalesce(l.last, -1) + 1 + r.i * 2 AS BIGINT) AS turn, 'user' AS role, r.question AS text
+FROM r LEFT JOIN last l USING (conv_id)
+UNION ALL
+SELECT r.conv_id, CAST(coalesce(l.last, -1) + 2 + r.i * 2 AS BIGINT), 'assistant', coalesce(r.out_message, r.raw_answer)
+FROM r LEFT JOIN last l USING (conv_id)
+""")
+def h5_private_turns(spark, sf):
+    """H5 of private turns: sessions keep the tokenised question and the answer before rehydration."""
+    return chat.new_turns(table(spark, sf, "conversations"), _private_responses(spark, sf))
 
 
 @register("h6_clear_sessions", f"""
@@ -1241,6 +1275,48 @@ def a1_audit_events(spark, sf):
                      F.col("details")["question"].alias("details_question"))
 
 
+@register("a1_private_audit", f"""
+WITH {PRIVATE_CTES}
+SELECT conv_id, turn, 'redaction' AS event_type, 'Redacted user query before LLM processing.' AS message,
+       CAST(0 AS BIGINT) AS n_details, CAST(NULL AS VARCHAR) AS citations_count, CAST(NULL AS VARCHAR) AS details_question FROM outc
+UNION ALL
+SELECT o.conv_id, o.turn, CASE WHEN out_message IS NULL THEN 'retrieval' ELSE 'safety_alert' END,
+       CASE WHEN out_message IS NULL THEN 'Successfully completed RAG query in 0.000s'
+            ELSE 'LLM output blocked and redacted under ' || o.tier || ' policy.' END,
+       CASE WHEN out_message IS NULL THEN 3 ELSE 0 END, CASE WHEN out_message IS NULL THEN CAST(coalesce(len(cites), 0) AS VARCHAR) END,
+       CASE WHEN out_message IS NULL THEN p.question END
+FROM outc o JOIN private p USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, turn, 'safety_alert', 'Input question blocked by ' || tier || ' policy.', 1, NULL, question
+FROM req WHERE in_message IS NOT NULL
+""")
+def a1_private_audit(spark, sf):
+    """A1 of private turns: a redaction event beside the outcome of every question that was answered."""
+    req = B.private_requests(table(spark, sf, "conversations"), table(spark, sf, "documents"))
+    rows = _private_responses(spark, sf).join(req.select("conv_id", "turn", "tier", "question"), ["conv_id", "turn"])
+    ev = audit.turn_events(rows.withColumn("n_citations", F.size("citations")), redacted=True)
+    return ev.select("conv_id", "turn", "event_type", "message", F.size("details").cast("bigint").alias("n_details"),
+                     F.col("details")["citations_count"].alias("citations_count"), F.col("details")["question"].alias("details_question"))
+
+
+@register("a1_upload_events", f"""
+WITH {B.FILES_SQL[1:]},
+u AS (SELECT collection AS db_id, count(*) AS n, max(ord) AS last FROM files GROUP BY collection)
+SELECT db_id, 'upload' AS event_type, 'Indexed ' || n || ' file(s) into database ' || db_id AS message,
+       CASE WHEN last % 2 = 0 THEN 'llama3' ELSE 'gemma3:1b' END AS model, CAST(500 + last % 3 * 250 AS VARCHAR) AS chunk_size,
+       CASE WHEN last % 5 < 3 THEN 'true' ELSE 'false' END AS redact_pii
+FROM u
+""")
+def a1_upload_events(spark, sf):
+    """A1: one event per uploaded collection, with the settings of its index."""
+    last = F.col("last")
+    up = _files(spark, sf).groupBy(F.col("collection").alias("db_id")).agg(F.count(F.lit(1)).alias("n_files"), F.max("ord").alias("last"))
+    up = up.select("db_id", "n_files", F.when(last % 2 == 0, "llama3").otherwise("gemma3:1b").alias("model"),
+                   (500 + last % 3 * 250).alias("chunk_size"), (last % 5 < 3).alias("redact_pii"))
+    ev = audit.upload_events(up)
+    return ev.select("db_id", "event_type", "message", *[F.col("details")[c].alias(c) for c in ("model", "chunk_size", "redact_pii")])
+
+
 @register("a2_retain_newest", """
 SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200
 """)
@@ -1308,6 +1384,20 @@ _SETTINGS_SQL = f"""settings AS (
          tier AS sensitivity, enabled AS guardrails FROM requests)"""
 
 
+@register("g9_upsert_profiles", f"""
+WITH tiers AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(t)}, {B.sql_str(G.TIER_DESCRIPTIONS[t])}, {B.sql_str(G.TIER_BADGES[t])})" for t in G.TIER_ORDER)}) v(tier, description, badge)),
+edits AS (SELECT CASE WHEN r_regionkey = 0 THEN 'Restricted' ELSE r_name END AS tier, 'Rules of ' || r_name AS description,
+                 CAST(r_regionkey AS VARCHAR) AS badge FROM region)
+SELECT * FROM tiers WHERE tier NOT IN (SELECT tier FROM edits) UNION ALL SELECT * FROM edits
+""")
+def g9_upsert_profiles(spark, sf):
+    """Description and badge of the Restricted tier replaced, and a tier added per further region."""
+    r = table(spark, sf, "region")
+    edits = r.select(F.when(F.col("r_regionkey") == 0, "Restricted").otherwise(F.col("r_name")).alias("tier"),
+                     F.concat(F.lit("Rules of "), "r_name").alias("description"), F.col("r_regionkey").cast("string").alias("badge"))
+    return guarding.upsert_tier(guarding.tiers_frame(spark), edits)
+
+
 @register("g13_match_profile", f"""
 WITH {B.REQUESTS_SQL[1:]}, {_SETTINGS_SQL},
 profiles AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(k)}, {B.sql_str(n)}, {i}, {cs}, {co}, {B.sql_str(s)}, {str(g).upper()})" for i, (k, n, cs, co, s, g, _r) in enumerate(guarding.UI_PROFILES))})
