@@ -19,7 +19,8 @@ Everything is a projection: no shuffle, no UDF, one pass over the text.  Pattern
 repeats, so very long texts cost time in proportion.
 
 Defined results: null text counts as empty; texts without candidates come back unchanged; values
-that touch letters or digits are no candidates; repeated rows give equal results; an empty table
+that touch letters or digits are no candidates (but a date before a time, 2001-02-03T04:05, is one);
+extra columns of any name are ignored, or carried by ``protected``; repeated rows give equal results; an empty table
 gives an empty table.
 """
 
@@ -39,7 +40,7 @@ _END = r"(?![\p{L}\p{N}])"
 #: Candidates, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + _END,
-    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
+    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!(?!T[0-9]{2}:)[\p{L}\p{N}/-]|\.[0-9])",
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}]|[.-][0-9])",
@@ -51,6 +52,8 @@ PATTERNS = {
 CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Layouts of a card inside a longer run of digit groups.
 CARD_LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+#: The country calling codes, none of which begins another (other codes have three digits).
+COUNTRY = r"^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: What any candidate holds; texts without it are not searched further.
 HINT = r"[0-9]{3}|@|[0-9][./][0-9]|[0-9a-fA-F]{32}"
 
@@ -150,11 +153,12 @@ class _Sql:
             m, self.walk(d, lambda x: self.digits(x, "ssn"), valid)) + " END")
 
     def phone(self, m: str) -> str:
-        """The country code stays; the other digits are permuted."""
+        """The country code stays; the national digits are permuted, so that all layouts of a number,
+        with and without its code, stay linked."""
         def made(rest: str) -> str:
             return f"concat(left({m}, length({m}) - length({rest})), {self.laid_out(rest, self.digits(self.only_digits(rest), 'phone'))})"
 
-        return self.let(f"regexp_replace({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', '')", made)
+        return self.let(f"regexp_replace({m}, {_quote(COUNTRY)}, '')", made)
 
     def ip(self, m: str) -> str:
         def made(o: str) -> str:
