@@ -4,15 +4,15 @@
    counts of vote patterns leave the tasks: at most 3 ** 10 of them, whatever the input.
 2. Expectation-maximisation over the pattern counts (Dawid and Skene's model; abstentions say
    nothing) estimates how reliable each labeller is in each class, and the posterior of a pattern.
-3. Posteriors of a bounded sample (``SAMPLE`` rows expected, chosen by hash) are the soft labels of
+3. Posteriors of a bounded sample (at most ``SAMPLE`` distinct texts, the first by hash) are the soft labels of
    a hashed linear scorer: logistic regression on hashed word shapes, shape pairs and word repeats.
 4. The scorer rates every document; ``keep`` is score >= ``threshold``.
 
 No stage moves text.  Counts cover all rows; the sample bounds only the fit of the scorer.
 
 Defined results: null text counts as empty; a text without words gets no votes, and its score is
-that of the scorer's intercept and its "no words" feature; repeated rows get equal scores; an empty
-table gives an empty table (the scorer then knows nothing and scores 0.5).
+that of the scorer's intercept and its "no words" feature; repeated rows get equal scores; very long
+texts are read whole; extra columns of any name are ignored, or carried by ``accepted``; an empty table gives an empty table (the scorer then knows nothing and scores 0.5).
 """
 
 from __future__ import annotations
@@ -213,8 +213,10 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     share, table, post = fit_labellers(patterns, counts)
     belief = dict(zip(codes.tolist(), post.tolist()))
     part = min(1.0, sample / max(counts.sum(), 1))
-    chosen = rows if part == 1 else rows.filter(
-        F.xxhash64("text", F.lit("sample")).bitwiseAND(F.lit((1 << 52) - 1)) < F.lit(int(part * (1 << 52))))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit("sample")).bitwiseAND(F.lit((1 << 52) - 1)))
+    chosen = rows if part == 1 else rows.filter(F.col("h") < F.lit(int(part * (1 << 52))))
+    # a text counts once, however many copies of it were drawn, and ``sample`` is a hard bound
+    chosen = chosen.dropDuplicates(["h"]).orderBy("h").limit(sample).select("text").repartition(1 + sample // 250)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +225,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                 "code": pa.array([_code(votes(t)) for t in texts], pa.int64()),
                 "x": pa.array([features(t).astype(np.float16).tobytes() for t in texts], pa.binary())})
 
-    seen = chosen.mapInArrow(describe, "code bigint, x binary").collect()  # about ``sample`` rows of 2 KB
+    seen = chosen.mapInArrow(describe, "code bigint, x binary").collect()  # at most ``sample`` rows of 2 KB
     x = np.frombuffer(b"".join(r["x"] for r in seen), np.float16).reshape(-1, DIM).astype(np.float32)
     y = np.array([belief[r["code"]] for r in seen])
     order = np.lexsort((y, *x[:, :8].T)) if len(y) else []

@@ -30,6 +30,20 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
+# -- quality ---------------------------------------------------------------------------------------
+def test_sample_is_a_hard_bound(spark, monkeypatch):
+    """A text that stands in half of all rows is one row of the sample; the sample has its size at most."""
+    seen = []
+    fitted = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: seen.append(len(x)) or fitted(x, y))
+    rows = [(i, "the same text again and again" if i % 2 else f"text number {i} of the many texts") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for sample in (50, 300, 5000):
+        quality.fit(df, sample=sample)
+        assert 0 < seen[-1] <= min(sample, 2001)
+    assert seen[-1] == 2001
+
+
 # -- exact duplicates ------------------------------------------------------------------------------
 def test_dedup_is_brute_force(docs, texts):
     rows = list(texts.items())
@@ -237,6 +251,26 @@ def test_pii_is_a_permutation(spark):
     assert all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in got[:len(days)]) and all(_luhn(x) for x in got[len(days):])
 
 
+def test_layouts_of_a_phone_number_stay_linked(spark):
+    """One number with and without country code and separators; two numbers stay two."""
+    layouts = ["+1 (555) 019-2834", "+1 555 019 2834", "+15550192834", "+1-555-019-2834", "(555) 019-2834", "555-019-2834", "555.019.2834"]
+    others = ["+44 20 7946 0958", "+442079460958", "+353 1 234 5678x", "+353 12 345 6789", "+353123456789"]
+    df = spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(layouts + others)], "doc_id bigint, text string")
+    got = [r["text"][5:-4] for r in pii.protect(df).orderBy("doc_id").collect()]
+    national = [re.sub(r"\D", "", re.sub(r"^\+1", "", t)) for t in got[:len(layouts)]]
+    assert len(set(national)) == 1 and len(national[0]) == 10 and national[0] != "5550192834"
+    assert [re.sub(r"\d", "0", t) for t in got] == [re.sub(r"\d", "0", t) for t in layouts + others]
+    assert all(t.startswith("+1") for t in got[:4]) and got[7][:3] == got[8][:3] == "+44"
+    assert re.sub(r"\D", "", got[7]) == re.sub(r"\D", "", got[8]) != "442079460958"
+    assert re.sub(r"\D", "", got[10]) == re.sub(r"\D", "", got[11]) and got[10].startswith("+353 ")
+
+
+def test_dates_before_a_time(spark):
+    df = spark.createDataFrame([(1, "at 1984-02-29T10:00:00 or 1984-02-29 or 1984-02-29Tx")], "doc_id bigint, text string")
+    a, b, c = re.findall(r"(?:at|or) (\S+)", pii.protect(df).first()["text"])
+    assert a != "1984-02-29T10:00:00" and a == b + "T10:00:00" and c == "1984-02-29Tx"
+
+
 def test_pii_leaves_no_planted_value(docs, texts):
     got = {r["doc_id"]: r["text"] for r in pii.protect(docs).collect()}
     for d, t in texts.items():
@@ -381,16 +415,56 @@ def test_neighbours_are_brute_force(docs, texts, parts):
         assert r["fingerprint"] == sketch.shown(h) == known.setdefault(t, r["fingerprint"])
 
 
-def test_short_texts_have_true_containment():
+def _true(a, b, shingle=5):
+    """(containment of the smaller, Jaccard, shingles of the smaller) by sets of word tuples."""
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
+
+    x, y = grams(a), grams(b)
+    if not x or not y:
+        return float(x == y), float(x == y), 0
+    both = len(x & y)
+    return both / min(len(x), len(y)), both / len(x | y), min(len(x), len(y))
+
+
+def test_whole_sketches_have_true_containment():
     rng = random.Random(4)
     big = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
     for n in (5, 8, 12, 20, 40):
         for _ in range(20):
             at = rng.randint(0, 500 - n)
             small = big[at:at + n] + [f"x{i}" for i in range(n // 3)]
-            shingles = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (small, big)]
-            want = len(shingles[0] & shingles[1]) / len(shingles[0])
-            assert sketch.containment(sketch.sketch(" ".join(small).encode()), sketch.sketch(" ".join(big).encode())) == want
+            texts = " ".join(small), " ".join(big)
+            assert sketch.containment(*[sketch.sketch(t.encode(), level=0) for t in texts]) == _true(*texts)[0]
+
+
+@pytest.mark.parametrize("n", [1, 5, 8, 12, 20, 40, 52, 100, 400, 2_000, 20_000])
+def test_error_is_as_stated(n):
+    """Edited texts of 5 to 20,000 words: exact while sketched whole, else within four standard errors."""
+    rng = random.Random(n)
+    errors = []
+    for _ in range(20 if n < 5000 else 4):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        cut = rng.randint(0, n)
+        other = words[:cut] + [f"x{rng.randint(0, 10**6)}" for _ in range(n - cut)]
+        a, b = " ".join(words), " ".join(other)
+        s, t = sketch.sketch(a.encode()), sketch.sketch(b.encode())
+        want, jac, size = _true(a, b)
+        level = max(s.level, t.level)
+        assert len(s.hashes) >= min(sketch.LEAST, size) and len(sketch.shown(s)) <= 1 + sketch.DIGITS * len(s.hashes)
+        kept = min(len(s.at(level)), len(t.at(level)))
+        limit = 4 * (want * (1 - want) / max(kept, 1)) ** 0.5 + 2 / max(kept, 1) if level else 0
+        assert abs(sketch.containment(s, t) - want) <= limit
+        errors.append(sketch.containment(s, t) - want)
+        assert abs(sketch.jaccard(s, t) - jac) <= (0.35 if level else 1e-12)
+    assert abs(sum(errors) / len(errors)) <= 0.07
+    assert (level == 0) == (n < sketch.LEAST) or n in (52, 100)
+
+
+def test_fingerprints_are_smaller_than_texts(docs, texts):
+    made = [sketch.shown(sketch.sketch(t.encode())) for t in texts.values()]
+    assert sum(map(len, made)) < 0.4 * sum(len(t.encode()) for t in texts.values())
 
 
 def test_sketch_estimates_and_merges():
@@ -398,10 +472,12 @@ def test_sketch_estimates_and_merges():
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(20_000)]
     big, small = " ".join(words).encode(), " ".join(words[3000:5000]).encode()
     a, b = sketch.sketch(big), sketch.sketch(small)
-    assert abs(sketch.containment(a, b) - 1) < 0.02 and abs(sketch.jaccard(a, b) - 0.1) < 0.03
-    other = " ".join(words[:11_000]).encode(), " ".join(words[10_996:]).encode()
-    merged = np.unique(np.concatenate([sketch.sketch(t) for t in other]))
-    assert np.array_equal(merged, a)
+    assert a.level == sketch.LEVEL and abs(sketch.containment(a, b) - 1) < 0.02 and abs(sketch.jaccard(a, b) - 0.1) < 0.04
+    for parts in ((" ".join(words[:11_000]), " ".join(words[10_996:])), (" ".join(words[:19_900]), " ".join(words[19_896:]))):
+        merged = sketch.union(*[sketch.sketch(t.encode()) for t in parts])
+        assert merged.level == a.level and np.array_equal(merged.hashes, a.hashes)
+    # the same words again and again: few distinct shingles, kept whole, whatever the length
+    assert sketch.sketch(b"a b c " * 600_000).level == 0
 
 
 # -- mixing ----------------------------------------------------------------------------------------
