@@ -85,9 +85,11 @@ def display_names(files: DataFrame, group: str = "collection", name: str = "name
                   ord_col: str = "ord") -> DataFrame:
     """``first (+n more)`` and the joined names cut at 34 characters + ``…``.
 
-    Only the first names can reach the cut (every name adds at least 3 characters with its
-    separator), so a bounded top-N per group (window group limit) replaces a full list."""
-    need = DISPLAY_CUT // 3 + 2
+    Only the first names can reach the cut (every name, an empty or missing one too, adds at least
+    its separator of 2 characters), so a bounded top-N per group (window group limit) replaces a
+    full list."""
+    files = files.withColumn(name, F.coalesce(name, F.lit("")))
+    need = DISPLAY_CUT // 2 + 2
     stats = files.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
                                      F.min_by(F.col(name), F.col(ord_col)).alias("first"))
     w = Window.partitionBy(group).orderBy(ord_col)

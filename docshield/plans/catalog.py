@@ -958,6 +958,44 @@ def v5_representative_chunks(spark, sf):
         "collection", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 
+@register("h8_suggestions", f"""
+WITH raw AS (SELECT source AS collection, doc_id, source, text FROM documents),
+{Q.occurrences_cte('raw', 'collection', 'doc_id', 'text', 'occ0')}, {Q.token_map_ctes('occ0', 'tmap0')},
+{Q.apply_map_ctes('occ0', 'tmap0', 'raw', 'collection', 'doc_id', 'text', 'known')},
+docs AS (SELECT collection, doc_id, source, text_tokens AS text FROM known),
+{_WINDOWS},
+ch AS (SELECT *, row_number() OVER (ORDER BY collection, doc_id, chunk_idx) AS chunk_id FROM chunks),
+{Q.hash_counts_cte('ch', 'chunk_id', 'chunk_text', 'cvec')},
+cn AS (SELECT chunk_id, sum(cnt * cnt) AS n2 FROM cvec GROUP BY chunk_id),
+q AS (SELECT 1 AS one, {B.sql_str(OVERVIEW_QUERY)} AS text),
+{Q.hash_counts_cte('q', 'one', 'text', 'qvec')},
+qn AS (SELECT sum(cnt * cnt) AS n2 FROM qvec),
+dots AS (SELECT c.chunk_id, sum(q.cnt * c.cnt) AS d FROM qvec q JOIN cvec c ON c.b = q.b GROUP BY ALL),
+scored AS (SELECT ch.*, CASE WHEN coalesce(cn.n2, 0) > 0 THEN CAST(coalesce(d.d, 0) AS DOUBLE) / sqrt(CAST((SELECT n2 FROM qn) * cn.n2 AS DOUBLE))
+                             ELSE 0.0 END AS score
+           FROM ch LEFT JOIN dots d USING (chunk_id) LEFT JOIN cn USING (chunk_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, chunk_id) AS rank FROM scored),
+asked AS (SELECT collection, list({Q.strip_ws("regexp_extract(chunk_text, '[^.!?' || chr(10) || ']+', 0)")} || '?' ORDER BY rank) AS qs
+          FROM best WHERE rank <= 3 GROUP BY collection),
+maps AS (SELECT collection, list({{'token': token, 'original': original}}) AS m FROM tmap0 GROUP BY collection),
+shown AS (SELECT a.collection, list_transform(a.qs, lambda x: coalesce(list_reduce(mp.m, lambda acc, y: replace(acc, y.token, y.original), x), x)) AS qs
+          FROM asked a LEFT JOIN maps mp USING (collection)),
+wanted AS (SELECT DISTINCT source AS collection FROM documents UNION SELECT 'none' || r_regionkey FROM region)
+SELECT collection, coalesce(array_to_string(qs, ' | '), {B.sql_str(' | '.join(CH.FALLBACK_QUESTIONS))}) AS questions
+FROM wanted LEFT JOIN shown USING (collection)
+""")
+def h8_suggestions(spark, sf):
+    """The suggestion flow over a tokenised index: representative chunks (V5), questions parsed from the
+    model's output (H7), shown with originals (H8); five collections have no index."""
+    docs = table(spark, sf, "documents")
+    texts = docs.select(F.col("source").alias("collection"), "doc_id", "source", "text")
+    index, mapping = turns.build_private_index(texts, streams.scratch_dir(spark, "suggest"), CHUNK_SIZE, CHUNK_OVERLAP)
+    wanted = texts.select("collection").unionByName(
+        table(spark, sf, "region").select(F.concat(F.lit("none"), F.col("r_regionkey").cast("string")).alias("collection")))
+    out = turns.suggestions(wanted, index, OVERVIEW_QUERY, mapping)
+    return out.select("collection", F.array_join("questions", " | ").alias("questions"))
+
+
 # --------------------------------------------------------------------------- sources (S*)
 from docshield.operators import fingerprint as FP  # noqa: E402
 from docshield.sources import documents as SD  # noqa: E402

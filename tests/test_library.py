@@ -63,3 +63,12 @@ def test_retain_and_view(spark, sf):
     assert top[0]["event_id"] == newest["event_id"]
     v = audit.audit_view(ev).select("time", "type").first()
     assert len(v["time"]) == 8 and v["type"] == v["type"].upper()
+
+
+def test_display_names_of_empty_names(spark):
+    """Many empty names before a long one: the cut counts their separators."""
+    names = [("g", i, "") for i in range(15)] + [("g", 15, "a-name"), ("g", 16, None), ("g", 17, "tail")]
+    df = spark.createDataFrame(names, "collection string, ord int, name string")
+    want = ", ".join(n or "" for _, _, n in names)
+    got = library.display_names(df).first()
+    assert got["card_name"] == want[:library.DISPLAY_CUT] + library.ELLIPSIS and got["n_files"] == 18
