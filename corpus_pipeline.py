@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept,
 columns of ``documents`` (the last one: token digests of every document of the mix).  Between
 stages the rows are written as Parquet into the shared folder that the cluster names in
 ``spark.checkpoint.dir`` and read back, so a lost executor costs a stage at most.
+
+Defined results: null text counts as empty in every stage, and null ids, null sources and extra
+columns (of any name) are carried through the filtering stages; empty texts are equal to each other,
+so at most one stays; of repeated rows one stays, and the mix may then take it twice; very long texts
+are read whole; an empty table gives an empty table with the last stage's columns.
 """
 
 from __future__ import annotations

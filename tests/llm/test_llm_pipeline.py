@@ -89,6 +89,17 @@ def test_run_is_its_stages(spark, sf, stages):
     assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, stages[5]))
 
 
+@pytest.mark.parametrize("make", ["odd", "empty", "clashing"])
+def test_run_on_odd_tables(spark, tmp_path, make):
+    """Nulls, empty and very long texts, repeated rows, clashing names and no rows at all."""
+    df = getattr(cases, make)(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} <= {r[0] for r in cases.ODD}
+    assert max(Counter(r["doc_id"] for r in rows).values(), default=0) <= 2
+    assert bool(rows) == (make != "empty")
+
+
 def test_registered(spark, sf):
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+    assert numbers == list(range(1, 14)) and len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
