@@ -30,20 +30,6 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
-# -- quality ---------------------------------------------------------------------------------------
-def test_sample_is_a_hard_bound(spark, monkeypatch):
-    """A text that stands in half of all rows is one row of the sample; the sample has its size at most."""
-    seen = []
-    fitted = quality.fit_scorer
-    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: seen.append(len(x)) or fitted(x, y))
-    rows = [(i, "the same text again and again" if i % 2 else f"text number {i} of the many texts") for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for sample in (50, 300, 5000):
-        quality.fit(df, sample=sample)
-        assert 0 < seen[-1] <= min(sample, 2001)
-    assert seen[-1] == 2001
-
-
 # -- exact duplicates ------------------------------------------------------------------------------
 def test_dedup_is_brute_force(docs, texts):
     rows = list(texts.items())
