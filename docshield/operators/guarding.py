@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docshield.functions import guard as G
+from docshield.operators import policy_index as P
 
 
 def tier_rule(low: str, tier: str, policy: G.Policy, direction: str):
@@ -17,8 +18,8 @@ def tier_rule(low: str, tier: str, policy: G.Policy, direction: str):
 
 
 def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str | None,
-                  policy: G.Policy | None, direction: str, prefix: str) -> DataFrame:
-    """G3/G4 as an operator.  The three hits (jailbreak, custom, tier) are computed once in
+                  policy: G.Policy | P.PolicyTables | None, direction: str, prefix: str) -> DataFrame:
+    """G3/G4 as an operator, by a policy in memory or by one that stays a table.  The three hits (jailbreak, custom, tier) are computed once in
     their own projection; message, kind and rule then read them.  Each hit is referenced
     several times, so Catalyst keeps the projections apart instead of inlining the
     regex-heavy expressions three times."""
@@ -26,16 +27,21 @@ def guard_columns(df: DataFrame, text: str, tier: str, enabled: str, rules: str
     low = "`_low`"
     jb = F.expr(G.jailbreak_hit_sql(low)) if direction == "in" else F.lit(None).cast("string")
     cu = G.custom_hit(F.col(text), F.col(rules)) if rules else F.lit(None).cast("string")
-    ti = tier_rule("_low", tier, policy, direction)
-    lowered = df.select("*", F.lower(F.col(text)).alias("_low"))
+    if isinstance(policy, P.PolicyTables):
+        ti, rows = F.col("_first"), P.with_rule(df, text, tier, policy, direction, "_first")
+    else:
+        ti, rows = tier_rule("_low", tier, policy, direction), df
+    lowered = rows.select("*", F.lower(F.col(text)).alias("_low"))
     staged = lowered.select(*df.columns, jb.alias("_jb"), cu.alias("_cu"), ti.alias("_ti"))
     r = G.combine(F.col("_jb"), F.col("_cu"), F.col("_ti"), F.col(tier), F.col(enabled), direction)
     return staged.select(*df.columns, r.message.alias(prefix + "message"), r.kind.alias(prefix + "kind"),
                          r.rule.alias(prefix + "rule"))
 
 
-def tier_hits(df: DataFrame, text: str, tier: str, policy: G.Policy, direction: str, out: str = "rule") -> DataFrame:
+def tier_hits(df: DataFrame, text: str, tier: str, policy: G.Policy | P.PolicyTables, direction: str, out: str = "rule") -> DataFrame:
     """G1 over a table: adds ``out``, the first tier pattern that the text holds."""
+    if isinstance(policy, P.PolicyTables):
+        return P.with_rule(df, text, tier, policy, direction, out)
     low = df.select("*", F.lower(F.col(text)).alias("_low"))
     return low.select(*df.columns, tier_rule("_low", tier, policy, direction).alias(out))
 

@@ -204,3 +204,26 @@ files AS (
   FROM (SELECT *, 'doc_' || CAST(((doc_id % 50) + 50) % 50 AS VARCHAR) ||
                CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.PDF' WHEN 'de' THEN '.docx' WHEN 'es' THEN '.md'
                          ELSE '.bin' END AS name FROM documents))"""
+
+
+# A policy as long as the data: the words of the ``benchmark`` passages and their pairs of neighbours,
+# in the order of the passages, as patterns of the four tiers in turn.
+def passage_policy(benchmark: DataFrame) -> DataFrame:
+    """(tier, direction, ord, pattern) rows from the benchmark passages."""
+    words = benchmark.select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "word"),
+                             F.split("text", " ").alias("words"))
+    pair = F.concat_ws(" ", F.col("word"), F.get("words", F.col("pos") + 1))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("pattern")),
+                              F.struct(F.lit(1).alias("k"), pair.alias("pattern")))).alias("p")
+    return words.select(_pick(REQUEST_TIERS, F.pmod(F.col("item_id"), F.lit(4))).alias("tier"), F.lit("in").alias("direction"),
+                        "item_id", "pos", kinds) \
+        .select("tier", "direction", (F.col("item_id") * 1000000 + F.col("pos") * 2 + F.col("p.k")).cast("bigint").alias("ord"), "p.pattern")
+
+
+PASSAGE_POLICY_SQL = f"""
+policy AS (
+  SELECT {sql_pick(REQUEST_TIERS, sql_pmod('item_id', 4))} AS tier, CAST(item_id * 1000000 + (i - 1) * 2 + k AS BIGINT) AS ord,
+         CASE WHEN k = 0 THEN ws[i] ELSE concat_ws(' ', ws[i], ws[i + 1]) END AS pattern
+  FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws))) AS i
+        FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)), (VALUES (0), (1)) v(k)
+)"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docshield.functions import guard as G
-from docshield.operators import guarding
+from docshield.operators import guarding, policy_index
 from docshield.plans import bindings as B
 from docshield.plans import sqlgen as Q
 from docshield.sources.tables import table
@@ -1682,6 +1682,42 @@ def g8_policy_store_roundtrip(spark, sf):
     return guarding.tier_hits(_requests(spark, sf), "question", "tier", pol, "in").select("conv_id", "turn", "tier", "rule")
 
 
+_PASSAGE_HITS = f"""
+WITH {B.REQUESTS_SQL[1:]}, {B.PASSAGE_POLICY_SQL[1:]},
+cleaned AS (SELECT tier, ord, pattern, lower(trim(pattern)) AS p, lower(trim(pattern)) SIMILAR TO '[a-z]+' AS word FROM policy),
+hits AS (SELECT r.conv_id, r.turn, p.ord, p.pattern FROM requests r JOIN cleaned p
+  ON p.tier = CASE WHEN r.tier = 'UnknownLevel' THEN 'Internal' ELSE r.tier END AND p.p <> ''
+  WHERE contains(lower(r.question), p.p) AND (NOT p.word OR regexp_matches(lower(r.question),
+    {B.sql_str(Q.WB_L)} || p.p || 's?' || {B.sql_str(Q.WB_R)})))
+"""
+
+
+def _passage_policy(spark, sf):
+    """A policy of the words and word pairs of ``benchmark``, saved and read back as tables."""
+    path = streams.scratch_dir(spark, "policy-tables")
+    stores.save_policy_tables(policy_index.PolicyTables(B.passage_policy(table(spark, sf, "benchmark")), guarding.tiers_frame(spark)), path)
+    return policy_index.load_policy_tables(spark, path)
+
+
+@register("g1_policy_tables", _PASSAGE_HITS + "SELECT conv_id, turn, ord, pattern FROM hits")
+def g1_policy_tables(spark, sf):
+    """G1/G7 by the pattern index: every pattern of a policy that stays a table, for every request."""
+    return policy_index.violations(_requests(spark, sf), "question", "tier", _passage_policy(spark, sf), "in", ["conv_id", "turn"])
+
+
+_G8T = Q.check("question", "tier", "enabled", "custom_rules", "in", "first_rule")
+
+
+@register("g8_policy_tables", _PASSAGE_HITS + f"""
+SELECT conv_id, turn, tier, {_G8T["kind"]} AS kind, {_G8T["rule"]} AS rule, {_G8T["message"]} AS message
+FROM requests LEFT JOIN (SELECT conv_id, turn, arg_min(pattern, ord) AS first_rule FROM hits GROUP BY conv_id, turn) USING (conv_id, turn)
+""")
+def g8_policy_tables(spark, sf):
+    """A stored policy as long as the data checks every request without being collected."""
+    checked = guarding.check_input(_requests(spark, sf), policy=_passage_policy(spark, sf), prefix="")
+    return checked.select("conv_id", "turn", "tier", "kind", "rule", "message")
+
+
 @register("g10_profiles_per_request", f"""
 WITH {B.REQUESTS_SQL[1:]},
 tiers AS (SELECT * FROM (VALUES {", ".join(f"({B.sql_str(t)}, {B.sql_str(G.TIER_DESCRIPTIONS[t])}, {B.sql_str(G.TIER_BADGES[t])})" for t in G.TIER_ORDER)}) v(tier, description, badge))

@@ -58,11 +58,11 @@ def tier_hit(text: str, tier: str, direction: str, policy: G.Policy | None = Non
     return f"(CASE {whens} ELSE {fb} END)"
 
 
-def check(text: str, tier: str, enabled: str, rules: str | None, direction: str) -> dict[str, str]:
-    """SQL for message / kind / rule of G3 ('in') or G4 ('out')."""
+def check(text: str, tier: str, enabled: str, rules: str | None, direction: str, ti: str | None = None) -> dict[str, str]:
+    """SQL for message / kind / rule of G3 ('in') or G4 ('out'); ``ti``: the first tier pattern, if not of the default policy."""
     jb = jailbreak_hit(text) if direction == "in" else "CAST(NULL AS VARCHAR)"
     cu = custom_hit(text, rules) if rules else "CAST(NULL AS VARCHAR)"
-    ti = tier_hit(text, tier, direction)
+    ti = ti or tier_hit(text, tier, direction)
     on = f"coalesce({enabled}, TRUE)"
     tier_s = f"coalesce({tier}, 'None')"
     if direction == "in":

@@ -169,6 +169,12 @@ def save_policy(spark: SparkSession, policy: G.Policy, path: str) -> None:
     tiers_frame(spark, policy).write.mode("overwrite").parquet(f"{path}/tiers")
 
 
+def save_policy_tables(policy, path: str) -> None:
+    """G8 save of a policy that is a table already (``policy_index.PolicyTables``)."""
+    policy.patterns.select("tier", "direction", "ord", "pattern").write.mode("overwrite").parquet(f"{path}/patterns")
+    policy.tiers.write.mode("overwrite").parquet(f"{path}/tiers")
+
+
 def load_policy(spark: SparkSession, path: str) -> G.Policy:
     """G8 load: stored policy, or the defaults when there is none or its files are no tables."""
     from docshield.operators.guarding import policy_from_rows
