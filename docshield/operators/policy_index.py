@@ -115,8 +115,10 @@ def _selected(text: str, flags: np.ndarray) -> np.ndarray:
 
 
 def _pattern_table(patterns: DataFrame) -> DataFrame:
-    """tier, ord, pattern, clean, h: a row for each run of each pattern."""
+    """tier, clean, ord, pattern, h: a row for each run of each different pattern of a tier (after
+    cleaning), with the first place and form in which the tier lists it."""
     kind = patterns.schema["ord"].dataType.simpleString()
+    first = patterns.groupBy("tier", "clean").agg(F.min(F.struct("ord", "pattern")).alias("first")).select("tier", "clean", "first.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +128,7 @@ def _pattern_table(patterns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("tier", "ord", "pattern", "clean")], pa.array(h)],
                                              ["tier", "ord", "pattern", "clean", "h"])
 
-    return patterns.select("tier", "ord", "pattern", "clean").mapInArrow(run, f"tier string, ord {kind}, pattern string, clean string, h long")
+    return first.select("tier", "ord", "pattern", "clean").mapInArrow(run, f"tier string, ord {kind}, pattern string, clean string, h long")
 
 
 def _run_counts(texts: DataFrame, flags: np.ndarray) -> DataFrame:
@@ -149,7 +151,7 @@ def _text_runs(texts: DataFrame, flags: np.ndarray) -> DataFrame:
                 take = pa.array(np.full(len(h), i))
                 yield pa.RecordBatch.from_arrays([batch.column("tier").take(take), batch.column("sha").take(take), pa.array(h)], ["tier", "sha", "h"])
 
-    return texts.select("tier", "sha", "low").mapInArrow(run, "tier string, sha string, h long")
+    return texts.select("tier", "sha", "low").mapInArrow(run, "tier string, sha binary, h long")
 
 
 def _holds(low: Column, clean: Column) -> Column:
@@ -171,11 +173,12 @@ def keyed(df: DataFrame, text: str, tier: str, policy: PolicyTables) -> DataFram
     rows = df.select("*", F.lower(F.col(text)).alias("_low"), F.col(tier).alias("_named"))
     joined = rows.join(broadcast_if_small(known, TIERS), F.col("_named") == F.col("_tier"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], "_low", F.coalesce("_tier", F.lit(G.FALLBACK_TIER)).alias("_tier"),
-                         F.sha2(F.col("_low").cast("binary"), 256).alias("_sha"))
+                         F.unhex(F.sha2(F.col("_low").cast("binary"), 256)).alias("_sha"))
 
 
 def hits(rows: DataFrame, policy: PolicyTables, direction: str) -> DataFrame:
-    """tier, sha, ord, pattern: every pattern that a text of ``keyed`` rows holds, once a distinct text."""
+    """tier, sha, clean, ord, pattern: every different pattern that a text of ``keyed`` rows holds, once a
+    distinct text, with the first place and form in which the tier lists it."""
     patterns = policy.cleaned(direction)
     texts = _stored(rows.filter("_low <> ''").select(F.col("_tier").alias("tier"), F.col("_sha").alias("sha"), F.col("_low").alias("low"))
                     .dropDuplicates(["tier", "sha"]), "texts")
@@ -186,7 +189,7 @@ def hits(rows: DataFrame, policy: PolicyTables, direction: str) -> DataFrame:
                     .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("anchor"))
                     .filter(F.col("anchor.n") > 0).select("tier", "ord", "pattern", "clean", F.col("anchor.h").alias("h")), "index")
     found = _text_runs(texts, _flags(index)).join(index, ["tier", "h"]).drop("h")
-    return found.join(texts, ["tier", "sha"]).filter(_holds(F.col("low"), F.col("clean"))).select("tier", "sha", "ord", "pattern")
+    return found.join(texts, ["tier", "sha"]).filter(_holds(F.col("low"), F.col("clean"))).select("tier", "sha", "clean", "ord", "pattern")
 
 
 def with_rule(df: DataFrame, text: str, tier: str, policy: PolicyTables, direction: str, out: str = "rule") -> DataFrame:
@@ -200,6 +203,9 @@ def with_rule(df: DataFrame, text: str, tier: str, policy: PolicyTables, directi
 def violations(df: DataFrame, text: str, tier: str, policy: PolicyTables, direction: str = "in", keep: list[str] | None = None) -> DataFrame:
     """G7 over tables: one row for each row and tier pattern that it holds (``ord``, ``pattern``)."""
     rows = keyed(df, text, tier, policy)
-    every = hits(rows, policy, direction).withColumnsRenamed({"tier": "_tier", "sha": "_sha", "ord": "_ord", "pattern": "_pattern"})
+    listed = policy.cleaned(direction).select("tier", "clean", F.col("ord").alias("_ord"), F.col("pattern").alias("_pattern"))
+    # written before the join, so that no pair is checked once for each place of its pattern
+    every = _stored(hits(rows, policy, direction).select("tier", "sha", "clean"), "hits").join(listed, ["tier", "clean"]) \
+        .select(F.col("tier").alias("_tier"), F.col("sha").alias("_sha"), "_ord", "_pattern")
     found = rows.join(every, ["_tier", "_sha"])
     return found.select(*[F.col(f"`{c}`") for c in (keep or df.columns)], F.col("_ord").alias("ord"), F.col("_pattern").alias("pattern"))
