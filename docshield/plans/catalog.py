@@ -1515,7 +1515,8 @@ def t1_stream_ingest(spark, sf):
 def t2_stream_guard(spark, sf):
     """The input guard as a stateless stream over conversation turns."""
     like = table(spark, sf, "conversations")
-    src = streams.read_stream(spark, sf, like, "conversations.parquet")
+    # a glob, since the table is a file or a folder of files
+    src = streams.read_stream(spark, f"{sf.rstrip('/')}/{{conversations.parquet}}", like, "*", max_files=MICRO_BATCH_FILES)
     guarded = streams.stream_guard(B.requests(src))
     out = streams.scratch_dir(spark, "guard")
     streams.run_to_parquet(guarded.select("conv_id", "turn", "tier", "blocked", "rule_kind", "rule", "message"),
