@@ -122,8 +122,13 @@ def session_settings(requests: DataFrame, time: str | None = None, lateness: str
         last, rules, *old = state.get if state.exists else (None, [], None, None, None)
         rules, old = list(rules), list(old)
         made = []
-        rows = pd.concat(list(frames)).sort_values("turn")
-        for turn, own, *now in rows[["turn", "custom_rules", *SETTINGS]].itertuples(index=False):
+        # lists of the columns: most sessions have a row or two, and a frame costs more than they do
+        cols = {}
+        for frame in frames:
+            for c in frame.columns:
+                cols.setdefault(c, []).extend(frame[c].tolist())
+        rows = zip(*[cols[c] for c in ("turn", "custom_rules", *SETTINGS)])
+        for turn, own, *now in sorted(rows, key=lambda r: r[0]):
             if last is not None and turn <= last:
                 continue
             now = [None if x is None or x != x else x for x in now]
@@ -132,7 +137,7 @@ def session_settings(requests: DataFrame, time: str | None = None, lateness: str
             last, old = int(turn), now
         state.update((last, rules, *old))
         if time is not None:
-            newest = int(rows["at_ms"].max())
+            newest = int(max(cols["at_ms"]))
             state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(made, columns=["conv_id", "turn", "effective_rules", "rebuild"])
 
