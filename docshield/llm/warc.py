@@ -46,6 +46,8 @@ LEAST = 100
 ARCHIVE = 8 << 20
 HELD = 4 << 20
 CHUNK = 1 << 20
+#: Bytes that a gzip member is first looked for in.
+STEP = 1 << 12
 SALTS = 16
 #: Most groups of equal payloads that are broadcast (a few hundred bytes each).
 SMALL = 20_000
@@ -84,14 +86,21 @@ class Source:
             member = zlib.decompressobj(31)
             try:
                 while not member.eof and at < len(raw):
-                    some = bytes(view[at:at + CHUNK])
-                    at += len(some)
-                    while not member.eof:
-                        out = member.decompress(some, CHUNK)
-                        some = member.unconsumed_tail
-                        yield out
-                        if not some and len(out) < CHUNK:
-                            break
+                    # in growing steps: what a step holds beyond the member's end is copied in vain
+                    got, size, step, end = [], 0, STEP, min(at + CHUNK, len(raw))
+                    while not member.eof and at < end:
+                        some = view[at:min(at + step, end)]
+                        at, step = at + len(some), 2 * step
+                        while not member.eof:
+                            got.append(member.decompress(some, CHUNK - size))
+                            size += len(got[-1])
+                            some = member.unconsumed_tail
+                            if size == CHUNK:
+                                yield b"".join(got)
+                                got, size = [], 0
+                            elif not some:
+                                break
+                    yield b"".join(got)
             except zlib.error:  # a broken member ends the archive; its record is cut short
                 return
             at -= len(member.unused_data)

@@ -190,6 +190,27 @@ def test_broken_archives(spark):
     assert [r["skipped"] for r in rows][:3] == [0, 0, 22]
 
 
+def test_small_members_are_not_copied_again_and_again(monkeypatch):
+    texts = [random.Random(i).randbytes(n) for i, n in enumerate([500] * 300 + [0, 70_000, 3_000_000])]
+    raw = b"".join(gzip.compress(t) for t in texts)
+    fed, real = [], zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self._it = real(bits)
+
+        def decompress(self, data, most):
+            fed.append(len(data))
+            return self._it.decompress(data, most)
+
+        def __getattr__(self, name):
+            return getattr(self._it, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    assert b"".join(warc.Source._inflate(raw)) == b"".join(texts)
+    assert sum(fed) < 3 * len(raw)
+
+
 def test_warc_format(spark, tmp_path):
     page = b"HTTP/1.1 200 OK\r\nContent-Length: 120\r\n\r\n" + b"x" * 120
     files = spark.createDataFrame([("/a/1.arc", bytearray(arc(1, [("http://a/", "2001", "text/html", page)]))),
