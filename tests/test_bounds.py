@@ -84,3 +84,24 @@ def test_blocks_meet_when_they_are_dealt_to_many_tasks(spark, monkeypatch, rows)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert len(blocks) == 160 and blocks == found("broadcast")
+
+
+def test_vectors_of_a_hot_collection_are_not_dealt_by_collection(spark):
+    from docshield.operators import search
+    from docshield.session import cut_lineage
+    vec = F.array(*[(F.col("id") % n).cast("int") for n in (2, 3, 5)])
+    side = cut_lineage(spark.range(60).select("id", F.when(F.col("id") < 50, "hot").otherwise("c").alias("collection"),
+                                              vec.alias("vec"), F.lit(1).cast("bigint").alias("n2")))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large
+        hits = search.topk(side.withColumnRenamed("vec", "qvec"), side.withColumnRenamed("id", "iid"), 2, q_id="id", q_vec="qvec",
+                           i_id="iid", i_vec="vec", partition="collection", metric="cosine", q_norm2="n2", i_norm2="n2", strategy="blocks")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(_p#" in plan
+        assert not [x for x in plan.splitlines() if "hashpartitioning(_p#" in x and "_ib#" not in x and "_q0#" not in x]
+        assert hits.count() == 120
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
