@@ -64,6 +64,8 @@ NO_DATE = "1970-01-01T00:00:00Z"
 
 _HEADER = re.compile(rb"\S.* \d{1,14} \S+ .*\d+\r?\n?\Z")
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
+_DATE = re.compile(r"\d{4,14}")
+_URLS = uuid.NAMESPACE_URL.bytes
 
 
 # --- bytes of an archive -------------------------------------------------------------------
@@ -120,21 +122,27 @@ class Source:
 
     def take(self, n: int) -> bytes:
         """The next ``n`` bytes, or what is left."""
-        self._more(n)
         out = self._held[self._pos:self._pos + n]
+        if len(out) < n:
+            self._more(n)
+            out = self._held[self._pos:self._pos + n]
         self._pos += len(out)
         self.offset += len(out)
         return out
 
     def line(self) -> bytes:
         """The next line with its end; empty at the end of the archive."""
-        want = 4096
-        while True:
+        at, end, want = self._pos, self._held.find(b"\n", self._pos) + 1, 4096
+        while not end:  # most lines are at hand
             full = self._more(want)
-            end = self._held.find(b"\n", self._pos)
-            if end >= 0 or not full:
-                return self.take((end + 1 if end >= 0 else len(self._held)) - self._pos)
+            at, end = self._pos, self._held.find(b"\n", self._pos) + 1
+            if not full:
+                end = end or len(self._held)
+                break
             want *= 2
+        self._pos = end
+        self.offset += end - at
+        return self._held[at:end]
 
 
 def payload_start(block: bytes, http: bool) -> int:
@@ -145,9 +153,10 @@ def payload_start(block: bytes, http: bool) -> int:
 
 def http_value(block: bytes, start: int, name: str) -> str | None:
     """A field of an HTTP head."""
+    sought = name.lower().encode()
     for line in block[:start].split(b"\n")[1:]:
         key, mark, value = line.partition(b":")
-        if mark and key.strip().lower() == name.lower().encode():
+        if mark and key.strip().lower() == sought:
             return value.strip().decode("utf-8", "replace")
     return None
 
@@ -176,7 +185,7 @@ def url_shown(url: str | None) -> str:
 
 def iso_date(digits: str) -> str | None:
     """An ARC date (up to 14 digits, missing ones lowest) as a WARC date; None if it is no date."""
-    if not re.fullmatch(r"\d{4,14}", digits):
+    if not _DATE.fullmatch(digits):
         return None
     full = digits + "00000101000000"[len(digits):]
     y, mo, d, h, mi, s = full[:4], full[4:6], full[6:8], full[8:10], full[10:12], full[12:14]
@@ -189,7 +198,7 @@ def iso_date(digits: str) -> str | None:
 def arc_records(raw: bytes) -> Iterator[dict]:
     """The records of an ARC file: the header line's fields by name, offset, block, skipped, truncated."""
     src = Source(raw)
-    names, skipped = None, 0
+    names, skipped, usual = None, 0, ARC_FIELDS[1].split(" ")
     while True:
         at = src.offset
         line = src.line()
@@ -197,7 +206,7 @@ def arc_records(raw: bytes) -> Iterator[dict]:
             return
         if not line.strip():
             continue
-        fields = ARC_FIELDS[1].split(" ")
+        fields = usual
         if names is None and line.startswith(b"filedesc://") and _HEADER.match(line):
             many = len(line.split(b" "))
             fields = ARC_FIELDS[2 if many >= 10 else 1].split(" ")
@@ -230,6 +239,14 @@ RECORD_DDL = ("record_id string, type string, uri string, date string, ip string
               "truncated boolean")
 
 
+def named_id(name: str) -> str:
+    """The text of ``uuid.uuid5(uuid.NAMESPACE_URL, name)``, without the object: every record has one."""
+    made = bytearray(hashlib.sha1(_URLS + name.encode(), usedforsecurity=False).digest()[:16])
+    made[6], made[8] = made[6] & 0x0F | 0x50, made[8] & 0x3F | 0x80
+    x = made.hex()
+    return f"{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}"
+
+
 def synthesised(archive: str, raw: bytes, tag: str, blocks: bool = True) -> Iterator[tuple]:
     """The WARC records (``RECORD`` without bytes of the format) of one ARC file."""
     info, own_date = None, NO_DATE
@@ -237,7 +254,7 @@ def synthesised(archive: str, raw: bytes, tag: str, blocks: bool = True) -> Iter
         f = r["fields"]
         url, mime, block = f["URL"], f["Content-type"], r["block"]
         date = iso_date(f["Archive-date"]) or own_date
-        rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{r['offset']}')}"
+        rid = f"urn:uuid:{named_id(f'{archive}#{r['offset']}')}"
         if url.startswith("filedesc://"):
             kind, mime, uri, http = "warcinfo", "application/warc-fields", None, False
             info, own_date = rid, date
@@ -267,6 +284,11 @@ def _batched(rows: Iterable[tuple], fields: dict[str, pa.DataType], weight: Call
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made), fields.values())], list(fields))
 
 
+def _listed(column: pa.Array) -> list:
+    """The values of a column; strings at once, which is many times faster than one by one."""
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     """path and content of the archive files under a folder, in any store that Spark reads.
     Hidden files (commit markers) are not archives."""
@@ -352,9 +374,11 @@ def write(records: DataFrame, folder: str) -> None:
         def blobs() -> Iterator[tuple]:
             made, held = [], 0
             for batch in batches:
-                for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                    made.append(_member(warc_record(row)))
+                # short fields by columns, blocks (possibly long) one at a time
+                short = [c for c in batch.schema.names if c != "block"]
+                values = zip(*(_listed(batch.column(c)) for c in short))
+                for block, row in zip(batch.column("block"), values):
+                    made.append(_member(warc_record(dict(zip(short, row), block=block.as_py()))))
                     held += len(made[-1])
                     if held >= ARCHIVE:
                         yield (b"".join(made),)

@@ -4,10 +4,12 @@ import gzip
 import hashlib
 import random
 import sys
+import uuid
 import zlib
 from collections import defaultdict
 from os.path import dirname
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,6 +213,71 @@ def test_small_members_are_not_copied_again_and_again(monkeypatch):
     assert sum(fed) < 3 * len(raw)
 
 
+def test_lines_at_hand_are_not_read_again(monkeypatch):
+    rows = [dict(record_id=f"urn:uuid:{i}", type="response", uri="http://a/", date="2001-01-01T00:00:00Z", ip="10.0.0.1", mime=warc.HTTP,
+                 info_id="urn:uuid:x", block=b"HTTP/1.0 200 OK\r\n\r\n" + b"z" * i, start=19, payload_sha256="0", truncated=False,
+                 first=None) for i in range(200)]
+    raw = b"".join(map(warc.warc_record, rows))
+    packed = b"".join(warc._member(warc.warc_record(r)) for r in rows)
+    asked, real = [], warc.Source._more
+    monkeypatch.setattr(warc.Source, "_more", lambda self, n: asked.append(n) or real(self, n))
+    for data in (raw, packed):  # a record has 14 lines
+        asked.clear()
+        assert [block for _, block in warc.warc_records(data)] == [r["block"] for r in rows]
+        assert len(asked) < 3 * len(rows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"a\n", b"b", b"\n", b"c" * 5000, b"d" * 4095 + b"\n"]), max_size=8), st.lists(st.integers(-1, 5000), max_size=8))
+def test_source_lines_and_bytes(parts, asked):
+    whole = b"".join(parts)
+    for raw in (whole, b"".join(map(warc._member, parts))):
+        src, at = warc.Source(raw), 0
+        for n in [*asked, *[-1] * 20]:  # -1: a line
+            end = (whole.find(b"\n", at) + 1 or len(whole)) if n < 0 else at + n
+            assert (src.line() if n < 0 else src.take(n)) == whole[at:end]
+            at = min(end, len(whole))
+            assert src.offset == at
+
+
+def test_record_ids_are_named_uuids():
+    for name in ["", "a.arc#0", "é#1", *(f"pages.arc.gz#{i}" for i in range(200))]:
+        assert warc.named_id(name) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+class _Columns:
+    """A batch that counts how often a column is asked for."""
+
+    def __init__(self, batch):
+        self.batch, self.schema, self.num_rows, self.asked = batch, batch.schema, batch.num_rows, 0
+
+    def column(self, name):
+        self.asked += 1
+        return self.batch.column(name)
+
+
+def test_written_rows_are_taken_by_columns(monkeypatch):
+    kept = {}
+
+    class Records:
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            kept["run"] = run
+
+    rows = [dict(record_id=f"urn:uuid:{i}", type="response", uri=None, date=warc.NO_DATE, ip=None, mime=warc.HTTP, info_id=None,
+                 block=b"HTTP/1.0 200 OK\r\n\r\n" + b"z" * i, start=19, payload_sha256="0", truncated=i == 7,
+                 first=dict(record_id="urn:uuid:0", uri="http://a/", date=warc.NO_DATE) if i % 3 else None) for i in range(300)]
+    monkeypatch.setattr(warc, "prepare", lambda df: df)
+    monkeypatch.setattr(warc, "_sink", lambda blobs, folder: None)
+    warc.write(Records(), "")
+    batch = _Columns(pa.RecordBatch.from_pylist(rows))
+    (out,) = kept["run"](iter([batch]))
+    assert out.column(0).to_pylist() == [b"".join(warc._member(warc.warc_record(r)) for r in rows)]
+    assert batch.asked < len(rows)
+
+
 def test_warc_format(spark, tmp_path):
     page = b"HTTP/1.1 200 OK\r\nContent-Length: 120\r\n\r\n" + b"x" * 120
     files = spark.createDataFrame([("/a/1.arc", bytearray(arc(1, [("http://a/", "2001", "text/html", page)]))),
