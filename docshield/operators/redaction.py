@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docshield.functions import redact as R
 from docshield.operators.ordinal import ordinal_in_groups
+from docshield.operators.sizing import mark_matches
 from docshield.session import cut_lineage
 
 MAP_COLUMNS = ["collection", "entity_type", "token", "original", "ord"]
@@ -66,7 +67,7 @@ def apply_map(docs: DataFrame, cut: DataFrame, mapping: DataFrame, collection: s
               doc_ord: str, text: str, out: str) -> DataFrame:
     """Put tokens in place of the spans.  A document's text is put together again from its own
     segments, so a value is replaced where it was found and nowhere else.  Rows without an entity
-    keep their text."""
+    keep their text and are not shuffled, but for the few that ``mark_matches`` can not tell."""
     tokens = (occurrences(cut).join(mapping.select("collection", "entity_type", F.col("original").alias("value"), "token"),
                                     ["collection", "entity_type", "value"])
               .groupBy("collection", "doc_ord")
@@ -75,8 +76,10 @@ def apply_map(docs: DataFrame, cut: DataFrame, mapping: DataFrame, collection: s
         F.col("collection").alias("_c"), F.col("doc_ord").alias("_d"),
         F.array_join(F.transform("segs", lambda x, i: F.coalesce(F.try_element_at(F.col("tokens"), i), x["s"])), "").alias("_made"))
     keyed = docs.withColumn("_c", F.col(collection)).withColumn("_d", F.col(doc_ord))
-    return (keyed.join(made, ["_c", "_d"], "left").withColumn(out, F.coalesce(F.col("_made"), F.col(text)))
-                 .drop("_c", "_d", "_made"))
+    marked = mark_matches(keyed, cut.select(F.col("collection").alias("_c"), F.col("doc_ord").alias("_d")), ["_c", "_d"], "_held")
+    joined = marked.where("_held").join(made, ["_c", "_d"], "left").withColumn(out, F.coalesce(F.col("_made"), F.col(text)))
+    plain = marked.where("not _held").withColumn(out, F.col(text))
+    return plain.drop("_c", "_d", "_held").unionByName(joined.drop("_c", "_d", "_held", "_made"))
 
 
 def tokenize_pii(docs: DataFrame, collection: str = "collection", doc_ord: str = "doc_id",
